@@ -64,6 +64,8 @@ def fk_report(layer: Layer, relations: Sequence[Relation], schema: str = "stg")
     parent key does not multiply the counts.
     """
     usable = [r for r in relations if r.child in layer and r.parent in layer]
+    if not usable:
+        raise ValueError("no relation has both its tables in the layer")
     numbered = {str(i): r for i, r in enumerate(usable)}
     relation = F.col("relation")
     fk, norm = F.col("fk"), norm_id(F.col("fk"))

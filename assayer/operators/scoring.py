@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +46,8 @@ def score_expr() -> Column:
         ),
         F.when(F.col("date_min").isNull() != F.col("date_max").isNull(), HALF_OPEN_DATES),
     ]
-    total = sum((F.coalesce(p, F.lit(0.0)) for p in penalties), F.lit(0.0))
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - total))
+    left = reduce(lambda points, p: points - F.coalesce(p, F.lit(0.0)), penalties, F.lit(100.0))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), left))
     return F.bround(clamped).cast("int")  # half to even
 
 
