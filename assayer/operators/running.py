@@ -46,7 +46,7 @@ def order_windows(
             lead_days(F.lag(order[0]).over(ordered), F.col(order[0])).alias("days_since_prev_order"),
             money(F.sum(amount).over(running)).alias("customer_running_spend"),
         )
-    return _split_windows(df, key, order, amount, chunk_count(df, total, heavy))
+    return _split_windows(df, key, order, amount, chunk_count(df, total))
 
 
 def _split_windows(

@@ -52,14 +52,14 @@ def detect_encodings(spark: SparkSession, path: str, whole: int = WHOLE_FILE_BYT
         .text(path)
         .where(F.col("_metadata.file_size") > whole)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"),
             (F.col("_metadata.file_block_start") == 0).alias("first_block"),
             F.col("value").cast("binary").alias("value"),
         )
     )
-    # No valid UTF-8 line starts with a UTF-16 mark, and no UTF-16 file is valid UTF-8
-    # throughout its first line, so the mark is only looked for where it can be.
-    marked = F.when(F.col("first_block"), _mark(F.substring("value", 1, 4)))
+    # A later Latin-1 line may begin with the bytes of a mark, but holds no zero byte.
+    wide = F.contains(F.decode("value", "ISO-8859-1"), F.lit("\u0000"))
+    marked = F.when(F.col("first_block") & wide, _mark(F.substring("value", 1, 4)))
     large = (
         lines.select("path", marked.alias("mark"), *_facts(F.col("value")))
         .groupBy("path")
