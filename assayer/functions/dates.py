@@ -7,15 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The text shapes the scorecard accepts.
-YEAR_FIRST = r"^[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}\z"
-YEAR_LAST = r"^[0-9]{2}([-/])[0-9]{2}\1[0-9]{4}\z"
-US_SHAPE = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"
-
-
-def _real_year(d: Column) -> Column:
-    """There is no year 0 in the source system's calendar; Spark has one."""
-    return F.when(F.year(d) > 0, d)
+# The text shapes the scorecard accepts. Spark has a year 0, the source
+# system's calendar has none.
+YEAR_FIRST = r"^(?!0000)[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}\z"
+YEAR_LAST = r"^[0-9]{2}([-/])[0-9]{2}\1(?!0000)[0-9]{4}\z"
+US_SHAPE = r"^[0-9]{1,2}/[0-9]{1,2}/(?!0000)[0-9]{4}\z"
 
 
 def parse_date_strict(c: Column) -> Column:
@@ -28,17 +24,17 @@ def parse_date_strict(c: Column) -> Column:
     dashed = F.translate(c, "/", "-")
     # A first part up to 12 with a second part above 12 can only be month first.
     month_first = (F.substring(c, 1, 2) <= "12") & (F.substring(c, 4, 2) > "12")
-    parsed = (
-        F.when(c.rlike(YEAR_FIRST), F.try_to_date(dashed, "yyyy-MM-dd"))
-        .when(c.rlike(YEAR_LAST) & month_first, F.try_to_date(dashed, "MM-dd-yyyy"))
-        .when(c.rlike(YEAR_LAST), F.try_to_date(dashed, "dd-MM-yyyy"))
+    year_last = F.when(month_first, F.try_to_date(dashed, "MM-dd-yyyy")).otherwise(
+        F.try_to_date(dashed, "dd-MM-yyyy")
+    )
+    return F.when(c.rlike(YEAR_FIRST), F.try_to_date(dashed, "yyyy-MM-dd")).when(
+        c.rlike(YEAR_LAST), year_last
     )
-    return _real_year(parsed)
 
 
 def parse_date_us(c: Column) -> Column:
     """Month/day/year with one- or two-digit parts, the recommended rule for US text."""
-    return _real_year(F.when(c.rlike(US_SHAPE), F.try_to_date(c, "M/d/yyyy")))
+    return F.when(c.rlike(US_SHAPE), F.try_to_date(c, "M/d/yyyy"))
 
 
 DATE_RULES = {"strict": parse_date_strict, "us": parse_date_us}

@@ -25,9 +25,9 @@ def normalize_key(c: Column) -> Column:
     Digits go through text functions instead of a numeric cast, so identifiers of
     any length survive.
     """
-    whole = F.substring_index(c, ".", 1)
-    digits = F.regexp_replace(whole, r"^0+(?=[0-9])", "")
-    return F.when(c.rlike(INTEGER_LIKE), digits).otherwise(blank_to_null(c))
+    digits = F.ltrim(F.substring_index(c, ".", 1), F.lit("0"))
+    whole = F.when(digits == "", "0").otherwise(digits)
+    return F.when(c.rlike(INTEGER_LIKE), whole).otherwise(blank_to_null(c))
 
 
 def norm_id(c: Column) -> Column:

@@ -193,107 +193,130 @@ def _moments(df: DataFrame, cells: dict[str, Column], extra=None) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, cells: dict[str, Column], probabilities: dict[str, float] = QUARTILES
+    cells: DataFrame, by: Sequence[str], probabilities: dict[str, float] = QUARTILES
 ) -> DataFrame:
-    """Quantiles with linear interpolation, one row per column, without a per-column task.
+    """Quantiles of `value` with linear interpolation, one row per group of `by`.
 
-    The built-in exact percentile keeps all distinct values of a column in one task.
+    The built-in exact percentile keeps all distinct values of a group in one task.
     Here values are counted, put in order across sorted chunks, and located by the
     running total of the chunks before; only the chunks that hold a wanted rank are
     then looked into.
     """
+    by = list(by)
     counted = (
-        to_long(df, cells, "field", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("field", "value")
+        cells.where(F.col("value").isNotNull())
+        .groupBy(*by, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    chunks = sorted_chunks(counted, ["field", "value"], chunk_count(df))
+    chunks = sorted_chunks(counted, [*by, "value"], chunk_count(cells))
 
-    # At most one row per column and chunk.
-    so_far = Window.partitionBy("field").orderBy("chunk")
+    # At most one row per group and chunk.
+    so_far = Window.partitionBy(*by).orderBy("chunk")
     bounds = (
-        chunks.groupBy("field", "chunk")
+        chunks.groupBy(*by, "chunk")
         .agg(F.sum("n").alias("rows"))
         .select(
-            "field",
+            *by,
             "chunk",
             (F.sum("rows").over(so_far) - F.col("rows")).alias("start"),
             F.sum("rows").over(so_far).alias("end"),
-            F.sum("rows").over(Window.partitionBy("field")).alias("total"),
+            F.sum("rows").over(Window.partitionBy(*by)).alias("total"),
         )
     )
+    rank = {name: (F.col("total") - 1) * p for name, p in probabilities.items()}
     ranks = F.array(
         *[
             F.struct(
                 F.lit(name).alias("quantile"),
-                F.floor((F.col("total") - 1) * p).alias("low"),
-                F.ceil((F.col("total") - 1) * p).alias("high"),
-                ((F.col("total") - 1) * p).alias("rank"),
+                F.floor(r).alias("low"),
+                F.ceil(r).alias("high"),
+                r.alias("rank"),
             )
-            for name, p in probabilities.items()
+            for name, r in rank.items()
         ]
     )
     low, high = F.col("low"), F.col("high")
-    wanted = bounds.select("field", "chunk", "start", "end", F.inline(ranks)).where(
+    wanted = bounds.select(*by, "chunk", "start", "end", F.inline(ranks)).where(
         (low < F.col("end")) & (high >= F.col("start"))
     )
-    touched = F.broadcast(wanted.select("field", "chunk", "start").distinct())
-    within = Window.partitionBy("field", "chunk").orderBy("value")
-    placed = chunks.join(touched, ["field", "chunk"]).select(
-        "field",
-        "chunk",
-        "value",
-        (F.col("start") + F.sum("n").over(within)).alias("until"),
-        (F.col("start") + F.sum("n").over(within) - F.col("n")).alias("since"),
+    # Both broadcasts hold at most two chunks per group and probability.
+    touched = F.broadcast(wanted.select(*by, "chunk", "start").distinct())
+    within = Window.partitionBy(*by, "chunk").orderBy("value")
+    until = F.col("start") + F.sum("n").over(within)
+    placed = chunks.join(touched, [*by, "chunk"]).select(
+        *by, "chunk", "value", until.alias("until"), (until - F.col("n")).alias("since")
     )
 
-    def at(rank: Column) -> Column:
-        holds = (F.col("since") <= rank) & (rank < F.col("until"))
+    def at(position: Column) -> Column:
+        holds = (F.col("since") <= position) & (position < F.col("until"))
         return F.max(F.when(holds, F.col("value")))
 
     ends = (
-        placed.join(F.broadcast(wanted.drop("start", "end")), ["field", "chunk"])
-        .groupBy("field", "quantile", "rank", "low")
+        placed.join(F.broadcast(wanted.drop("start", "end")), [*by, "chunk"])
+        .groupBy(*by, "quantile", "rank", "low")
         .agg(at(low).alias("at_low"), at(high).alias("at_high"))
     )
     step = F.col("at_high") - F.col("at_low")
-    between = F.when(step == 0, F.col("at_low")).otherwise(
+    # Equal ends need no step; it would be undefined between infinities.
+    value = F.when(F.col("at_high") == F.col("at_low"), F.col("at_low")).otherwise(
         F.col("at_low") + step * (F.col("rank") - low)
     )
-    picked = {name: F.max(F.when(F.col("quantile") == name, between)) for name in probabilities}
-    return ends.groupBy("field").agg(*[c.alias(name) for name, c in picked.items()])
+    picked = [F.max(F.when(F.col("quantile") == q, value)).alias(q) for q in probabilities]
+    return ends.groupBy(*by).agg(*picked)
 
 
-def describe_numeric(
-    df: DataFrame,
+DESCRIPTION = ["field", "count", "mean", "std", "min", *QUARTILES, "max"]
+
+
+def describe_tables(
+    tables: dict[str, DataFrame],
     columns: Sequence[str] | None = None,
     approx: bool = False,
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """count, mean, std (n-1), min, quartiles and max of every numeric column.
+    """count, mean, std (n-1), min, quartiles and max of all numeric columns of tables.
 
-    `approx=True` takes the quartiles from a sketch in the same scan; their rank is
-    then off by at most rows / accuracy.
+    Moments take one scan per table and no shuffle of rows; the quartiles of all
+    tables are found together. `approx=True` takes the quartiles from a sketch in the
+    same scan; their rank is then off by at most rows / accuracy.
     """
-    cells = _numeric_cells(df, columns)
-    names = list(QUARTILES)
-    if approx:
+    cells = {t: c for t, df in tables.items() if (c := _numeric_cells(df, columns))}
 
-        def sketch(c: Column) -> Column:
-            return F.percentile_approx(c, list(QUARTILES.values()), accuracy)
+    def sketch(c: Column) -> Column:
+        return F.percentile_approx(c, list(QUARTILES.values()), accuracy)
 
-        moments = _moments(df, cells, sketch)
-        quartiles = [F.col("quartiles")[i].alias(q) for i, q in enumerate(names)]
-        return moments.select("field", "count", "mean", "std", "min", *quartiles, "max")
+    moments = union_all(
+        _moments(tables[t], c, sketch if approx else None).withColumn("table_name", F.lit(t))
+        for t, c in cells.items()
+    )
+    if approx:
+        quartiles = {q: F.col("quartiles")[i] for i, q in enumerate(QUARTILES)}
+        return moments.withColumns(quartiles).select("table_name", *DESCRIPTION)
+    long = union_all(
+        to_long(tables[t], c, "field", "value").withColumn("table_name", F.lit(t))
+        for t, c in cells.items()
+    )
+    by = ["table_name", "field"]
     # One row per column on either side.
-    quartiles = F.broadcast(exact_quantiles(df, cells))
-    described = _moments(df, cells).join(quartiles, "field", "left")
-    return described.select("field", "count", "mean", "std", "min", *names, "max")
+    described = moments.join(F.broadcast(exact_quantiles(long, by)), by, "left")
+    return described.select("table_name", *DESCRIPTION)
 
 
-def describe_layout(described: DataFrame) -> DataFrame:
-    """Statistics as rows, fields as columns: the layout of a describe file."""
+def describe_numeric(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    approx: bool = False,
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """`describe_tables` for a single table."""
+    return describe_tables({"": df}, columns, approx, accuracy).drop("table_name")
+
+
+def describe_layout(described: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """Statistics as rows, fields as columns: the layout of a describe file.
+
+    `fields` gives their order and saves the job that would look them up.
+    """
     # Row names in file order.
     rows = {
         "count": F.col("count").cast("double"),
@@ -314,7 +337,7 @@ def describe_layout(described: DataFrame) -> DataFrame:
     return (
         described.select("field", F.inline(cells))
         .groupBy("position", "statistic")
-        .pivot("field")
+        .pivot("field", list(fields) if fields else None)
         .agg(F.first("v"))
         .orderBy("position")
         .drop("position")

@@ -41,15 +41,18 @@ def _parent_keys(layer: Layer, relations: dict[str, Relation]) -> DataFrame:
                 F.lit(f"{parent}.{pk}").alias("parent"), F.col(pk).cast("string").alias("pk")
             )
         )
-    pk = F.col("pk")
-    forms = F.array(
-        F.struct(pk.alias("key"), F.lit(True).alias("raw"), (norm_id(pk) == pk).alias("norm")),
-        F.struct(norm_id(pk).alias("key"), F.lit(False).alias("raw"), F.lit(True).alias("norm")),
-    )
+    pk, norm = F.col("pk"), F.col("norm_pk")
+    both = F.struct(pk.alias("key"), F.lit(True).alias("raw"), F.lit(True).alias("norm"))
+    as_raw = F.struct(pk.alias("key"), F.lit(True).alias("raw"), F.lit(False).alias("norm"))
+    as_norm = F.struct(norm.alias("key"), F.lit(False).alias("raw"), F.lit(True).alias("norm"))
     return (
         union_all(frames)
         .where(pk.isNotNull())
-        .select("parent", F.inline(F.when(norm_id(pk) == pk, F.slice(forms, 1, 1)).otherwise(forms)))
+        .withColumn("norm_pk", norm_id(pk))
+        .select(
+            "parent",
+            F.inline(F.when(norm == pk, F.array(both)).otherwise(F.array(as_raw, as_norm))),
+        )
         .where(F.col("key").isNotNull())
         .groupBy("parent", "key")
         .agg(F.bool_or("raw").alias("raw_hit"), F.bool_or("norm").alias("norm_hit"))
@@ -68,7 +71,7 @@ def fk_report(layer: Layer, relations: Sequence[Relation], schema: str = "stg")
         raise ValueError("no relation has both its tables in the layer")
     numbered = {str(i): r for i, r in enumerate(usable)}
     relation = F.col("relation")
-    fk, norm = F.col("fk"), norm_id(F.col("fk"))
+    fk, norm = F.col("fk"), F.col("norm_fk")
 
     # A value whose two forms agree is looked up once, else once per form.
     lookups = (
@@ -82,7 +85,8 @@ def fk_report(layer: Layer, relations: Sequence[Relation], schema: str = "stg")
         )
         .otherwise(F.array(F.struct(fk.alias("key"), F.lit("bare").alias("form"))))
     )
-    values = _foreign_values(layer, numbered).select(
+    counted_values = _foreign_values(layer, numbered).withColumn("norm_fk", norm_id(fk))
+    values = counted_values.select(
         "relation",
         _pick({i: f"{r.parent}.{r.pk}" for i, r in numbered.items()}, relation).alias("parent"),
         "n",

@@ -202,7 +202,13 @@ NUMERIC = {
     "lineitem": "l_quantity l_extendedprice l_discount l_tax l_linenumber".split(),
     "part": "p_size p_retailprice".split(),
 }
-DESCRIBE = _union([_describe(t, c) for t, columns in NUMERIC.items() for c in columns])
+DESCRIBE = _union(
+    [
+        f"select '{t}' as table_name, * from ({_describe(t, c)})"
+        for t, columns in NUMERIC.items()
+        for c in columns
+    ]
+)
 
 LAYOUT_ROWS = {
     "count": "count({})::double",

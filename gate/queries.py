@@ -315,8 +315,9 @@ def _numeric_tables(spark, sf_dir):
     return lines, parts
 
 
-def _described(spark, sf_dir):
-    return union_all(profiling.describe_numeric(df) for df in _numeric_tables(spark, sf_dir))
+def _described(spark, sf_dir, approx=False):
+    lines, parts = _numeric_tables(spark, sf_dir)
+    return profiling.describe_tables({"lineitem": lines, "part": parts}, approx=approx)
 
 
 @query
@@ -327,16 +328,14 @@ def describe_numeric(spark, sf_dir):
 @query
 def describe_layout(spark, sf_dir):
     parts = inputs.table(spark, sf_dir, "part").select("p_size", "p_retailprice")
-    laid = profiling.describe_layout(profiling.describe_numeric(parts))
+    laid = profiling.describe_layout(profiling.describe_numeric(parts), parts.columns)
     return _rounded(laid, "p_size", "p_retailprice")
 
 
 @query
 def describe_approx(spark, sf_dir):
     """Sketched quartiles; only their rank error is bounded, so there is no SQL twin."""
-    return union_all(
-        profiling.describe_numeric(df, approx=True) for df in _numeric_tables(spark, sf_dir)
-    )
+    return _described(spark, sf_dir, approx=True)
 
 
 @query
