@@ -2,39 +2,56 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The text shapes the scorecard accepts. Spark has a year 0, the source
-# system's calendar has none.
-YEAR_FIRST = r"^(?!0000)[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}\z"
-YEAR_LAST = r"^[0-9]{2}([-/])[0-9]{2}\1(?!0000)[0-9]{4}\z"
-US_SHAPE = r"^[0-9]{1,2}/[0-9]{1,2}/(?!0000)[0-9]{4}\z"
+# What a letter group of a date pattern may look like. Only possible
+# months and days match, so parsing rarely fails; a failed parse costs an exception per
+# row. The source system's calendar has no year 0, Spark's has.
+PARTS = {
+    "yyyy": "(?!0000)[0-9]{4}",
+    "MM": "(?:0[1-9]|1[0-2])",
+    "M": "(?:0?[1-9]|1[0-2])",
+    "dd": "(?:0[1-9]|[12][0-9]|3[01])",
+    "d": "(?:0?[1-9]|[12][0-9]|3[01])",
+}
+
+# Formats of the scorecard's date rule in order of precedence. A date
+# that could be read both ways is taken day first.
+STRICT_FORMATS = (
+    "yyyy-MM-dd",
+    "yyyy/MM/dd",
+    "dd-MM-yyyy",
+    "MM-dd-yyyy",
+    "dd/MM/yyyy",
+    "MM/dd/yyyy",
+)
+
+
+def date_shape(pattern: str) -> str:
+    """Regular expression for text that a pattern of years, months and days can read."""
+    pieces = re.split("(y+|M+|d+)", pattern)
+    return "^" + "".join(PARTS.get(p, re.escape(p)) for p in pieces) + r"\z"
+
+
+def read_date(c: Column, pattern: str) -> Column:
+    return F.when(c.rlike(date_shape(pattern)), F.try_to_date(c, pattern))
 
 
 def parse_date_strict(c: Column) -> Column:
     """Two-digit rule of the scorecard, applied to the untrimmed text.
 
-    Year-first shapes are read as such. In year-last shapes a first part above 12 is
-    a day, else a second part above 12 is a day, else the date is taken day first.
-    One-digit days or months do not match any shape and give NULL.
+    One-digit days or months fit no format and give NULL.
     """
-    dashed = F.translate(c, "/", "-")
-    # A first part up to 12 with a second part above 12 can only be month first.
-    month_first = (F.substring(c, 1, 2) <= "12") & (F.substring(c, 4, 2) > "12")
-    year_last = F.when(month_first, F.try_to_date(dashed, "MM-dd-yyyy")).otherwise(
-        F.try_to_date(dashed, "dd-MM-yyyy")
-    )
-    return F.when(c.rlike(YEAR_FIRST), F.try_to_date(dashed, "yyyy-MM-dd")).when(
-        c.rlike(YEAR_LAST), year_last
-    )
+    return F.coalesce(*[read_date(c, pattern) for pattern in STRICT_FORMATS])
 
 
 def parse_date_us(c: Column) -> Column:
     """Month/day/year with one- or two-digit parts, the recommended rule for US text."""
-    return F.when(c.rlike(US_SHAPE), F.try_to_date(c, "M/d/yyyy"))
+    return read_date(c, "M/d/yyyy")
 
 
 DATE_RULES = {"strict": parse_date_strict, "us": parse_date_us}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Accepted numeric shapes and money types.
 PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?\z"
-FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+FLOAT_TEXT = r"^\s*[+-]?([0-9,]+\.?[0-9,]*|\.[0-9,]+)([eE][+-]?[0-9,]+)?\s*\z"
 MONEY = "decimal(18,2)"
 PERCENT = "decimal(9,4)"
 NUMERIC = "decimal(38,10)"
@@ -33,13 +33,12 @@ def parse_money(c: Column) -> Column:
 
 
 def parse_float(c: Column) -> Column:
-    """Number from text after dropping outer white space and thousands separators.
+    """Number from text that may have outer white space and thousands separators.
 
     The shape test keeps out what a JVM would accept but a data file does not mean,
-    such as `1d` or `NaN`.
+    such as `1d` or `NaN`, and spares other text a failing conversion.
     """
-    text = F.regexp_replace(c, r"^\s+|\s+\z|,", "")
-    return F.when(text.rlike(FLOAT_TEXT), text.try_cast("double"))
+    return F.when(c.rlike(FLOAT_TEXT), F.translate(c, ",", "").try_cast("double"))
 
 
 def money(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from assayer.config import CleaningPolicy
-from assayer.functions.dates import is_after, lead_days, parse_date_us
+from assayer.functions.dates import is_after, lead_days, parse_date_us, read_date
 from assayer.functions.keys import blank_to_null, date_columns, id_columns, normalize_key
 from assayer.functions.numbers import parse_float, parse_money_or_null
 from assayer.operators.shaping import union_all
@@ -35,7 +35,7 @@ def _date_text(name: str) -> Column:
 
 
 def _read_date(name: str, pattern: str) -> Column:
-    return F.try_to_date(_date_text(name), pattern)
+    return read_date(_date_text(name), pattern)
 
 
 def _text_dates(df: DataFrame) -> list[str]:
