@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.config import Layer
 from assayer.functions.numbers import NUMERIC, money, money_or_zero
-from assayer.operators.running import HEAVY_KEY_ROWS, order_windows
+from assayer.operators.running import HEAVY_KEY_ROWS, group_sizes, order_windows
 
 # Fixed value: acceptable days from order to shipment.
 LEAD_DAYS = (0, 30)
@@ -73,9 +73,10 @@ def surviving_orders(clean: Layer, lead: tuple[int, int] = LEAD_DAYS) -> DataFra
 
 
 def order_balances(clean: Layer, lead: tuple[int, int] = LEAD_DAYS) -> DataFrame:
-    """One row per surviving order with line totals, payment totals and balance."""
+    """One row per credible order with line totals, payment totals and balance."""
     return (
-        surviving_orders(clean, lead)
+        credible_orders(clean["orders"], lead)
+        .where(F.col("customer_id").isNotNull())
         .join(line_totals(clean["order_details"]), "order_id", "left")
         .join(payment_totals(clean["payments"]), "order_id", "left")
         .withColumns(
@@ -92,20 +93,6 @@ def order_balances(clean: Layer, lead: tuple[int, int] = LEAD_DAYS) -> DataFrame
     )
 
 
-def customer_sizes(clean: Layer, lead: tuple[int, int] = LEAD_DAYS) -> tuple[int, int]:
-    """(surviving orders of the heaviest customer, all surviving orders).
-
-    Orders are counted per customer before they meet the customers, so the check has
-    no heavy key itself. It reads the filter columns of orders and customers only.
-    """
-    active = active_customers(clean["customers"]).select("customer_id")
-    counted = credible_orders(clean["orders"], lead).groupBy("customer_id").count()
-    top, total = (
-        counted.join(active, "customer_id", "left_semi").agg(F.max("count"), F.sum("count")).first()
-    )
-    return top or 0, total or 0
-
-
 # Output columns in order.
 FACT_COLUMNS = [
     "order_id",
@@ -136,11 +123,19 @@ def order_fact(
 ) -> DataFrame:
     """Order facts with customer windows, latest orders first.
 
-    Lines and payments are brought to order grain before they join, and the customer
-    attributes join last: the windows have by then partitioned and sorted the orders
-    by customer, so only the customers move and the shuffles before stay narrow.
+    Lines and payments are brought to order grain before they join. Customers join
+    last, where the windows have partitioned and sorted the orders by customer: only
+    the customers move for it and the shuffles before stay narrow. Orders of inactive
+    customers leave at that join; no other customer's windows depend on them.
+
+    The windows' plan depends on the heaviest customer, counted beforehand in one
+    narrow scan of the orders.
     """
-    balances = order_balances(clean, lead)
-    windowed = order_windows(balances, sizes=customer_sizes(clean, lead), heavy=heavy)
-    fact = windowed.join(active_customers(clean["customers"]), "customer_id").select(*FACT_COLUMNS)
+    credible = credible_orders(clean["orders"], lead).where(F.col("customer_id").isNotNull())
+    fact = order_windows(
+        order_balances(clean, lead),
+        attributes=active_customers(clean["customers"]),
+        sizes=group_sizes(credible, "customer_id"),
+        heavy=heavy,
+    ).select(*FACT_COLUMNS)
     return fact.orderBy(F.col("order_date").desc(), F.col("order_id").desc()) if ordered else fact

@@ -27,6 +27,7 @@ def order_windows(
     key: str = "customer_id",
     order: Sequence[str] = ("order_date", "order_id"),
     amount: str = "order_total",
+    attributes: DataFrame | None = None,
     sizes: tuple[int, int] | None = None,
     heavy: int = HEAVY_KEY_ROWS,
 ) -> DataFrame:
@@ -35,45 +36,59 @@ def order_windows(
     All three share one window. When the heaviest key exceeds `heavy` rows, the
     windows run inside sorted chunks instead and each chunk is shifted by the totals
     of the key's earlier chunks.
+
+    `attributes` (one row per key) are joined to the result, and keys without any are
+    dropped. Joining here is cheap: the rows are already partitioned and sorted by
+    key, or, for heavy keys, the attributes travel with the chunk totals.
     """
     top, total = sizes if sizes is not None else group_sizes(df, key)
-    if top <= heavy:
-        ordered = Window.partitionBy(key).orderBy(*order)
-        running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(
-            "*",
-            F.row_number().over(ordered).cast("long").alias("order_seq"),
-            lead_days(F.lag(order[0]).over(ordered), F.col(order[0])).alias("days_since_prev_order"),
-            money(F.sum(amount).over(running)).alias("customer_running_spend"),
-        )
-    return _split_windows(df, key, order, amount, chunk_count(df, total))
+    if top > heavy:
+        return _split_windows(df, key, order, amount, attributes, chunk_count(df, total))
+    ordered = Window.partitionBy(key).orderBy(*order)
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    windowed = df.select(
+        "*",
+        F.row_number().over(ordered).cast("long").alias("order_seq"),
+        lead_days(F.lag(order[0]).over(ordered), F.col(order[0])).alias("days_since_prev_order"),
+        money(F.sum(amount).over(running)).alias("customer_running_spend"),
+    )
+    return windowed if attributes is None else windowed.join(attributes, key)
 
 
 def _split_windows(
-    df: DataFrame, key: str, order: Sequence[str], amount: str, chunks: int
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    amount: str,
+    attributes: DataFrame | None,
+    chunks: int,
 ) -> DataFrame:
-    rows = sorted_chunks(df, [key, *order], chunks)
+    # A struct around the key makes rows without one equal to each other in the join.
+    rows = sorted_chunks(df, [key, *order], chunks).withColumn("group", F.struct(key))
 
-    # Per key at most one row per chunk.
-    earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # Per group at most one row per chunk.
+    earlier = Window.partitionBy("group").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        rows.groupBy(key, "chunk")
+        rows.groupBy("group", "chunk")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(amount).alias("amount"),
             F.max(order[0]).alias("latest"),
         )
         .select(
-            key,
+            "group",
             "chunk",
-            F.sum("n").over(earlier).alias("rows_before"),
-            F.sum("amount").over(earlier).alias("amount_before"),
+            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"),
+            F.coalesce(F.sum("amount").over(earlier), F.lit(0)).alias("amount_before"),
             F.max("latest").over(earlier).alias("latest_before"),
         )
-        .where(F.col("rows_before").isNotNull())
     )
+    extra: list[str] = []
+    if attributes is not None:
+        extra = [c for c in attributes.columns if c != key]
+        before = before.withColumn(key, F.col(f"group.{key}")).join(attributes, key).drop(key)
 
-    ordered = Window.partitionBy(key, "chunk").orderBy(*order)
+    ordered = Window.partitionBy("group", "chunk").orderBy(*order)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.select(
         "*",
@@ -84,11 +99,10 @@ def _split_windows(
     previous = F.when(F.col("local_seq") == 1, F.col("latest_before")).otherwise(
         F.col("local_previous")
     )
-    return local.join(before, [key, "chunk"], "left").select(
-        *[local[c] for c in df.columns],
-        (F.coalesce("rows_before", F.lit(0)) + F.col("local_seq")).alias("order_seq"),
+    return local.join(before, ["group", "chunk"]).select(
+        *df.columns,
+        (F.col("rows_before") + F.col("local_seq")).alias("order_seq"),
         lead_days(previous, F.col(order[0])).alias("days_since_prev_order"),
-        money(F.coalesce("amount_before", F.lit(0)) + F.col("local_amount")).alias(
-            "customer_running_spend"
-        ),
+        money(F.col("amount_before") + F.col("local_amount")).alias("customer_running_spend"),
+        *extra,
     )
