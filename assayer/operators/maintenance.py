@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.config import Layer
@@ -31,5 +31,6 @@ def load_summary(layer: Layer, schema: str) -> DataFrame:
         )
         for t, df in layer.items()
     )
-    total = counts.agg(F.sum("rows").alias("total_rows"))
-    return counts.crossJoin(F.broadcast(total))  # one row
+    # The window holds one row per table.
+    total = F.sum("rows").over(Window.partitionBy("table_schema"))
+    return counts.withColumn("total_rows", total)

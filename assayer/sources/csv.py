@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer import wholesale
 from assayer.functions.keys import camel_to_snake
+from assayer.operators.shaping import union_all
 from assayer.sources.encoding import detect_encodings
 
 # Encoding names of the discovery -> those of Spark's reader.
@@ -36,13 +36,13 @@ def _windows_1252(c: Column) -> Column:
 
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     columns: Sequence[str] | None = None,
     encoding: str = "utf-8",
     null_tokens: Collection[str] = (),
     multi_line: bool = False,
 ) -> DataFrame:
-    """All-text table of a headed CSV file; empty fields, and given tokens, are NULL.
+    """All-text table of headed CSV files; empty fields, and given tokens, are NULL.
 
     With `columns` nothing is read until the table is used; else the header line is.
     Files without line breaks inside fields split over tasks. UTF-16 and UTF-32 files
@@ -69,20 +69,33 @@ def read_csv(
 
 def list_tables(
     spark: SparkSession, folder: str, only: Collection[str] = (), skip: Collection[str] = ()
-) -> dict[str, tuple[str, str]]:
-    """{table: (path, encoding)} of the CSV files in a folder, by snake-cased file stem.
+) -> dict[str, dict[str, list[str]]]:
+    """{table: {encoding: paths}} of a folder.
 
-    `only` and `skip` take table or file names in any case.
+    A CSV file in the folder is a table, and so is a subfolder of CSV files; the
+    snake-cased file stem or folder name is its name. `only` and `skip` take table or
+    file names in any case. A subfolder in a single encoding is given as one path, so
+    its files are not listed here.
     """
-    files = {r["path"]: r["encoding"] for r in detect_encodings(spark, folder).collect()}
+    root = folder.rstrip("/") + "/"
+    below = F.substring(F.col("path"), F.instr("path", root) + len(root), F.length("path"))
+    child = F.substring_index(below, "/", 1)
+    files = detect_encodings(spark, folder).withColumn("source", child)
+    encodings = files.groupBy("source").agg(F.collect_set("encoding").alias("encodings"))
+    uniform = {r["source"]: r["encodings"] for r in encodings.collect()}
+    mixed = [source for source, names in uniform.items() if len(names) > 1]
+
     only, skip = {x.lower() for x in only}, {x.lower() for x in skip}
-    tables = {}
-    for path in sorted(files):
-        file = PurePosixPath(path)
-        table = camel_to_snake(file.stem)
-        names = {table, file.stem.lower(), file.name.lower()}
+    tables: dict[str, dict[str, list[str]]] = {}
+    for source in sorted(uniform):
+        stem = source.removesuffix(".csv")
+        names = {camel_to_snake(stem), stem.lower(), source.lower()}
         if (not only or names & only) and not names & skip:
-            tables[table] = (path, files[path])
+            paths = {e: [root + source] for e in uniform[source]}
+            if source in mixed:
+                rows = files.where(child == source).select("path", "encoding").collect()
+                paths = {e: [r["path"] for r in rows if r["encoding"] == e] for e in paths}
+            tables[camel_to_snake(stem)] = paths
     return tables
 
 
@@ -97,10 +110,13 @@ def load_layer(
     """Tables of a folder and the encoding each was read with."""
     found = list_tables(spark, folder, only, skip)
     tables = {
-        t: read_csv(spark, path, None, encoding, null_tokens, multi_line)
-        for t, (path, encoding) in found.items()
+        t: union_all(
+            read_csv(spark, paths, None, encoding, null_tokens, multi_line)
+            for encoding, paths in parts.items()
+        )
+        for t, parts in found.items()
     }
-    return tables, {t: encoding for t, (_, encoding) in found.items()}
+    return tables, {t: ",".join(sorted(parts)) for t, parts in found.items()}
 
 
 def load_wholesale(

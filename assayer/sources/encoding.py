@@ -35,7 +35,7 @@ def _facts(raw: Column) -> list[Column]:
 
 
 def detect_encodings(spark: SparkSession, path: str, whole: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """(path, encoding) of every CSV file below a folder.
+    """(path, encoding) of every CSV file below a folder, at any depth.
 
     A byte order mark decides; else UTF-8 if every byte sequence is valid, else
     Windows-1252 unless the file has bytes undefined there, else Latin-1. Files above
@@ -43,13 +43,14 @@ def detect_encodings(spark: SparkSession, path: str, whole: int = WHOLE_FILE_BYT
     sequence, so the file is valid when each of its lines is. (The line reader drops
     a UTF-8 mark, so such a file is reported as plain UTF-8.)
     """
-    binary = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    reader = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+    binary = reader.format("binaryFile").load(path)
     small = binary.where(F.col("length") <= whole).select(
         "path", _mark(F.substring("content", 1, 4)).alias("mark"), *_facts(F.col("content"))
     )
     lines = (
-        spark.read.option("pathGlobFilter", "*.csv")
-        .text(path)
+        reader.format("text")
+        .load(path)
         .where(F.col("_metadata.file_size") > whole)
         .select(
             F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"),

@@ -327,6 +327,12 @@ ORACLES: dict[str, str] = {
     "parse_numbers": f"""select order_id as "OrderID", {plain_number("total_price")} as plain_number,
         coalesce({money_text("total_price")}, 0)::decimal(18,2) as amount from ({RAW["orders"]})""",
     "cell_labels": CELL_LABELS,
+    "sql_functions": f"""select order_id, {weak_key("customer_id")} as customer_id,
+        {strict_date("order_date")} as order_date, {plain_number("total_price")} as total_price
+        from ({RAW["orders"]})""",
+    "csv_reload": f"""{with_layer(tables=["customers", "orders"])}
+        select o.*, customer_name as c_name, market_segment
+        from stg_orders o join stg_customers using (customer_id)""",
     "null_profile": f"{with_layer()} {_union([_completeness(t) for t in TABLES])}",
     "pk_profile": f"{with_layer()} {_union([_key(t) for t in TABLES])}",
     "date_range": f"{with_layer()} {_union([_dates(t) for t in CHECKS.dates])}",

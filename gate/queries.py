@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,16 @@ from assayer.functions.dates import lead_days, parse_date_strict, parse_date_us
 from assayer.functions.keys import norm_id, normalize_key
 from assayer.functions.labels import merged_label, value_label
 from assayer.functions.numbers import parse_money, parse_number_strict
+from assayer.functions.sql import register_functions
 from assayer.operators import checks, cleaning, maintenance, orders, profiling, relations, running
 from assayer.operators.scoring import score
 from assayer.operators.shaping import union_all
-from assayer.operators.staging import snake_names, stage_layer, stage_table
+from assayer.operators.staging import register_views, snake_names, stage_layer, stage_table
 from assayer.plans.cleaning import clean_layer, cleaning_report
 from assayer.plans.scorecard import export_fk_detail, export_scorecard, merge_metrics, scorecard
+from assayer.session import ensure_checkpoint_dir
+from assayer.sources.csv import load_layer
+from assayer.sources.sinks import write_csv
 from gate import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +146,31 @@ def cell_labels(spark, sf_dir):
     )
 
 
+@query
+def sql_functions(spark, sf_dir):
+    """The rules called from SQL over registered views."""
+    register_functions(spark)
+    register_views({"orders": snake_names(inputs.raw_orders(spark, sf_dir))}, "raw")
+    return spark.sql(
+        "select order_id, norm_id(customer_id) as customer_id,"
+        " try_parse_date(order_date) as order_date,"
+        " try_parse_numeric(total_price) as total_price from raw_orders"
+    )
+
+
+@query
+def csv_reload(spark, sf_dir):
+    """Orders and customers written as CSV folders, found again, read and staged."""
+    folder = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    for name, build in {"Customers": inputs.raw_customers, "Orders": inputs.raw_orders}.items():
+        write_csv(build(spark, sf_dir), f"{folder}/{name}")
+    staged = stage_layer(load_layer(spark, folder)[0])
+    customers = staged["customers"].withColumnRenamed("customer_name", "c_name")
+    return staged["orders"].join(
+        customers.select("customer_id", "c_name", "market_segment"), "customer_id"
+    )
+
+
 # --- scorecard ------------------------------------------------------------------
 
 

@@ -53,8 +53,8 @@ ENCODINGS = {
 
 
 def test_encodings(spark, folder):
-    found = {t: e for t, (_, e) in list_tables(spark, folder).items()}
-    assert found == ENCODINGS
+    found = {t: list(parts) for t, parts in list_tables(spark, folder).items()}
+    assert found == {t: [e] for t, e in ENCODINGS.items()}
 
 
 def test_encodings_of_large_files(spark, folder):
@@ -79,6 +79,17 @@ def test_load_layer(spark, folder):
         ], name
 
 
+def test_tables_of_many_files(spark, tmp_path):
+    """A subfolder is a table; its files may differ in encoding."""
+    for name, encoding in {"a": "utf-8", "b": "utf-16", "c": "utf-8"}.items():
+        (tmp_path / "BigTable").mkdir(exist_ok=True)
+        (tmp_path / "BigTable" / f"{name} 1+1.csv").write_text(f"ID,V\n{name},ä\n", encoding)
+    tables, encodings = load_layer(spark, str(tmp_path) + "/")
+    assert encodings == {"big_table": "utf-16,utf-8"}
+    rows = sorted(map(tuple, tables["big_table"].collect()))
+    assert rows == [("a", "ä"), ("b", "ä"), ("c", "ä")]
+
+
 def test_selection(spark, folder):
     assert set(list_tables(spark, folder, only=["PLAIN.CSV", "odd"])) == {"plain", "odd"}
     assert "odd" not in list_tables(spark, folder, skip=["Odd"])
