@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from assayer.config import Checks, key_list
 from assayer.functions.dates import DATE_RULES, any_of, row_earliest, row_latest
 from assayer.functions.numbers import parse_number_strict, percent, strip_separators
+from assayer.operators.shaping import cell
 
 
 def _named(df: DataFrame, schema: str, table: str) -> DataFrame:
@@ -23,7 +24,7 @@ def _named(df: DataFrame, schema: str, table: str) -> DataFrame:
 
 def _null_cells(df: DataFrame) -> Column:
     """Missing cells of a row, so that one sum covers any number of columns."""
-    return sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0))
+    return sum((cell(c).isNull().cast("int") for c in df.columns), F.lit(0))
 
 
 def _completeness(df: DataFrame) -> list[Column]:
@@ -45,7 +46,7 @@ def _with_percent(df: DataFrame, columns: int) -> DataFrame:
 
 
 def _date_range(columns: Sequence[str], rule: str) -> list[Column]:
-    parsed = [DATE_RULES[rule](F.col(c)) for c in columns]
+    parsed = [DATE_RULES[rule](cell(c)) for c in columns]
     return [
         F.min(row_earliest(parsed)).alias("date_min"),
         F.max(row_latest(parsed)).alias("date_max"),
@@ -53,7 +54,7 @@ def _date_range(columns: Sequence[str], rule: str) -> list[Column]:
 
 
 def _negative_rows(columns: Sequence[str], strip_thousands: bool) -> Column:
-    cells = [strip_separators(F.col(c)) if strip_thousands else F.col(c) for c in columns]
+    cells = [strip_separators(cell(c)) if strip_thousands else cell(c) for c in columns]
     negative = any_of([parse_number_strict(c) < 0 for c in cells])
     return F.count_if(negative).alias("neg_value_flags")
 
@@ -99,8 +100,8 @@ def key_health(
     A composite key counts as missing when any part is.
     """
     columns = key_list(key)
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    missing = any_of([F.col(c).isNull() for c in columns])
+    counted = df.groupBy(*[cell(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
+    missing = any_of([cell(c).isNull() for c in columns])
     rows = F.coalesce(F.sum("n"), F.lit(0))
     without = F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0))
     surplus = F.coalesce(F.sum(F.when(~missing, F.col("n") - 1)), F.lit(0))

@@ -13,7 +13,7 @@ from assayer.config import CleaningPolicy
 from assayer.functions.dates import is_after, lead_days, parse_date_us, read_date
 from assayer.functions.keys import blank_to_null, date_columns, id_columns, normalize_key
 from assayer.functions.numbers import parse_float, parse_money_or_null
-from assayer.operators.shaping import union_all
+from assayer.operators.shaping import cell, union_all
 from assayer.operators.staging import snake_names
 
 
@@ -31,7 +31,7 @@ class DateChoice:
 
 
 def _date_text(name: str) -> Column:
-    return blank_to_null(F.col(name).cast("string"))
+    return blank_to_null(cell(name).cast("string"))
 
 
 def _read_date(name: str, pattern: str) -> Column:
@@ -53,8 +53,8 @@ def date_format_counts(df: DataFrame, columns: Sequence[str], formats: Sequence[
                 F.lit(f).alias("format"),
                 F.count(_date_text(c)).alias("present"),
                 F.count(_read_date(c, f)).alias("parsed"),
-            ).alias(f"{c}_{i}")
-            for c in columns
+            ).alias(f"c{j}_{i}")
+            for j, c in enumerate(columns)
             for i, f in enumerate(formats)
         ]
     )
@@ -89,7 +89,7 @@ def choose_date_formats(
 
 
 def _date_value(df: DataFrame, name: str, dates: Mapping[str, DateChoice]) -> Column:
-    return _read_date(name, dates[name].format) if name in dates else df[name].cast("date")
+    return _read_date(name, dates[name].format) if name in dates else cell(name).cast("date")
 
 
 def _date_order(df: DataFrame, table: str, policy: CleaningPolicy) -> tuple[str, str] | None:
@@ -119,13 +119,13 @@ def clean_table(
     descriptive text, date-order flags. Unreadable values become NULL, never a guess."""
     named = snake_names(df)
     typed: dict[str, Column] = {
-        c: normalize_key(named[c].cast("string")) for c in id_columns(named.columns)
+        c: normalize_key(cell(c).cast("string")) for c in id_columns(named.columns)
     }
     typed |= {c: _date_value(named, c, dates) for c in date_columns(named.columns)}
     for c in policy.money.get(table, ()):
-        typed[c] = parse_money_or_null(named[c].cast("string"))
+        typed[c] = parse_money_or_null(cell(c).cast("string"))
     for c in policy.integers.get(table, ()):
-        typed[c] = parse_float(named[c].cast("string")).try_cast("int")
+        typed[c] = parse_float(cell(c).cast("string")).try_cast("int")
     cleaned = impute(named.withColumns(typed), policy.fill.get(table, {}))
     order = _date_order(named, table, policy)
     return add_date_order_flags(cleaned, *order) if order else cleaned
@@ -147,7 +147,7 @@ def cleaning_figures(
     counted = named.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(flag).alias("orderdate_gt_shipdate_cnt"),
-        *[F.count_if(named[c].isNull()).alias(f"fill_{c}") for c in filled],
+        *[F.count_if(cell(c).isNull()).alias(f"fill_{c}") for c in filled],
     )
     fills = {c: F.col(f"fill_{c}") for c in filled}
     listed = [F.format_string(f"'{c}': %d", n) for c, n in fills.items()]

@@ -10,7 +10,14 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from assayer.functions.labels import BLANK_LABEL, LABEL_RULES, NULL_LABEL
 from assayer.functions.numbers import parse_float, percent
-from assayer.operators.shaping import chunk_count, sorted_chunks, to_long, union_all
+from assayer.operators.shaping import (
+    cell,
+    chunk_bounds,
+    chunk_count,
+    sorted_chunks,
+    to_long,
+    union_all,
+)
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
@@ -30,7 +37,7 @@ def value_dictionary(
     One scan and one shuffle for all columns; values are counted before the shuffle,
     so it carries distinct values per task and a frequent value is not heavy.
     """
-    cells = {c: LABEL_RULES[labels](F.col(c)) for c in columns}
+    cells = {c: LABEL_RULES[labels](cell(c)) for c in columns}
     return (
         to_long(df, cells, "column_name", "col_value")
         .groupBy("column_name", "col_value")
@@ -75,21 +82,24 @@ def dictionary_index(dictionary: DataFrame) -> DataFrame:
 def top_values(dictionary: DataFrame, n: int) -> DataFrame:
     """The n most frequent values of each column, ties by smallest value.
 
-    Spark keeps only the first n of a column per task before the shuffle while n is
-    small. Beyond that a first cut per column and value bucket does the same, so no
-    task receives a whole high-cardinality column.
+    While n is small, Spark keeps only the first n of a column per task before the
+    shuffle. Beyond that, values are ranked in sorted chunks, so that no task receives
+    a whole high-cardinality column.
     """
-
-    def first(df: DataFrame, *keys: str) -> DataFrame:
-        ranks = Window.partitionBy(*keys).orderBy(F.col("cnt").desc(), "col_value")
-        return df.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= n)
-
-    if n > int(dictionary.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        bucket = F.pmod(F.xxhash64("col_value"), F.lit(1024))
-        dictionary = first(dictionary.withColumn("bucket", bucket), *COLUMN_KEY, "bucket").drop(
-            "bucket", "rank"
-        )
-    return first(dictionary, *COLUMN_KEY)
+    best = [F.col("cnt").desc(), F.col("col_value")]
+    session = dictionary.sparkSession
+    if n <= int(session.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        rank = F.row_number().over(Window.partitionBy(*COLUMN_KEY).orderBy(*best))
+        return dictionary.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n)
+    chunks = sorted_chunks(dictionary, [*COLUMN_KEY, *best], chunk_count(dictionary))
+    bounds = chunk_bounds(chunks, COLUMN_KEY, F.count(F.lit(1))).where(F.col("start") < n)
+    within = F.row_number().over(Window.partitionBy(*COLUMN_KEY, "chunk").orderBy(*best))
+    return (
+        chunks.join(bounds, [*COLUMN_KEY, "chunk"])
+        .withColumn("rank", F.col("start") + within)
+        .where(F.col("rank") <= n)
+        .select(*dictionary.columns, "rank")
+    )
 
 
 def distinct_with_null(dictionary: DataFrame) -> DataFrame:
@@ -138,14 +148,14 @@ def numeric_ratios(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         *[
             F.struct(
                 F.lit(c).alias("column_name"),
-                F.count(c).alias("present"),
-                F.count(parse_float(F.col(c))).alias("numeric"),
-            ).alias(c)
-            for c in texts
+                F.count(cell(c)).alias("present"),
+                F.count(parse_float(cell(c))).alias("numeric"),
+            ).alias(f"c{i}")
+            for i, c in enumerate(texts)
         ]
     )
     ratio = F.col("numeric") / F.nullif(F.col("present"), F.lit(0))
-    return measured.select(F.inline(F.array(*[F.col(c) for c in texts]))).withColumn("ratio", ratio)
+    return measured.select(F.inline(F.array(*measured.columns))).withColumn("ratio", ratio)
 
 
 def coerce_numeric(df: DataFrame, min_ratio: float = 0.85) -> DataFrame:
@@ -156,7 +166,7 @@ def coerce_numeric(df: DataFrame, min_ratio: float = 0.85) -> DataFrame:
     if not any(isinstance(f.dataType, StringType) for f in df.schema):
         return df
     numeric = numeric_ratios(df).where(F.col("ratio") >= min_ratio).collect()
-    return df.withColumns({r["column_name"]: parse_float(F.col(r["column_name"])) for r in numeric})
+    return df.withColumns({r["column_name"]: parse_float(cell(r["column_name"])) for r in numeric})
 
 
 # --- descriptions ---------------------------------------------------------------
@@ -166,9 +176,9 @@ def _numeric_cells(df: DataFrame, columns: Sequence[str] | None) -> dict[str, Co
     fields = [f for f in df.schema if isinstance(f.dataType, NumericType)]
     wanted = [f for f in fields if columns is None or f.name in columns]
     return {
-        f.name: F.nanvl(F.col(f.name).cast("double"), F.lit(None).cast("double"))
+        f.name: F.nanvl(cell(f.name).cast("double"), F.lit(None).cast("double"))
         if isinstance(f.dataType, (DoubleType, FloatType))
-        else F.col(f.name).cast("double")
+        else cell(f.name).cast("double")
         for f in wanted
     }
 
@@ -210,19 +220,7 @@ def exact_quantiles(
     )
     chunks = sorted_chunks(counted, [*by, "value"], chunk_count(cells))
 
-    # At most one row per group and chunk.
-    so_far = Window.partitionBy(*by).orderBy("chunk")
-    bounds = (
-        chunks.groupBy(*by, "chunk")
-        .agg(F.sum("n").alias("rows"))
-        .select(
-            *by,
-            "chunk",
-            (F.sum("rows").over(so_far) - F.col("rows")).alias("start"),
-            F.sum("rows").over(so_far).alias("end"),
-            F.sum("rows").over(Window.partitionBy(*by)).alias("total"),
-        )
-    )
+    bounds = chunk_bounds(chunks, by, F.sum("n"))
     rank = {name: (F.col("total") - 1) * p for name, p in probabilities.items()}
     ranks = F.array(
         *[
@@ -346,7 +344,7 @@ def describe_layout(described: DataFrame, fields: Sequence[str] | None = None) -
 
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, unique, top and freq of text columns over their present values."""
-    cells = {c: F.col(c).cast("string") for c in columns or df.columns}
+    cells = {c: cell(c).cast("string") for c in columns or df.columns}
     counted = (
         to_long(df, cells, "field", "value")
         .groupBy("field", "value")

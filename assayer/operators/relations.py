@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayer.config import Layer, Relation
 from assayer.functions.keys import norm_id
 from assayer.functions.numbers import percent
-from assayer.operators.shaping import to_long, union_all
+from assayer.operators.shaping import cell, to_long, union_all
 
 
 def _pick(options: dict[str, str], key: Column) -> Column:
@@ -27,7 +27,7 @@ def _foreign_values(layer: Layer, relations: dict[str, Relation]) -> DataFrame:
     frames = []
     for child in dict.fromkeys(r.child for r in relations.values()):
         df = layer[child]
-        keys = {i: df[r.fk].cast("string") for i, r in relations.items() if r.child == child}
+        keys = {i: cell(r.fk).cast("string") for i, r in relations.items() if r.child == child}
         frames.append(to_long(df, keys, "relation", "fk"))
     return union_all(frames).groupBy("relation", "fk").agg(F.count(F.lit(1)).alias("n"))
 
@@ -38,7 +38,7 @@ def _parent_keys(layer: Layer, relations: dict[str, Relation]) -> DataFrame:
     for parent, pk in dict.fromkeys((r.parent, r.pk) for r in relations.values()):
         frames.append(
             layer[parent].select(
-                F.lit(f"{parent}.{pk}").alias("parent"), F.col(pk).cast("string").alias("pk")
+                F.lit(f"{parent}.{pk}").alias("parent"), cell(pk).cast("string").alias("pk")
             )
         )
     pk, norm = F.col("pk"), F.col("norm_pk")

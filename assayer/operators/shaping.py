@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.session import ensure_checkpoint_dir
@@ -16,13 +16,19 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def cell(name: str) -> Column:
+    """Column by its exact name, whatever characters that has."""
+    quoted = name.replace("`", "``")
+    return F.col(f"`{quoted}`")
+
+
 def to_long(df: DataFrame, columns: dict[str, Column], name: str, value: str) -> DataFrame:
     """One row per (column, cell). All cells must share a type."""
     narrow = df.select(*[c.alias(n) for n, c in columns.items()])
-    return narrow.unpivot([], list(columns), name, value)
+    return narrow.unpivot([], [cell(n) for n in columns], name, value)
 
 
-def sorted_chunks(df: DataFrame, order: list[str], chunks: int) -> DataFrame:
+def sorted_chunks(df: DataFrame, order: Sequence[str | Column], chunks: int) -> DataFrame:
     """Rows numbered by `chunk`, where chunk i holds only rows ordered before chunk i+1.
 
     Range partitioning splits a heavy key by the remaining order columns, so a chunk
@@ -38,6 +44,26 @@ def sorted_chunks(df: DataFrame, order: list[str], chunks: int) -> DataFrame:
     )
 
 
+def chunk_bounds(chunks: DataFrame, by: Sequence[str], rows: Column) -> DataFrame:
+    """Running total of `rows` before and after each chunk of a group, and over all.
+
+    At most one row per group and chunk, so a group's window is small.
+    """
+    so_far = Window.partitionBy(*by).orderBy("chunk")
+    end = F.sum("rows").over(so_far)
+    return (
+        chunks.groupBy(*by, "chunk")
+        .agg(rows.alias("rows"))
+        .select(
+            *by,
+            "chunk",
+            (end - F.col("rows")).alias("start"),
+            end.alias("end"),
+            F.sum("rows").over(Window.partitionBy(*by)).alias("total"),
+        )
+    )
+
+
 def chunk_count(df: DataFrame, rows: int | None = None, rows_per_chunk: int = 1_000_000) -> int:
     """Session parallelism, or more when the row count is known to need it."""
     parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from assayer.config import Layer
 from assayer.functions.keys import blank_to_null, camel_to_snake, id_columns, normalize_key
+from assayer.operators.shaping import cell
 
 
 def snake_names(df: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def stage_table(df: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
     keys = set(id_columns(named.columns) if ids is None else ids)
     return named.select(
         *[
-            (normalize_key if c in keys else blank_to_null)(named[c].cast("string")).alias(c)
+            (normalize_key if c in keys else blank_to_null)(cell(c).cast("string")).alias(c)
             for c in named.columns
         ]
     )

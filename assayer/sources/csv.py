@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer import wholesale
 from assayer.functions.keys import camel_to_snake
-from assayer.operators.shaping import union_all
+from assayer.operators.shaping import cell, union_all
 from assayer.sources.encoding import detect_encodings
 
 # Encoding names of the discovery -> those of Spark's reader.
@@ -60,10 +60,8 @@ def read_csv(
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
     df = reader.csv(path)
     empty = ["", *null_tokens]
-    cells = {
-        c: (_windows_1252(F.col(f"`{c}`")) if encoding.lower() == "cp1252" else F.col(f"`{c}`"))
-        for c in df.columns
-    }
+    western = encoding.lower() == "cp1252"
+    cells = {c: _windows_1252(cell(c)) if western else cell(c) for c in df.columns}
     return df.select(*[F.when(~e.isin(empty), e).alias(c) for c, e in cells.items()])
 
 

@@ -167,7 +167,7 @@ def _dictionary(merged: bool = False) -> str:
 
 def _ranked(n: int) -> str:
     return f"""select *, (row_number() over (partition by table_name, column_name
-                                             order by cnt desc, col_value))::integer as rank
+                                             order by cnt desc, col_value)) as rank
                from ({_dictionary()}) qualify rank <= {n}"""
 
 

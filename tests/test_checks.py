@@ -35,6 +35,14 @@ def test_stage_table(spark):
     ]
 
 
+def test_odd_column_names(spark):
+    raw = spark.createDataFrame([("1.0", " ")], ["v1.itemID", "Unit `Price`"])
+    staged = stage_table(raw)
+    assert [tuple(r) for r in staged.collect()] == [("1", None)]
+    assert checks.completeness(staged, "t").first()["null_cells"] == 1
+    assert checks.key_health(staged, "t", "v1.item_id").first()["pk_duplicate_rows"] == 0
+
+
 def test_views(spark):
     layer = stage_layer({"customers": text(spark, "CustomerID", [("1",)])})
     assert register_views(layer, "stg") == ["stg_customers"]
