@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayer import wholesale
 from assayer.functions.keys import camel_to_snake
 from assayer.operators.shaping import cell, union_all
-from assayer.sources.encoding import detect_encodings
+from assayer.sources.encoding import detect_encodings, list_files
 
 # Encoding names of the discovery -> those of Spark's reader.
 SPARK_NAMES = {
@@ -66,19 +66,27 @@ def read_csv(
 
 
 def list_tables(
-    spark: SparkSession, folder: str, only: Collection[str] = (), skip: Collection[str] = ()
+    spark: SparkSession,
+    folder: str,
+    only: Collection[str] = (),
+    skip: Collection[str] = (),
+    encoding: str | None = None,
 ) -> dict[str, dict[str, list[str]]]:
     """{table: {encoding: paths}} of a folder.
 
     A CSV file in the folder is a table, and so is a subfolder of CSV files; the
     snake-cased file stem or folder name is its name. `only` and `skip` take table or
     file names in any case. A subfolder in a single encoding is given as one path, so
-    its files are not listed here.
+    its files are not listed here. With `encoding` no file is opened to find it out.
     """
     root = folder.rstrip("/") + "/"
     below = F.substring(F.col("path"), F.instr("path", root) + len(root), F.length("path"))
     child = F.substring_index(below, "/", 1)
-    files = detect_encodings(spark, folder).withColumn("source", child)
+    if encoding is None:
+        files = detect_encodings(spark, folder)
+    else:
+        files = list_files(spark, folder).withColumn("encoding", F.lit(encoding))
+    files = files.withColumn("source", child)
     encodings = files.groupBy("source").agg(F.collect_set("encoding").alias("encodings"))
     uniform = {r["source"]: r["encodings"] for r in encodings.collect()}
     mixed = [source for source, names in uniform.items() if len(names) > 1]
@@ -104,13 +112,17 @@ def load_layer(
     skip: Collection[str] = (),
     null_tokens: Collection[str] = (),
     multi_line: bool = False,
+    encoding: str | None = None,
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Tables of a folder and the encoding each was read with."""
-    found = list_tables(spark, folder, only, skip)
+    """Tables of a folder and the encoding each was read with.
+
+    Finding encodings out reads every file once more; name a known one to avoid that.
+    """
+    found = list_tables(spark, folder, only, skip, encoding)
     tables = {
         t: union_all(
-            read_csv(spark, paths, None, encoding, null_tokens, multi_line)
-            for encoding, paths in parts.items()
+            read_csv(spark, paths, None, name, null_tokens, multi_line)
+            for name, paths in parts.items()
         )
         for t, parts in found.items()
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.shaping import union_all
@@ -29,9 +29,17 @@ def _mark(head: Column) -> Column:
     return found
 
 
-def _facts(raw: Column) -> list[Column]:
-    odd = F.decode(raw, "ISO-8859-1").rlike(NOT_IN_CP1252)
-    return [F.is_valid_utf8(raw.cast("string")).alias("utf8"), odd.alias("odd")]
+def _odd(raw: Column) -> Column:
+    return F.decode(raw, "ISO-8859-1").rlike(NOT_IN_CP1252)
+
+
+def _files(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of every CSV file below a folder, without opening one."""
+    return _files(spark).format("binaryFile").load(path).select("path")
 
 
 def detect_encodings(spark: SparkSession, path: str, whole: int = WHOLE_FILE_BYTES) -> DataFrame:
@@ -43,13 +51,22 @@ def detect_encodings(spark: SparkSession, path: str, whole: int = WHOLE_FILE_BYT
     sequence, so the file is valid when each of its lines is. (The line reader drops
     a UTF-8 mark, so such a file is reported as plain UTF-8.)
     """
-    reader = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
-    binary = reader.format("binaryFile").load(path)
-    small = binary.where(F.col("length") <= whole).select(
-        "path", _mark(F.substring("content", 1, 4)).alias("mark"), *_facts(F.col("content"))
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    small = (
+        _files(spark)
+        .format("binaryFile")
+        .load(path)
+        .where(F.col("length") <= whole)
+        .select(
+            "path",
+            _mark(F.substring("content", 1, 4)).alias("mark"),
+            valid.alias("utf8"),
+            F.when(~valid, _odd(F.col("content"))).alias("odd"),
+        )
     )
     lines = (
-        reader.format("text")
+        _files(spark)
+        .format("text")
         .load(path)
         .where(F.col("_metadata.file_size") > whole)
         .select(
@@ -62,7 +79,12 @@ def detect_encodings(spark: SparkSession, path: str, whole: int = WHOLE_FILE_BYT
     wide = F.contains(F.decode("value", "ISO-8859-1"), F.lit("\u0000"))
     marked = F.when(F.col("first_block") & wide, _mark(F.substring("value", 1, 4)))
     large = (
-        lines.select("path", marked.alias("mark"), *_facts(F.col("value")))
+        lines.select(
+            "path",
+            marked.alias("mark"),
+            F.is_valid_utf8(F.col("value").cast("string")).alias("utf8"),
+            _odd(F.col("value")).alias("odd"),
+        )
         .groupBy("path")
         .agg(F.max("mark").alias("mark"), F.every("utf8").alias("utf8"), F.bool_or("odd").alias("odd"))
     )

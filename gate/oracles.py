@@ -320,11 +320,11 @@ ORACLES: dict[str, str] = {
         from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""",
     "stage_orders": staged("orders"),
     "stage_customers": staged("customers"),
-    "key_rules": f"""select order_id as "OrderID", {staged_key("customer_id")} as staged_key,
+    "stage_keys": f"""select order_id as "OrderID", {staged_key("customer_id")} as staged_key,
         {weak_key("customer_id")} as weak_key from ({RAW["orders"]})""",
     "parse_dates": f"""select order_id as "OrderID", {strict_date("order_date")} as strict_date,
         {us_date("order_date")} as us_date from ({RAW["orders"]})""",
-    "parse_numbers": f"""select order_id as "OrderID", {plain_number("total_price")} as plain_number,
+    "parse_money": f"""select order_id as "OrderID", {plain_number("total_price")} as plain_number,
         coalesce({money_text("total_price")}, 0)::decimal(18,2) as amount from ({RAW["orders"]})""",
     "cell_labels": CELL_LABELS,
     "sql_functions": f"""select order_id, {weak_key("customer_id")} as customer_id,
@@ -359,7 +359,7 @@ ORACLES: dict[str, str] = {
                     when 100 * (null_fk_rows + orphan_rows_raw) >= base_rows then 'Medium'
                     else 'Low' end as severity
         from r""",
-    "scorecard_metrics": f"{SCORECARD} select * from card order by table_schema, table_name",
+    "scorecard": f"{SCORECARD} select * from card order by table_schema, table_name",
     "scorecard_scored": f"{SCORECARD} {SCORE}",
     "scorecard_merge": f"""{SCORECARD} select table_schema, table_name, row_count, suspected_pk,
         pk_null_pct, pk_duplicate_rows, date_min, date_max from card""",
@@ -423,7 +423,7 @@ ORACLES: dict[str, str] = {
     "cleaned_products": f"""select {staged_key("product_id")} as product_id, product_name,
         coalesce(color, 'unknown') as color, {money_text("purchase_price")} as purchase_price
         from ({PRODUCTS})""",
-    "cleaned_report": f"{REPORT} order by 1",
+    "cleaning_report": f"{REPORT} order by 1",
     "impute_unknown": f"""select product_id, product_name, coalesce(color, 'unknown') as color,
         purchase_price from ({PRODUCTS})""",
     "lead_time_flags": f"""{FACT_LAYER} select order_id, order_date, ship_date,
@@ -446,7 +446,7 @@ ORACLES: dict[str, str] = {
         from (select l_linestatus, l_shipdate::date - o_orderdate::date as days
               from lineitem join orders on l_orderkey = o_orderkey)
         group by 1""",
-    "upsert_metrics": f"""{with_layer("raw")}, {with_layer("stg").removeprefix("with ")}
+    "upsert_scorecard": f"""{with_layer("raw")}, {with_layer("stg").removeprefix("with ")}
         {_union([_completeness(t, "stg" if t in ("customers", "orders", "parts") else "raw")
                  for t in TABLES])}""",
     "insert_missing_tables": f"""{with_layer()}

@@ -29,7 +29,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
+    """Registers under the function's name; a trailing _ avoids clashes with imports."""
+    QUERIES[build.__name__.rstrip("_")] = build
     return build
 
 
@@ -107,7 +108,7 @@ def stage_customers(spark, sf_dir):
 
 
 @query
-def key_rules(spark, sf_dir):
+def stage_keys(spark, sf_dir):
     raw = inputs.raw_orders(spark, sf_dir)
     return raw.select(
         "OrderID",
@@ -127,7 +128,7 @@ def parse_dates(spark, sf_dir):
 
 
 @query
-def parse_numbers(spark, sf_dir):
+def parse_money_(spark, sf_dir):
     raw, text = inputs.raw_orders(spark, sf_dir), F.col("TotalPrice")
     return raw.select(
         "OrderID",
@@ -251,7 +252,7 @@ def recon_buckets(spark, sf_dir):
 
 
 @query
-def scorecard_metrics(spark, sf_dir):
+def scorecard_(spark, sf_dir):
     return export_scorecard(scorecard(_staged(spark, sf_dir), inputs.CHECKS)).drop("updated_at")
 
 
@@ -422,7 +423,7 @@ def cleaned_products(spark, sf_dir):
 
 
 @query
-def cleaned_report(spark, sf_dir):
+def cleaning_report_(spark, sf_dir):
     return cleaning_report(
         inputs.cleaning_input(spark, sf_dir), inputs.CLEANING, {"orders": "utf-8"}
     )
@@ -481,7 +482,7 @@ KEYS = ["table_schema", "table_name"]
 
 
 @query
-def upsert_metrics(spark, sf_dir):
+def upsert_scorecard(spark, sf_dir):
     """A recomputed scorecard replaces its rows and keeps those it does not cover."""
     raw, staged = inputs.raw_layer(spark, sf_dir), _staged(spark, sf_dir)
     before = union_all(checks.completeness(snake_names(df), t) for t, df in raw.items())

@@ -90,6 +90,12 @@ def test_tables_of_many_files(spark, tmp_path):
     assert rows == [("a", "ä"), ("b", "ä"), ("c", "ä")]
 
 
+def test_known_encoding_opens_no_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("X\nä\n", "latin1")
+    tables, encodings = load_layer(spark, str(tmp_path), encoding="latin1")
+    assert encodings == {"a": "latin1"} and tables["a"].first()["X"] == "ä"
+
+
 def test_selection(spark, folder):
     assert set(list_tables(spark, folder, only=["PLAIN.CSV", "odd"])) == {"plain", "odd"}
     assert "odd" not in list_tables(spark, folder, skip=["Odd"])
