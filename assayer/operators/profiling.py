@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,7 +185,7 @@ def _numeric_cells(df: DataFrame, columns: Sequence[str] | None) -> dict[str, Co
     }
 
 
-def _moments(df: DataFrame, cells: dict[str, Column], extra=None) -> DataFrame:
+def _moments(df: DataFrame, cells: dict[str, Column], sketch=None) -> DataFrame:
     """One row per column from one scan without a shuffle of rows."""
     measured = df.agg(
         *[
@@ -193,8 +195,8 @@ def _moments(df: DataFrame, cells: dict[str, Column], extra=None) -> DataFrame:
                 F.avg(c).alias("mean"),
                 F.stddev_samp(c).alias("std"),
                 F.min(c).alias("min"),
-                *([extra(c).alias("quartiles")] if extra else []),
                 F.max(c).alias("max"),
+                *([sketch(c).alias("sketch")] if sketch else []),
             ).alias(f"m{i}")
             for i, (name, c) in enumerate(cells.items())
         ]
@@ -202,68 +204,105 @@ def _moments(df: DataFrame, cells: dict[str, Column], extra=None) -> DataFrame:
     return measured.select(F.inline(F.array(*measured.columns)))
 
 
-def exact_quantiles(
-    cells: DataFrame, by: Sequence[str], probabilities: dict[str, float] = QUARTILES
-) -> DataFrame:
-    """Quantiles of `value` with linear interpolation, one row per group of `by`.
+def values_at_ranks(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds the values at positions `low` and `high` (from 0) of a sorted stream.
 
-    The built-in exact percentile keeps all distinct values of a group in one task.
-    Here values are counted, put in order across sorted chunks, and located by the
-    running total of the chunks before; only the chunks that hold a wanted rank are
-    then looked into.
+    `cells` has (stream, value), `targets` (stream, quantile, low, high). Values are
+    counted, put in order across sorted chunks, and located by the running total of
+    the chunks before; only chunks that hold a wanted position are looked into. No task
+    holds a whole stream.
     """
-    by = list(by)
     counted = (
         cells.where(F.col("value").isNotNull())
-        .groupBy(*by, "value")
+        .groupBy("stream", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    chunks = sorted_chunks(counted, [*by, "value"], chunk_count(cells))
-
-    bounds = chunk_bounds(chunks, by, F.sum("n"))
-    rank = {name: (F.col("total") - 1) * p for name, p in probabilities.items()}
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("quantile"),
-                F.floor(r).alias("low"),
-                F.ceil(r).alias("high"),
-                r.alias("rank"),
-            )
-            for name, r in rank.items()
-        ]
-    )
+    chunks = sorted_chunks(counted, ["stream", "value"], chunk_count(cells))
     low, high = F.col("low"), F.col("high")
-    wanted = bounds.select(*by, "chunk", "start", "end", F.inline(ranks)).where(
-        (low < F.col("end")) & (high >= F.col("start"))
+    # At most two chunks per target.
+    wanted = (
+        chunk_bounds(chunks, ["stream"], F.sum("n"))
+        .join(F.broadcast(targets), "stream")
+        .where((low < F.col("end")) & (high >= F.col("start")))
     )
-    # Both broadcasts hold at most two chunks per group and probability.
-    touched = F.broadcast(wanted.select(*by, "chunk", "start").distinct())
-    within = Window.partitionBy(*by, "chunk").orderBy("value")
+    touched = F.broadcast(wanted.select("stream", "chunk", "start").distinct())
+    within = Window.partitionBy("stream", "chunk").orderBy("value")
     until = F.col("start") + F.sum("n").over(within)
-    placed = chunks.join(touched, [*by, "chunk"]).select(
-        *by, "chunk", "value", until.alias("until"), (until - F.col("n")).alias("since")
+    placed = chunks.join(touched, ["stream", "chunk"]).select(
+        "stream", "chunk", "value", until.alias("until"), (until - F.col("n")).alias("since")
     )
 
     def at(position: Column) -> Column:
         holds = (F.col("since") <= position) & (position < F.col("until"))
         return F.max(F.when(holds, F.col("value")))
 
-    ends = (
-        placed.join(F.broadcast(wanted.drop("start", "end")), [*by, "chunk"])
-        .groupBy(*by, "quantile", "rank", "low")
+    return (
+        placed.join(F.broadcast(wanted.drop("start", "end", "total")), ["stream", "chunk"])
+        .groupBy("stream", "quantile")
         .agg(at(low).alias("at_low"), at(high).alias("at_high"))
     )
-    step = F.col("at_high") - F.col("at_low")
-    # Equal ends need no step; it would be undefined between infinities.
-    value = F.when(F.col("at_high") == F.col("at_low"), F.col("at_low")).otherwise(
-        F.col("at_low") + step * (F.col("rank") - low)
-    )
-    picked = [F.max(F.when(F.col("quantile") == q, value)).alias(q) for q in probabilities]
-    return ends.groupBy(*by).agg(*picked)
 
 
-DESCRIPTION = ["field", "count", "mean", "std", "min", *QUARTILES, "max"]
+@dataclass(frozen=True)
+class _Quantile:
+    """A quantile to find, and the values it must lie between (if a sketch told)."""
+
+    table: str
+    field: str
+    name: str
+    rank: float
+    between: tuple[float, float] | None
+
+    def cell(self, c: Column) -> Column:
+        """Value inside the bounds; all below count as one, those above do not matter."""
+        if self.between is None:
+            return c
+        least, most = self.between
+        below = F.lit(float("-inf"))
+        return F.when(c.between(least, most), c).when(c < least, below)
+
+
+def _find(tables: dict[str, DataFrame], cells: dict, wanted: list[_Quantile]) -> dict:
+    """{quantile: value} of those that lie within their bounds."""
+    streams: dict[tuple, list[_Quantile]] = {}
+    for q in wanted:
+        streams.setdefault((q.table, q.field, q.between), []).append(q)
+    numbered = {str(i): qs for i, qs in enumerate(streams.values())}
+    frames = []
+    for t, df in tables.items():
+        own = {
+            i: qs[0].cell(cells[t][qs[0].field])
+            for i, qs in numbered.items()
+            if qs[0].table == t
+        }
+        if own:
+            frames.append(to_long(df, own, "stream", "value"))
+    targets = next(iter(tables.values())).sparkSession.createDataFrame(
+        [
+            (i, q.name, math.floor(q.rank), math.ceil(q.rank))
+            for i, qs in numbered.items()
+            for q in qs
+        ],
+        "stream string, quantile string, low long, high long",
+    )
+    by_name = {(i, q.name): q for i, qs in numbered.items() for q in qs}
+    found = {}
+    for row in values_at_ranks(union_all(frames), targets).collect():
+        low, high = row["at_low"], row["at_high"]
+        q = by_name[row["stream"], row["quantile"]]
+        inside = q.between is None or (low is not None and low >= q.between[0])
+        if low is not None and high is not None and inside:
+            step = (high - low) * (q.rank - math.floor(q.rank)) if high != low else 0.0
+            found[q] = low + step
+    return found
+
+
+DESCRIPTION = "field string, count long, mean double, std double, min double, " + ", ".join(
+    [f"{q} double" for q in QUARTILES] + ["max double"]
+)
+
+# Columns with fewer values are sorted whole instead of between the bounds of a sketch.
+SKETCH_FROM_ROWS = 100_000
 
 
 def describe_tables(
@@ -271,33 +310,70 @@ def describe_tables(
     columns: Sequence[str] | None = None,
     approx: bool = False,
     accuracy: int = 10_000,
+    sketch_from: int = SKETCH_FROM_ROWS,
 ) -> DataFrame:
     """count, mean, std (n-1), min, quartiles and max of all numeric columns of tables.
 
-    Moments take one scan per table and no shuffle of rows; the quartiles of all
-    tables are found together. `approx=True` takes the quartiles from a sketch in the
-    same scan; their rank is then off by at most rows / accuracy.
+    One scan per table computes everything but the exact quartiles, and sketches where
+    these lie. A second scan brings the few values around each quartile, about 4 in
+    `accuracy`, into order and counts those below; so nearly nothing is shuffled. A
+    quartile outside its bounds would be searched in the whole column.
+
+    `approx=True` takes the quartiles from the sketch; their rank is then off by at
+    most rows / accuracy. Only the report's own numbers, a row per column, pass through
+    the driver.
     """
     cells = {t: c for t, df in tables.items() if (c := _numeric_cells(df, columns))}
-
-    def sketch(c: Column) -> Column:
-        return F.percentile_approx(c, list(QUARTILES.values()), accuracy)
-
+    margin = 0.0 if approx else 2.0 / accuracy
+    points = [
+        min(max(p + side, 0.0), 1.0)
+        for p in QUARTILES.values()
+        for side in ((0.0,) if approx else (-margin, margin))
+    ]
     moments = union_all(
-        _moments(tables[t], c, sketch if approx else None).withColumn("table_name", F.lit(t))
+        _moments(tables[t], c, lambda v: F.percentile_approx(v, points, accuracy)).withColumn(
+            "table_name", F.lit(t)
+        )
         for t, c in cells.items()
     )
     if approx:
-        quartiles = {q: F.col("quartiles")[i] for i, q in enumerate(QUARTILES)}
-        return moments.withColumns(quartiles).select("table_name", *DESCRIPTION)
-    long = union_all(
-        to_long(tables[t], c, "field", "value").withColumn("table_name", F.lit(t))
-        for t, c in cells.items()
-    )
-    by = ["table_name", "field"]
-    # One row per column on either side.
-    described = moments.join(F.broadcast(exact_quantiles(long, by)), by, "left")
-    return described.select("table_name", *DESCRIPTION)
+        quartiles = {q: F.col("sketch")[i] for i, q in enumerate(QUARTILES)}
+        names = ["field", "count", "mean", "std", "min", *QUARTILES, "max"]
+        return moments.withColumns(quartiles).select("table_name", *names)
+
+    rows = moments.collect()
+    wanted = [
+        _Quantile(
+            r["table_name"],
+            r["field"],
+            name,
+            (r["count"] - 1) * p,
+            (r["sketch"][2 * i], r["sketch"][2 * i + 1]) if r["count"] >= sketch_from else None,
+        )
+        for r in rows
+        if r["count"]
+        for i, (name, p) in enumerate(QUARTILES.items())
+    ]
+    found = _find(tables, cells, wanted) if wanted else {}
+    outside = [replace(q, between=None) for q in wanted if q not in found]
+    if outside:
+        found |= _find(tables, cells, outside)
+    value = {(q.table, q.field, q.name): v for q, v in found.items()}
+    report = [
+        (
+            r["table_name"],
+            r["field"],
+            r["count"],
+            r["mean"],
+            r["std"],
+            r["min"],
+            *[value.get((r["table_name"], r["field"], q)) for q in QUARTILES],
+            r["max"],
+        )
+        for r in rows
+    ]
+    session = next(iter(tables.values())).sparkSession
+    return session.createDataFrame(report, f"table_name string, {DESCRIPTION}")
 
 
 def describe_numeric(
@@ -305,9 +381,11 @@ def describe_numeric(
     columns: Sequence[str] | None = None,
     approx: bool = False,
     accuracy: int = 10_000,
+    sketch_from: int = SKETCH_FROM_ROWS,
 ) -> DataFrame:
     """`describe_tables` for a single table."""
-    return describe_tables({"": df}, columns, approx, accuracy).drop("table_name")
+    described = describe_tables({"": df}, columns, approx, accuracy, sketch_from)
+    return described.drop("table_name")
 
 
 def describe_layout(described: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:

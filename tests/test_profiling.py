@@ -84,9 +84,10 @@ def same(row, values):
         assert g == w or g == pytest.approx(w, rel=1e-12)
 
 
-def test_describe_matches_numpy(spark):
+@pytest.mark.parametrize("sketched", [False, True])
+def test_describe_matches_numpy(spark, sketched):
     rng = np.random.default_rng(5)
-    n = 4001
+    n = 30_001
     columns = {
         "normal": rng.normal(size=n).tolist(),
         "hot": [7.0] * (n // 2) + rng.integers(0, 50, n - n // 2).astype(float).tolist(),
@@ -94,10 +95,13 @@ def test_describe_matches_numpy(spark):
         "gaps": [None if i % 3 else float(i) for i in range(n)],
         "nans": [float("nan") if i % 5 == 0 else -float(i) for i in range(n)],
         "whole": list(range(n)),
+        "two": [0.0, 1.0] * (n // 2) + [1.0],
     }
     kinds = ", ".join(f"{c} {'bigint' if c == 'whole' else 'double'}" for c in columns)
     df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), kinds)
-    rows = {r["field"]: r for r in profiling.describe_numeric(df).collect()}
+    options = {"accuracy": 500, "sketch_from": 1000} if sketched else {}
+    described = profiling.describe_numeric(df.repartition(5), **options)
+    rows = {r["field"]: r for r in described.collect()}
     assert set(rows) == set(columns)
     for c, values in columns.items():
         same(rows[c], values)
@@ -118,6 +122,18 @@ def test_describe_tables_keeps_tables_apart(spark):
     same(rows["b"], [float(i * 100) for i in range(11)])
 
 
+def test_quartiles_outside_their_bounds_are_still_found(spark, monkeypatch):
+    """Sketch bounds that miss the quartile cost a second search, not the result."""
+    real = profiling._Quantile
+
+    def off(table, field, name, rank, between):
+        return real(table, field, name, rank, {"p25": (-9.0, -1.0), "p50": (900.0, 950.0)}.get(name))
+
+    monkeypatch.setattr(profiling, "_Quantile", off)
+    df = spark.range(1000).selectExpr("cast(id as double) v")
+    same(profiling.describe_numeric(df).first(), [float(i) for i in range(1000)])
+
+
 def test_describe_approx(spark):
     df = spark.range(10_000).selectExpr("cast(id as double) v")
     row = profiling.describe_numeric(df, approx=True).first()
