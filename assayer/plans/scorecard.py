@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.config import Checks, Layer
-from assayer.operators.checks import key_health, table_profile
+from assayer.operators.checks import key_health, layer_profile
 from assayer.operators.maintenance import insert_if_absent
 from assayer.operators.relations import fk_report, fk_rollup
 from assayer.operators.shaping import union_all
@@ -71,12 +71,9 @@ def scorecard(layer: Layer, checks: Checks, schema: str = "stg") -> DataFrame:
     Each check yields its own rows, keyed by table. They are merged by one grouping
     in which every metric has at most one value per table.
     """
-    parts = [table_profile(df, t, checks, schema) for t, df in layer.items()]
-    parts += [
-        key_health(layer[t], t, key, schema)
-        for t, key in checks.primary_keys.items()
-        if t in layer
-    ]
+    parts = [layer_profile(layer, checks, schema)]
+    if any(t in layer for t in checks.primary_keys):
+        parts.append(key_health(layer, checks.primary_keys, schema))
     if any(r.child in layer and r.parent in layer for r in checks.relations):
         parts.append(fk_rollup(fk_report(layer, checks.relations, schema)))
     rows = union_all(parts)

@@ -177,50 +177,40 @@ def csv_reload(spark, sf_dir):
 
 @query
 def null_profile(spark, sf_dir):
-    return union_all(checks.completeness(df, t) for t, df in _staged(spark, sf_dir).items())
+    return checks.completeness(_staged(spark, sf_dir))
 
 
 @query
 def pk_profile(spark, sf_dir):
-    staged, keys = _staged(spark, sf_dir), inputs.CHECKS.primary_keys
-    return union_all(checks.key_health(df, t, keys[t]) for t, df in staged.items())
+    return checks.key_health(_staged(spark, sf_dir), inputs.CHECKS.primary_keys)
 
 
 @query
 def date_range(spark, sf_dir):
-    staged = _staged(spark, sf_dir)
-    return union_all(
-        checks.date_range(staged[t], t, columns) for t, columns in inputs.CHECKS.dates.items()
-    )
+    return checks.date_range(_staged(spark, sf_dir), inputs.CHECKS.dates)
 
 
 @query
 def date_range_two_columns(spark, sf_dir):
-    shipments = stage_table(inputs.raw_shipments(spark, sf_dir))
-    return checks.date_range(shipments, "orders", ["order_date", "ship_date"])
+    shipments = {"orders": stage_table(inputs.raw_shipments(spark, sf_dir))}
+    return checks.date_range(shipments, {"orders": ["order_date", "ship_date"]})
 
 
 @query
 def date_range_us_rule(spark, sf_dir):
-    shipments = stage_table(inputs.raw_shipments(spark, sf_dir))
-    return checks.date_range(shipments, "orders", ["order_date", "ship_date"], rule="us")
+    shipments = {"orders": stage_table(inputs.raw_shipments(spark, sf_dir))}
+    return checks.date_range(shipments, {"orders": ["order_date", "ship_date"]}, rule="us")
 
 
 @query
 def negative_flags(spark, sf_dir):
-    staged = _staged(spark, sf_dir)
-    return union_all(
-        checks.negative_rows(staged[t], t, columns) for t, columns in inputs.CHECKS.numbers.items()
-    )
+    return checks.negative_rows(_staged(spark, sf_dir), inputs.CHECKS.numbers)
 
 
 @query
 def negative_flags_without_separators(spark, sf_dir):
     staged = _staged(spark, sf_dir)
-    return union_all(
-        checks.negative_rows(staged[t], t, columns, strip_thousands=True)
-        for t, columns in inputs.CHECKS.numbers.items()
-    )
+    return checks.negative_rows(staged, inputs.CHECKS.numbers, strip_thousands=True)
 
 
 @query
@@ -263,13 +253,10 @@ def scorecard_scored(spark, sf_dir):
 
 @query
 def scorecard_merge(spark, sf_dir):
-    staged, keys = _staged(spark, sf_dir), inputs.CHECKS.primary_keys
-    rows = union_all(checks.completeness(df, t) for t, df in staged.items())
-    health = union_all(checks.key_health(df, t, keys[t]) for t, df in staged.items())
-    ranges = union_all(
-        checks.date_range(staged[t], t, columns) for t, columns in inputs.CHECKS.dates.items()
-    )
-    return merge_metrics(rows.select("table_schema", "table_name", "row_count"), health, ranges)
+    staged = _staged(spark, sf_dir)
+    rows = checks.completeness(staged).select("table_schema", "table_name", "row_count")
+    health = checks.key_health(staged, inputs.CHECKS.primary_keys)
+    return merge_metrics(rows, health, checks.date_range(staged, inputs.CHECKS.dates))
 
 
 # --- column profiles ------------------------------------------------------------
@@ -483,21 +470,18 @@ KEYS = ["table_schema", "table_name"]
 
 @query
 def upsert_scorecard(spark, sf_dir):
-    """A recomputed scorecard replaces its rows and keeps those it does not cover."""
+    """Recomputed metrics replace their rows and keep those they do not cover."""
     raw, staged = inputs.raw_layer(spark, sf_dir), _staged(spark, sf_dir)
-    before = union_all(checks.completeness(snake_names(df), t) for t, df in raw.items())
-    again = union_all(checks.completeness(staged[t], t) for t in ("customers", "orders", "parts"))
+    before = checks.completeness({t: snake_names(df) for t, df in raw.items()})
+    again = checks.completeness({t: staged[t] for t in ("customers", "orders", "parts")})
     return maintenance.upsert(before, again, KEYS)
 
 
 @query
 def insert_missing_tables(spark, sf_dir):
     staged = _staged(spark, sf_dir)
-    listed = union_all(checks.completeness(staged[t], t) for t in ("customers", "orders"))
-    every = union_all(
-        checks.completeness(df, t).select(*KEYS) for t, df in staged.items()
-    )
-    return maintenance.insert_if_absent(listed, every, KEYS)
+    listed = checks.completeness({t: staged[t] for t in ("customers", "orders")})
+    return maintenance.insert_if_absent(listed, checks.completeness(staged).select(*KEYS), KEYS)
 
 
 @query

@@ -6,6 +6,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.config import Checks, Relation
 from assayer.operators import checks, relations
@@ -39,8 +40,8 @@ def test_odd_column_names(spark):
     raw = spark.createDataFrame([("1.0", " ")], ["v1.itemID", "Unit `Price`"])
     staged = stage_table(raw)
     assert [tuple(r) for r in staged.collect()] == [("1", None)]
-    assert checks.completeness(staged, "t").first()["null_cells"] == 1
-    assert checks.key_health(staged, "t", "v1.item_id").first()["pk_duplicate_rows"] == 0
+    assert checks.completeness({"t": staged}).first()["null_cells"] == 1
+    assert checks.key_health({"t": staged}, {"t": "v1.item_id"}).first()["pk_duplicate_rows"] == 0
 
 
 def test_views(spark):
@@ -51,25 +52,29 @@ def test_views(spark):
 
 def test_key_health(spark):
     df = text(spark, "k", [("a",), ("a",), ("a",), ("b",), (None,)])
-    row = checks.key_health(df, "t", "k").first()
+    layer = {"t": df, "empty": df.where("false"), "unlisted": df}
+    row, empty = checks.key_health(layer, {"t": "k", "empty": "k"}).orderBy(F.desc("table_name")).collect()
     assert (row["pk_null_pct"], row["pk_duplicate_rows"]) == (Decimal("20.0000"), 2)
-    empty = checks.key_health(df.where("false"), "t", "k").first()
     assert (empty["pk_null_pct"], empty["pk_duplicate_rows"]) == (None, 0)
 
 
 def test_composite_key(spark):
+    """Also next to a simple key with the same values."""
     df = text(spark, "a b", [("1", "x"), ("1", "x"), ("1", "y"), ("1", None)])
-    row = checks.key_health(df, "t", ["a", "b"]).first()
-    assert (row["suspected_pk"], row["pk_null_pct"], row["pk_duplicate_rows"]) == (
-        "a,b",
-        Decimal("25.0000"),
-        1,
-    )
+    rows = checks.key_health({"t": df, "u": df}, {"t": ["a", "b"], "u": "a"}).collect()
+    assert sorted(tuple(r)[1:] for r in rows) == [
+        ("t", "a,b", Decimal("25.0000"), 1),
+        ("u", "a", Decimal("0.0000"), 3),
+    ]
 
 
 def test_completeness_of_empty_table(spark):
-    row = checks.completeness(text(spark, "a b", [("1", None)]).where("false"), "t").first()
-    assert (row["row_count"], row["null_cells"], row["overall_null_pct"]) == (0, 0, None)
+    df = text(spark, "a b", [("1", None)])
+    full, empty = checks.completeness({"t": df, "empty": df.where("false")}).orderBy(
+        F.desc("table_name")
+    ).collect()
+    assert (full["row_count"], full["null_cells"], full["total_cells"]) == (1, 1, 2)
+    assert (empty["row_count"], empty["null_cells"], empty["overall_null_pct"]) == (0, 0, None)
 
 
 def test_date_range_and_signs(spark):
@@ -82,10 +87,15 @@ def test_date_range_and_signs(spark):
             ("7/10/2001", "", "-1,000.00", None),
         ],
     )
-    row = checks.date_range(df, "t", ["d1", "d2"]).first()
-    assert (row["date_min"], row["date_max"]) == (dt.date(2002, 10, 13), dt.date(2004, 1, 2))
-    assert checks.negative_rows(df, "t", ["n1", "n2"]).first()["neg_value_flags"] == 2
-    assert checks.negative_rows(df, "t", ["n1"], strip_thousands=True).first()[2] == 2
+    layer = {"t": df, "empty": df.where("false")}
+    rows = {r["table_name"]: r for r in checks.date_range(layer, dict.fromkeys(layer, ["d1", "d2"])).collect()}
+    low, high = rows["t"]["date_min"], rows["t"]["date_max"]
+    assert (low, high) == (dt.date(2002, 10, 13), dt.date(2004, 1, 2))
+    assert rows["empty"]["date_min"] is None
+    numbers = dict.fromkeys(layer, ["n1", "n2"])
+    counts = {r["table_name"]: r[2] for r in checks.negative_rows(layer, numbers).collect()}
+    assert counts == {"t": 2, "empty": 0}
+    assert checks.negative_rows(layer, {"t": ["n1"]}, strip_thousands=True).first()[2] == 2
 
 
 def fk(spark, child, parent):
