@@ -100,14 +100,22 @@ def completeness(layer: Layer, schema: str = "stg") -> DataFrame:
 
 
 def _present(layer: Layer, columns: Mapping) -> dict:
+    """Declarations of the tables that the layer has."""
     return {t: c for t, c in columns.items() if t in layer and c}
 
 
+def _required(layer: Layer, columns: Mapping) -> dict:
+    present = _present(layer, columns)
+    if not present:
+        raise ValueError("no table of the layer is declared for this check")
+    return present
+
+
 def date_range(
     layer: Layer, dates: Mapping[str, Sequence[str]], schema: str = "stg", rule: str = "strict"
 ) -> DataFrame:
     """Earliest and latest readable date over the given text columns of each table."""
-    dates = _present(layer, dates)
+    dates = _required(layer, dates)
     ranges = _rows(layer, {t: _dates(c, rule) for t, c in dates.items()}).agg(*_date_range())
     return _named(ranges, schema, list(dates), "date_min", "date_max")
 
@@ -119,7 +127,7 @@ def negative_rows(
     strip_thousands: bool = False,
 ) -> DataFrame:
     """Rows in which at least one of a table's given text columns reads as negative."""
-    numbers = _present(layer, numbers)
+    numbers = _required(layer, numbers)
     signs = {t: [_negative(c, strip_thousands)] for t, c in numbers.items()}
     return _named(_rows(layer, signs).agg(*_negative_rows()), schema, list(numbers), "neg_value_flags")
 
@@ -156,7 +164,7 @@ def key_health(
 
     A composite key counts as missing when any part is.
     """
-    keys = {t: key_list(k) for t, k in _present(layer, keys).items()}
+    keys = {t: key_list(k) for t, k in _required(layer, keys).items()}
     tables, number = list(keys), _number(list(keys))
     parts = [f"part_{i}" for i in range(max(map(len, keys.values())))]
     frames = []

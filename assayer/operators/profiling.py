@@ -324,6 +324,8 @@ def describe_tables(
     the driver.
     """
     cells = {t: c for t, df in tables.items() if (c := _numeric_cells(df, columns))}
+    if not cells:
+        raise ValueError("no table has a numeric column")
     margin = 0.0 if approx else 2.0 / accuracy
     points = [
         min(max(p + side, 0.0), 1.0)

@@ -58,6 +58,13 @@ def test_key_health(spark):
     assert (empty["pk_null_pct"], empty["pk_duplicate_rows"]) == (None, 0)
 
 
+def test_checks_need_a_declared_table(spark):
+    layer = {"t": text(spark, "a", [("1",)])}
+    for check in (checks.key_health, checks.date_range, checks.negative_rows):
+        with pytest.raises(ValueError, match="declared"):
+            check(layer, {"absent": ["a"]})
+
+
 def test_composite_key(spark):
     """Also next to a simple key with the same values."""
     df = text(spark, "a b", [("1", "x"), ("1", "x"), ("1", "y"), ("1", None)])

@@ -114,6 +114,11 @@ def test_describe_one_row_and_none(spark):
     assert rows["b"]["count"] == 0 and rows["b"]["p50"] is None
 
 
+def test_describe_needs_a_number(spark):
+    with pytest.raises(ValueError, match="numeric"):
+        profiling.describe_numeric(spark.createDataFrame([("x",)], "v string"))
+
+
 def test_describe_tables_keeps_tables_apart(spark):
     a = spark.createDataFrame([(float(i),) for i in range(10)], "v double")
     b = spark.createDataFrame([(float(i * 100),) for i in range(11)], "v double")
