@@ -38,4 +38,40 @@ ORACLES = {
                    AS kept_sha256
         FROM judged GROUP BY doc_id
     """,
+    "op5_winnowing": f"""
+        WITH doc_words AS (
+            SELECT doc_id, regexp_extract_all({lowered("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS words
+            FROM documents
+        ),
+        item_words AS (
+            SELECT item_id, regexp_extract_all({lowered("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS words
+            FROM benchmark
+        ),
+        item_windows AS (
+            SELECT DISTINCT item_id, least(len(words), 10) AS length,
+                   array_to_string(words[s:s + least(len(words), 10) - 1], ' ') AS win
+            FROM (SELECT item_id, words, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS s
+                  FROM item_words WHERE len(words) > 0)
+        ),
+        doc_windows AS (
+            SELECT doc_id, s, length, array_to_string(words[s:s + length - 1], ' ') AS win
+            FROM (SELECT doc_id, words, length, unnest(range(1, len(words) - length + 2)) AS s
+                  FROM doc_words, (SELECT DISTINCT length FROM item_windows))
+        ),
+        found AS (SELECT doc_id, s, length, item_id FROM doc_windows JOIN item_windows USING (length, win)),
+        hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(s, s + length)) AS p FROM (SELECT DISTINCT doc_id, s, length FROM found))
+            GROUP BY doc_id
+        ),
+        items AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                   string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+            FROM found GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+               coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, line_dedup, sharding
+from assayer.llm import bpe, decontamination, katz, langid, line_dedup, quality, repeats, sharding, simhash
+from assayer.llm.common import text_key, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +73,80 @@ def op7_bounded_ring(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"),
         "home",
     )
+
+
+@query
+def op4_mcd_quality(spark, sf_dir):
+    found = quality.judge_quality(documents(spark, sf_dir), keep=["doc_id"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "distance"
+    )
+
+
+@query
+def op8_language_mixture(spark, sf_dir):
+    found = langid.identify(documents(spark, sf_dir), keep=["doc_id"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "held_out",
+        "lang_pred",
+        "score",
+        F.size("languages").alias("n_languages"),
+    )
+
+
+@query
+def op5_winnowing(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.find_benchmark(documents(spark, sf_dir), benchmark, keep=["doc_id"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        digest(F.array_join("items", ",")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op9_simhash_variants(spark, sf_dir):
+    found = simhash.near_copies(documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        simhash.hex_digits(F.col("fp")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+@query
+def op10_repeated_bytes(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = repeats.repeated_spans(docs).select(
+        "k1",
+        "k2",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("digest"),
+    )
+    text = whole_text("text")
+    k1, k2 = text_key(text)
+    whole = docs.select(
+        "doc_id",
+        k1.alias("k1"),
+        k2.alias("k2"),
+        F.octet_length(text).cast("long").alias("n_bytes"),
+        digest(text).alias("whole"),
+    )
+    return whole.join(found, ["k1", "k2"], "left").select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
+        F.coalesce("digest", "whole").alias("kept_sha256"),
+    )
+
+
+@query
+def op6_katz_backoff(spark, sf_dir):
+    return katz.katz_scores(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
