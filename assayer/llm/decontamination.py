@@ -124,6 +124,7 @@ def find_benchmark(
         k1.alias("k1"), k2.alias("k2"), cell(id_col).alias("id"), whole_text(text_col).alias("text")
     )
     found = []
+    # Outer forms of explode: for the others Spark infers a filter that hashes all again.
     for size in lengths:
         of_size = windows.where(F.col("length") == size)
         split = window_minima(of_size.withColumn("words", F.split("window", " ", -1)), size)
@@ -133,7 +134,7 @@ def find_benchmark(
             texts.select("k1", "k2", "id", words(F.col("text")).alias("words")), size
         )
         shared = (
-            prints.select("k1", "k2", "id", F.explode(F.array_distinct("minima")).alias("minimum"))
+            prints.select("k1", "k2", "id", F.explode_outer(F.array_distinct("minima")).alias("minimum"))
             .join(minima, "minimum", "left_semi")
             .groupBy("k1", "k2")
             .agg(F.collect_set("minimum").alias("shared"), F.min("id").alias("first"))
@@ -143,7 +144,7 @@ def find_benchmark(
         first &= texts["id"].eqNullSafe(shared["first"])
         again = texts.join(shared, first).select(texts["*"], "shared")
         again = window_minima(again.select("k1", "k2", "shared", words(F.col("text")).alias("words")), size)
-        places = again.select("k1", "k2", "shared", "words", F.posexplode("minima").alias("start", "minimum"))
+        places = again.select("k1", "k2", "shared", "words", F.posexplode_outer("minima").alias("start", "minimum"))
         places = places.where(F.array_contains("shared", F.col("minimum"))).select(
             "k1", "k2", "start", F.array_join(F.slice("words", F.col("start") + 1, size), " ").alias("window")
         )
@@ -160,10 +161,12 @@ def find_benchmark(
             F.array().cast("array<struct<start:int,length:int>>").alias("hits"),
         )
     hits = written(union_all(found))
-    spans = hits.groupBy("k1", "k2").agg(
-        F.array_sort(F.collect_set(F.struct("start", "length"))).alias("hits")
+    spans = written(
+        hits.groupBy("k1", "k2").agg(
+            F.array_sort(F.collect_set(F.struct("start", "length"))).alias("hits")
+        )
     )
-    items = (
+    items = written(
         hits.select("k1", "k2", "w1", "w2").distinct()
         .join(small(of_items.select("w1", "w2", "item")), ["w1", "w2"])
         .select("k1", "k2", F.coalesce(F.col("item").cast("string"), F.lit("null")).alias("item"))

@@ -297,7 +297,7 @@ def repeated_spans(
 
     runs = written(_runs(texts, length, gram))
     place = F.struct("k1", "k2", "low")
-    again = (
+    again = written(
         runs.groupBy("digit")
         .agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("repeats").alias("repeats"), F.count("*").alias("runs"))
         .where("a <> b OR repeats")

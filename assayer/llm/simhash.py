@@ -224,7 +224,7 @@ def near_copies(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
+    classes = written(placed.join(named, "root").select("fp", "component_id"))
     return rows.join(classes, "fp").select("id", "fp", "component_id")
 
 
