@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Collection, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from assayer import wholesale
 from assayer.functions.keys import camel_to_snake
 from assayer.operators.shaping import cell, union_all
-from assayer.sources.encoding import detect_encodings, list_files
+from assayer.sources.encoding import csv_files, inspect_files, list_files
 
 # Encoding names of the discovery -> those of Spark's reader.
 SPARK_NAMES = {
@@ -22,6 +24,41 @@ SPARK_NAMES = {
     "latin1": "ISO-8859-1",
 }
 
+# Fixed value: what the exact writer puts for NULL; also where a table has one column, in
+# which an empty line would be no row.
+NULL_MARK = "\\N"
+
+
+@dataclass(frozen=True)
+class Variety:
+    """Files of a table that are read alike. Without `header` Spark's reader finds it."""
+
+    encoding: str
+    header: str | None = None
+    multi_line: bool = False
+
+    @property
+    def columns(self) -> list[str] | None:
+        """Names in the header line, if the line holds them whole."""
+        line = (self.header or "").split("\r")[0]
+        if not line or line.count('"') % 2:
+            return None
+        names = next(csv.reader([line]))
+        clean = all(names) and len({n.lower() for n in names}) == len(names)
+        return names if clean else None
+
+
+@dataclass(frozen=True)
+class Source:
+    """Where a table lies: a file, or a folder with files of some varieties."""
+
+    path: str
+    varieties: tuple[Variety, ...]
+
+    @property
+    def encodings(self) -> list[str]:
+        return sorted({v.encoding for v in self.varieties})
+
 
 def _windows_1252(c: Column) -> Column:
     """Text read as Latin-1 with the 27 characters that Windows-1252 has instead.
@@ -41,92 +78,147 @@ def read_csv(
     encoding: str = "utf-8",
     null_tokens: Collection[str] = (),
     multi_line: bool = False,
+    exact: bool = False,
+    strict: bool = False,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """All-text table of headed CSV files; empty fields, and given tokens, are NULL.
 
     With `columns` nothing is read until the table is used; else the header line is.
-    Files without line breaks inside fields split over tasks. UTF-16 and UTF-32 files
-    do not split, each is streamed by one task: write them as Parquet once.
+    Of a folder the *.csv files at any depth are read, as they are found. Files
+    without line breaks inside fields split over tasks; `multi_line` reads those with,
+    a file per task. UTF-16 and UTF-32 files do not split either: write them as Parquet
+    once.
+
+    `exact` reads what `write_csv(exact=True)` has written: an empty field is empty and
+    only the mark is NULL. `strict` fails on a row that has not as many fields as there
+    are columns, such as half a row whose line break was inside quotes. `files` (url)
+    restricts a folder to some of its files.
     """
     name = SPARK_NAMES.get(encoding.lower(), encoding)
     wide = name.upper().startswith(("UTF-16", "UTF-32"))
+    # A path to a file of another ending is taken as it is; the rule is for folders.
+    last = path.rstrip("/").rsplit("/", 1)[-1] if isinstance(path, str) else ""
+    named = "." in last and not last.endswith(".csv")
     reader = (
-        spark.read.option("header", True)
+        (spark.read if named else csv_files(spark))
+        .option("header", True)
         .option("encoding", name)
         .option("multiLine", multi_line or wide)
         .option("escape", '"')
+        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
     )
+    if exact:
+        reader = reader.option("nullValue", NULL_MARK)
     if columns is not None:
-        reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
+        reader = reader.schema(", ".join(f"`{c.replace('`', '``')}` string" for c in columns))
     df = reader.csv(path)
-    empty = ["", *null_tokens]
+    names = df.columns
+    if files is not None:
+        url = df["_metadata.file_path"]
+        df = df.select("*", url.alias("__url")).join(files.withColumnRenamed("url", "__url"), "__url", "left_semi")
+    empty = [] if exact else ["", *null_tokens, *([NULL_MARK] if len(names) == 1 else [])]
     western = encoding.lower() == "cp1252"
-    cells = {c: _windows_1252(cell(c)) if western else cell(c) for c in df.columns}
-    return df.select(*[F.when(~e.isin(empty), e).alias(c) for c, e in cells.items()])
-
+    cells = {c: _windows_1252(cell(c)) if western else cell(c) for c in names}
+    return df.select(*[(F.when(~e.isin(empty), e) if empty else e).alias(c) for c, e in cells.items()])
 
-def list_tables(
-    spark: SparkSession,
-    folder: str,
-    only: Collection[str] = (),
-    skip: Collection[str] = (),
-    encoding: str | None = None,
-) -> dict[str, dict[str, list[str]]]:
-    """{table: {encoding: paths}} of a folder.
 
-    A CSV file in the folder is a table, and so is a subfolder of CSV files; the
-    snake-cased file stem or folder name is its name. `only` and `skip` take table or
-    file names in any case. A subfolder in a single encoding is given as one path, so
-    its files are not listed here. With `encoding` no file is opened to find it out.
-    """
-    root = folder.rstrip("/") + "/"
-    below = F.substring(F.col("path"), F.instr("path", root) + len(root), F.length("path"))
-    child = F.substring_index(below, "/", 1)
+def _with_sources(spark: SparkSession, folder: str, encoding: str | None, multi_line: bool | None) -> DataFrame:
+    """The files below a folder with the child of the folder that each belongs to."""
     if encoding is None:
-        files = detect_encodings(spark, folder)
+        files = inspect_files(spark, folder)
+        if multi_line is not None:
+            files = files.withColumn("multi_line", F.lit(multi_line))
     else:
-        files = list_files(spark, folder).withColumn("encoding", F.lit(encoding))
-    files = files.withColumn("source", child)
-    encodings = files.groupBy("source").agg(F.collect_set("encoding").alias("encodings"))
-    uniform = {r["source"]: r["encodings"] for r in encodings.collect()}
-    mixed = [source for source, names in uniform.items() if len(names) > 1]
+        files = list_files(spark, folder).select(
+            "*",
+            F.lit(encoding).alias("encoding"),
+            F.lit(None).cast("string").alias("header"),
+            F.lit(bool(multi_line)).alias("multi_line"),
+        )
+    root = folder.rstrip("/") + "/"
+    below = F.substring(F.col("path"), F.instr("path", root) + len(root), F.length("path"))
+    return files.withColumn("source", F.substring_index(below, "/", 1))
+
 
+def _sources(files: DataFrame, folder: str, only: Collection[str], skip: Collection[str]) -> dict[str, Source]:
+    """Tables by name. A row per table and variety reaches the driver, not one per file."""
+    kinds = files.groupBy("source", "encoding", "header", "multi_line").agg(F.count("*").alias("n"))
+    found: dict[str, set[Variety]] = {}
+    for r in kinds.collect():
+        found.setdefault(r["source"], set()).add(Variety(r["encoding"], r["header"], r["multi_line"]))
     only, skip = {x.lower() for x in only}, {x.lower() for x in skip}
-    tables: dict[str, dict[str, list[str]]] = {}
-    for source in sorted(uniform):
+    tables = {}
+    for source in sorted(found):
         stem = source.removesuffix(".csv")
         names = {camel_to_snake(stem), stem.lower(), source.lower()}
         if (not only or names & only) and not names & skip:
-            paths = {e: [root + source] for e in uniform[source]}
-            if source in mixed:
-                rows = files.where(child == source).select("path", "encoding").collect()
-                paths = {e: [r["path"] for r in rows if r["encoding"] == e] for e in paths}
-            tables[camel_to_snake(stem)] = paths
+            order = sorted(found[source], key=lambda v: (v.encoding, v.header or "", v.multi_line))
+            tables[camel_to_snake(stem)] = Source(f"{folder.rstrip('/')}/{source}", tuple(order))
     return tables
 
 
+def list_tables(
+    spark: SparkSession,
+    folder: str,
+    only: Collection[str] = (),
+    skip: Collection[str] = (),
+    encoding: str | None = None,
+    multi_line: bool | None = None,
+) -> dict[str, Source]:
+    """Tables of a folder: where each lies and in which varieties.
+
+    A CSV file in the folder is a table, and so is a subfolder with CSV files at any
+    depth; the snake-cased file stem or folder name is its name. `only` and `skip` take
+    table or file names in any case. With `encoding` no file is opened to find it out.
+    """
+    return _sources(_with_sources(spark, folder, encoding, multi_line), folder, only, skip)
+
+
 def load_layer(
     spark: SparkSession,
     folder: str,
     only: Collection[str] = (),
     skip: Collection[str] = (),
     null_tokens: Collection[str] = (),
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     encoding: str | None = None,
+    exact: bool = False,
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Tables of a folder and the encoding each was read with.
+    """Tables of a folder and the encodings each was read with.
 
-    Finding encodings out reads every file once more; name a known one to avoid that.
+    Discovery reads every file once more and tells encoding, header and line breaks
+    inside fields; files of a table that differ in these are read variety by variety and
+    united by column name. With a named `encoding` nothing is discovered: all files of a
+    table have the first one's header, `multi_line` says whether fields hold line breaks,
+    and a broken row is an error.
     """
-    found = list_tables(spark, folder, only, skip, encoding)
-    tables = {
-        t: union_all(
-            read_csv(spark, paths, None, name, null_tokens, multi_line)
-            for name, paths in parts.items()
-        )
-        for t, parts in found.items()
-    }
-    return tables, {t: ",".join(sorted(parts)) for t, parts in found.items()}
+    files = _with_sources(spark, folder, encoding, multi_line)
+    found = _sources(files, folder, only, skip)
+    tables = {}
+    for table, source in found.items():
+        parts = []
+        for v in source.varieties:
+            own = None
+            if len(source.varieties) > 1:
+                same = F.col("header").eqNullSafe(F.lit(v.header)) & (F.col("multi_line") == v.multi_line)
+                same &= (F.col("encoding") == v.encoding) & (F.col("source") == source.path.rsplit("/", 1)[-1])
+                own = files.where(same).select("url")
+            parts.append(
+                read_csv(
+                    spark,
+                    source.path,
+                    v.columns,
+                    v.encoding,
+                    null_tokens,
+                    v.multi_line,
+                    exact,
+                    strict=encoding is not None,
+                    files=own,
+                )
+            )
+        tables[table] = union_all(parts)
+    return tables, {t: ",".join(s.encodings) for t, s in found.items()}
 
 
 def load_wholesale(
@@ -134,11 +226,20 @@ def load_wholesale(
     paths: Mapping[str, str],
     only: Collection[str] = (),
     skip: Collection[str] = (),
+    multi_line: bool = False,
 ) -> dict[str, DataFrame]:
-    """The wholesale model's raw layer from given files; fixed headers, so fully lazy."""
+    """The wholesale model's raw layer from given files; fixed headers, so fully lazy.
+
+    Nothing is discovered, so a broken row is an error.
+    """
     return {
         t: read_csv(
-            spark, path, wholesale.RAW_COLUMNS[t], wholesale.RAW_ENCODINGS.get(t, "utf-8")
+            spark,
+            path,
+            wholesale.RAW_COLUMNS[t],
+            wholesale.RAW_ENCODINGS.get(t, "utf-8"),
+            multi_line=multi_line,
+            strict=True,
         )
         for t, path in paths.items()
         if (not only or t in only) and t not in skip

@@ -1,21 +1,15 @@
-"""Encoding discovery for many files in one distributed job."""
+"""Discovery of what CSV files hold, for many files in one distributed job."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.operators.shaping import union_all
-
-# Files up to this size are looked at as one value, larger ones line by line.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
-
 # Byte order marks, the longer first because one begins like another,
 # and the bytes that Windows-1252 leaves undefined (seen through Latin-1).
 MARKS = {
     "FFFE0000": "utf-32",
     "0000FEFF": "utf-32",
-    "EFBBBF": "utf-8-sig",
     "FFFE": "utf-16",
     "FEFF": "utf-16",
 }
@@ -29,64 +23,74 @@ def _mark(head: Column) -> Column:
     return found
 
 
-def _odd(raw: Column) -> Column:
-    return F.decode(raw, "ISO-8859-1").rlike(NOT_IN_CP1252)
+def csv_files(spark: SparkSession) -> DataFrameReader:
+    """The one rule by which files of a folder are found, and read: *.csv at any depth."""
+    return spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
 
 
-def _files(spark: SparkSession) -> DataFrameReader:
-    return spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+def plain_path(path: Column) -> Column:
+    """A file's path as it is, from the URL that the reader's metadata holds."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path) of every CSV file below a folder, without opening one."""
-    return _files(spark).format("binaryFile").load(path).select("path")
+    """(url, path) of every CSV file below a folder, without opening one."""
+    files = csv_files(spark).format("binaryFile").load(path)
+    return files.select(F.col("_metadata.file_path").alias("url"), "path")
 
 
-def detect_encodings(spark: SparkSession, path: str, whole: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """(path, encoding) of every CSV file below a folder, at any depth.
+def inspect_files(spark: SparkSession, path: str) -> DataFrame:
+    """(url, path, encoding, header, multi_line) of every CSV file below a folder.
 
-    A byte order mark decides; else UTF-8 if every byte sequence is valid, else
-    Windows-1252 unless the file has bytes undefined there, else Latin-1. Files above
-    `whole` bytes are split like any text: a line break never lies inside a UTF-8
-    sequence, so the file is valid when each of its lines is. (The line reader drops
-    a UTF-8 mark, so such a file is reported as plain UTF-8.)
+    A byte order mark decides the encoding; else UTF-8 if every line is valid, else
+    Windows-1252 unless the file has bytes undefined there, else Latin-1. `header` is the
+    first line's text, NULL for UTF-16 and UTF-32. `multi_line` tells that some line has an odd number of quotes, as
+    happens where a line break lies inside a field. Files without a byte are left out.
+
+    All files are read line by line, whatever their size, and split like any text: a line
+    break never lies inside a UTF-8 sequence. The line reader drops a UTF-8 mark, but then
+    a file's lines are three bytes short of its size.
     """
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    small = (
-        _files(spark)
-        .format("binaryFile")
-        .load(path)
-        .where(F.col("length") <= whole)
-        .select(
-            "path",
-            _mark(F.substring("content", 1, 4)).alias("mark"),
-            valid.alias("utf8"),
-            F.when(~valid, _odd(F.col("content"))).alias("odd"),
-        )
-    )
+    raw = F.col("value").cast("binary")
+    latin = F.decode("raw", "ISO-8859-1")
     lines = (
-        _files(spark)
-        .format("text")
-        .load(path)
-        .where(F.col("_metadata.file_size") > whole)
+        csv_files(spark)
+        .option("lineSep", "\n")
+        .text(path)
         .select(
-            F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"),
-            (F.col("_metadata.file_block_start") == 0).alias("first_block"),
-            F.col("value").cast("binary").alias("value"),
+            F.col("_metadata.file_path").alias("url"),
+            F.col("_metadata.file_size").alias("size"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("at"),
+            raw.alias("raw"),
         )
     )
-    # A later Latin-1 line may begin with the bytes of a mark, but holds no zero byte.
-    wide = F.contains(F.decode("value", "ISO-8859-1"), F.lit("\u0000"))
-    marked = F.when(F.col("first_block") & wide, _mark(F.substring("value", 1, 4)))
-    large = (
-        lines.select(
-            "path",
-            marked.alias("mark"),
-            F.is_valid_utf8(F.col("value").cast("string")).alias("utf8"),
-            _odd(F.col("value")).alias("odd"),
-        )
-        .groupBy("path")
-        .agg(F.max("mark").alias("mark"), F.every("utf8").alias("utf8"), F.bool_or("odd").alias("odd"))
+    # A file's first block is read in order by one task.
+    head = F.when(F.col("block") == 0, F.col("raw"))
+    quotes = F.octet_length(latin) - F.octet_length(F.replace(latin, F.lit('"'), F.lit("")))
+    found = lines.groupBy("url").agg(
+        F.min_by(head, F.when(F.col("block") == 0, F.col("at"))).alias("head"),
+        F.every(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"),
+        F.bool_or(latin.rlike(NOT_IN_CP1252)).alias("odd"),
+        F.bool_or(quotes % 2 == 1).alias("multi_line"),
+        (F.sum(F.octet_length("raw") + 1) - F.first("size")).alias("surplus"),
+    )
+    guess = (
+        F.when(F.col("utf8") & (F.col("surplus") < -1), "utf-8-sig")
+        .when(F.col("utf8"), "utf-8")
+        .when(~F.col("odd"), "cp1252")
+        .otherwise("latin1")
+    )
+    named = found.withColumn("encoding", F.coalesce(_mark(F.substring("head", 1, 4)), guess))
+    # The bytes of UTF-16 and UTF-32 lines end inside a character; their reader finds the header.
+    text = F.when(F.col("encoding").startswith("utf-8"), F.col("head").cast("string")).when(
+        F.col("encoding").isin("cp1252", "latin1"), F.decode("head", "ISO-8859-1")
     )
-    guess = F.when(F.col("utf8"), "utf-8").when(~F.col("odd"), "cp1252").otherwise("latin1")
-    return union_all([small, large]).select("path", F.coalesce("mark", guess).alias("encoding"))
+    return named.select(
+        "url", plain_path(F.col("url")).alias("path"), "encoding", text.alias("header"), "multi_line"
+    )
+
+
+def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding) of every CSV file below a folder, at any depth."""
+    return inspect_files(spark, path).select("path", "encoding")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from assayer.config import Layer
+from assayer.operators.profiling import dictionary_index
+from assayer.sources.csv import NULL_MARK
 
 # Write modes by their usual names.
 MODES = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
@@ -23,17 +26,30 @@ def read_layer(spark: SparkSession, folder: str, tables: Sequence[str]) -> dict[
     return {t: spark.read.parquet(f"{folder}/{t}") for t in tables}
 
 
-def write_csv(df: DataFrame, folder: str, if_exists: str = "replace") -> None:
-    """UTF-8 CSV with header and ISO dates, written in parallel."""
-    (
-        df.write.mode(MODES[if_exists])
-        .option("header", True)
+def _as_written(df: DataFrame) -> DataFrameWriter:
+    """Cells as they are: the writer would strip white space by default."""
+    return (
+        df.write.option("header", True)
         .option("dateFormat", "yyyy-MM-dd")
         .option("escape", '"')
-        .csv(folder)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
     )
 
 
+def write_csv(df: DataFrame, folder: str, if_exists: str = "replace", exact: bool = False) -> None:
+    """UTF-8 CSV with header and ISO dates, written in parallel.
+
+    NULL is an empty field and an empty text a quoted one. With `exact`, and in a table of
+    one column, NULL is a mark that the reader undoes: with `exact` it tells NULL from
+    empty, and a row of one NULL would be an empty line that readers pass over.
+    """
+    writer = _as_written(df)
+    if exact or len(df.columns) == 1:
+        writer = writer.option("nullValue", NULL_MARK)
+    writer.mode(MODES[if_exists]).csv(folder)
+
+
 def write_report(df: DataFrame, folder: str, order: Sequence[str]) -> None:
     """One sorted CSV file. For reports whose size does not depend on the data, such as
     a scorecard (a row per table) or relation details (a row per relation)."""
@@ -47,10 +63,41 @@ def write_dictionaries(dictionary: DataFrame, folder: str) -> None:
     very many values is not written by a single task.
     """
     ordered = dictionary.orderBy("table_name", "column_name", dictionary["cnt"].desc(), "col_value")
-    (
-        ordered.write.mode("overwrite")
-        .partitionBy("table_name", "column_name")
-        .option("header", True)
-        .option("escape", '"')
-        .csv(folder)
-    )
+    _as_written(ordered).mode("overwrite").partitionBy("table_name", "column_name").csv(folder)
+
+
+def write_dictionary_index(dictionary: DataFrame, folder: str) -> None:
+    """The index beside the dictionary files: a row per column, one sorted file."""
+    write_report(dictionary_index(dictionary), folder, ["table_schema", "table_name", "column_name"])
+
+
+# --- tables that are rewritten ----------------------------------------------------
+
+
+def write_version(df: DataFrame, folder: str) -> str:
+    """A whole new version of a table beside the earlier ones; returns its name.
+
+    The frame may read an earlier version: nothing is overwritten. A version counts once
+    its job has committed, so a write that fails half way leaves the last one in place.
+    """
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    taken = _versions(df.sparkSession, path)
+    name = f"v{(int(taken[-1][1:9]) if taken else 0) + 1:08d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{folder}/{name}")
+    return name
+
+
+def read_version(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The latest whole version of a table, or None if there is none yet."""
+    names = _versions(spark, spark._jvm.org.apache.hadoop.fs.Path(folder))
+    return spark.read.parquet(f"{folder}/{names[-1]}") if names else None
+
+
+def _versions(spark: SparkSession, path) -> list[str]:
+    """Committed versions, by the mark that Spark leaves last."""
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith("v")]
+    mark = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(p.getName() for p in found if files.exists(mark(p, "_SUCCESS")))

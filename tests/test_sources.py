@@ -6,6 +6,7 @@ import datetime as dt
 import glob
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer import wholesale
 from assayer.operators import maintenance, profiling
@@ -15,10 +16,13 @@ from assayer.sources.csv import list_tables, load_layer, load_wholesale, read_cs
 from assayer.sources.encoding import detect_encodings
 from assayer.sources.sinks import (
     read_layer,
+    read_version,
     write_csv,
     write_dictionaries,
+    write_dictionary_index,
     write_layer,
     write_report,
+    write_version,
 )
 
 BODY = 'ItemID,Item Name,PayDate\n1,"Ärmel, ""lang""",7/1/2003\n2,,\n3,"–",\n'
@@ -53,16 +57,32 @@ ENCODINGS = {
 
 
 def test_encodings(spark, folder):
-    found = {t: list(parts) for t, parts in list_tables(spark, folder).items()}
+    found = {t: source.encodings for t, source in list_tables(spark, folder).items()}
     assert found == {t: [e] for t, e in ENCODINGS.items()}
 
 
-def test_encodings_of_large_files(spark, folder):
-    """Line by line the same answers, but for a UTF-8 mark, which the reader drops."""
-    whole = {r["path"]: r["encoding"] for r in detect_encodings(spark, folder).collect()}
-    lines = {r["path"]: r["encoding"] for r in detect_encodings(spark, folder, whole=0).collect()}
-    assert len(lines) == len(ENCODINGS)
-    assert lines == {p: "utf-8" if e == "utf-8-sig" else e for p, e in whole.items()}
+@pytest.mark.parametrize("block", ["128m", "16"])
+def test_encodings_of_split_files(spark, tmp_path, block):
+    """The same answers whatever the number of tasks that read a file."""
+    long = BODY + "".join(f"{i},é{i},\n" for i in range(40))
+    expected = {}
+    for name, encoding in {"a": "utf-8", "b": "utf-8-sig", "c": "cp1252", "d": "utf-16"}.items():
+        for end in ("", "\n"):
+            path = tmp_path / f"{name}{len(end)}.csv"
+            path.write_bytes((long.rstrip() + end).encode(encoding))
+            expected[path.name] = encoding
+    # Begins like a mark of UTF-16, and has no zero byte.
+    (tmp_path / "e.csv").write_bytes(b"\xff\xfeA,B\n1,2\n")
+    (tmp_path / "f.csv").write_bytes(b"A,B\n\xff\xfe,2\n" * 20)
+    (tmp_path / "empty.csv").write_bytes(b"")  # which Spark's readers leave out
+    expected |= {"e.csv": "utf-16", "f.csv": "cp1252"}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        found = detect_encodings(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["path"].rsplit("/", 1)[1]: r["encoding"] for r in found} == expected
 
 
 def test_load_layer(spark, folder):
@@ -96,6 +116,55 @@ def test_known_encoding_opens_no_file(spark, tmp_path):
     assert encodings == {"a": "latin1"} and tables["a"].first()["X"] == "ä"
 
 
+def test_folder_with_anything_in_it(spark, tmp_path):
+    """Files at any depth, in two orders of columns, some with line breaks, and no others."""
+    big = tmp_path / "Big"
+    (big / "deep" / "er").mkdir(parents=True)
+    (big / "a.csv").write_text("ID,V\n1,x\n")
+    (big / "deep" / "b.csv").write_text("V,ID\ny,2\n")
+    (big / "deep" / "er" / "c.csv").write_text('ID,V\n3,"two\nlines, ""quoted"""\n')
+    (big / "d.csv").write_text("ID,W\n4,w\n", "utf-16")
+    (big / "notes.txt").write_text("note\n1\n")
+    tables, encodings = load_layer(spark, str(tmp_path))
+    assert encodings == {"big": "utf-16,utf-8"}
+    rows = sorted(tuple(r) for r in tables["big"].select("ID", "V", "W").fillna("-").collect())
+    assert rows == [
+        ("1", "x", "-"),
+        ("2", "y", "-"),
+        ("3", 'two\nlines, "quoted"', "-"),
+        ("4", "-", "w"),
+    ]
+
+
+def test_broken_row_is_an_error_where_nothing_is_discovered(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('ID,V\n1,"x\ny"\n2,z\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_layer(spark, str(tmp_path), encoding="utf-8")[0]["a"].collect()
+    told, _ = load_layer(spark, str(tmp_path), encoding="utf-8", multi_line=True)
+    found, _ = load_layer(spark, str(tmp_path))
+    for tables in (told, found):
+        assert sorted(map(tuple, tables["a"].collect())) == [("1", "x\ny"), ("2", "z")]
+
+
+def test_csv_gives_back_what_was_written(spark, tmp_path):
+    cells = ["  a ", "\tq", "q", 'say "x", y', "two\nlines", " ", "", None, "\\", "é"]
+    rows = [(str(i), c, cells[-1 - i]) for i, c in enumerate(cells)]
+    df = spark.createDataFrame(rows, "k string, v string, w string")
+    write_csv(df, str(tmp_path / "exact" / "t"), exact=True)
+    write_csv(df, str(tmp_path / "plain" / "t"))
+    exact, _ = load_layer(spark, str(tmp_path / "exact"), exact=True)
+    plain, _ = load_layer(spark, str(tmp_path / "plain"))
+    assert sorted(map(tuple, exact["t"].collect())) == rows
+    assert sorted(map(tuple, plain["t"].collect())) == [tuple(c or None for c in r) for r in rows]
+
+
+def test_one_column_keeps_its_rows(spark, tmp_path):
+    df = spark.createDataFrame([("a",), (None,), ("",), (None,)], "v string")
+    write_csv(df, str(tmp_path / "t"))
+    back = load_layer(spark, str(tmp_path))[0]["t"]
+    assert sorted(r["v"] or "" for r in back.collect()) == ["", "", "", "a"]
+
+
 def test_selection(spark, folder):
     assert set(list_tables(spark, folder, only=["PLAIN.CSV", "odd"])) == {"plain", "odd"}
     assert "odd" not in list_tables(spark, folder, skip=["Odd"])
@@ -152,12 +221,40 @@ def test_csv_and_report(spark, tmp_path):
 
 def test_dictionary_files(spark, tmp_path):
     df = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y")], "v string, w string")
-    write_dictionaries(profiling.value_dictionary(df, ["v", "w"], "t"), str(tmp_path / "d"))
+    dictionary = profiling.value_dictionary(df, ["v", "w"], "t")
+    write_dictionaries(dictionary, str(tmp_path / "d"))
+    write_dictionary_index(dictionary, str(tmp_path / "index"))
+    index = spark.read.option("header", True).csv(str(tmp_path / "index")).collect()
+    assert [(r["column_name"], r["total_rows"], r["top_value"]) for r in index] == [
+        ("v", "3", "b"),
+        ("w", "3", "x"),
+    ]
     back = spark.read.option("header", True).csv(str(tmp_path / "d"))
     got = {(r["column_name"], r["col_value"], r["cnt"]) for r in back.collect()}
     assert got == {("v", "b", "2"), ("v", "a", "1"), ("w", "x", "2"), ("w", "y", "1")}
 
 
+def test_dictionary_keeps_white_space(spark, tmp_path):
+    df = spark.createDataFrame([("\tq",), ("q",)], "v string")
+    write_dictionaries(profiling.value_dictionary(df, ["v"], "t"), str(tmp_path / "d"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "d"))
+    assert sorted(r["col_value"] for r in back.collect()) == ["\tq", "q"]
+
+
+def test_versions_of_an_upserted_table(spark, tmp_path):
+    folder = str(tmp_path / "card")
+    assert read_version(spark, folder) is None
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    write_version(one, folder)
+    two = spark.createDataFrame([("b", 3)], "k string, v int")
+    write_version(maintenance.upsert(read_version(spark, folder), two, ["k"]), folder)
+    assert sorted(map(tuple, read_version(spark, folder).collect())) == [("a", 1), ("b", 3)]
+    broken = one.withColumn("v", F.raise_error(F.lit("half way")).cast("int"))
+    with pytest.raises(Exception, match="half way"):
+        write_version(broken, folder)
+    assert sorted(map(tuple, read_version(spark, folder).collect())) == [("a", 1), ("b", 3)]
+
+
 def test_upsert_and_insert(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 3, "x"), ("c", 4, "y")], "k string, v int, more string")
