@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.config import Layer
 from assayer.functions.numbers import NUMERIC, money, money_or_zero
-from assayer.operators.running import HEAVY_KEY_ROWS, group_sizes, order_windows
+from assayer.operators.running import order_windows
 
 # Fixed value: acceptable days from order to shipment.
 LEAD_DAYS = (0, 30)
@@ -56,14 +56,9 @@ def payment_totals(payments: DataFrame) -> DataFrame:
     )
 
 
-def totals_of(totals: DataFrame, orders: DataFrame) -> DataFrame:
-    """Totals of the given orders only.
-
-    Catalyst moves this semi-join below the aggregate when the orders are small
-    enough to broadcast; otherwise it meets the totals on their own partitioning.
-    Rows are thus pre-aggregated before any shuffle on the order key.
-    """
-    return totals.join(orders.select("order_id"), "order_id", "left_semi")
+def rows_of(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """Lines or payments of the given orders only, before anything is summed."""
+    return rows.join(orders.select("order_id"), "order_id", "left_semi")
 
 
 def surviving_orders(clean: Layer, lead: tuple[int, int] = LEAD_DAYS) -> DataFrame:
@@ -73,12 +68,15 @@ def surviving_orders(clean: Layer, lead: tuple[int, int] = LEAD_DAYS) -> DataFra
 
 
 def order_balances(clean: Layer, lead: tuple[int, int] = LEAD_DAYS) -> DataFrame:
-    """One row per credible order with line totals, payment totals and balance."""
+    """One row per surviving order with line totals, payment totals and balance.
+
+    Lines and payments are reduced to the surviving orders under their aggregates; both
+    reductions share one exchange of order ids, broadcast where those are few.
+    """
+    orders = surviving_orders(clean, lead)
     return (
-        credible_orders(clean["orders"], lead)
-        .where(F.col("customer_id").isNotNull())
-        .join(line_totals(clean["order_details"]), "order_id", "left")
-        .join(payment_totals(clean["payments"]), "order_id", "left")
+        orders.join(line_totals(rows_of(clean["order_details"], orders)), "order_id", "left")
+        .join(payment_totals(rows_of(clean["payments"], orders)), "order_id", "left")
         .withColumns(
             {
                 "line_count": F.coalesce("line_count", F.lit(0)),
@@ -118,24 +116,19 @@ FACT_COLUMNS = [
 def order_fact(
     clean: Layer,
     lead: tuple[int, int] = LEAD_DAYS,
-    heavy: int = HEAVY_KEY_ROWS,
+    split_customers: bool = False,
     ordered: bool = True,
 ) -> DataFrame:
     """Order facts with customer windows, latest orders first.
 
-    Lines and payments are brought to order grain before they join. Customers join
-    last, where the windows have partitioned and sorted the orders by customer: only
-    the customers move for it and the shuffles before stay narrow. Orders of inactive
-    customers leave at that join; no other customer's windows depend on them.
-
-    The windows' plan depends on the heaviest customer, counted beforehand in one
-    narrow scan of the orders.
+    Only credible orders of active customers, their lines and their payments move.
+    Customers join last, where the windows have partitioned and sorted the orders by
+    customer. `split_customers` is the plan for customers with more orders than a task
+    should sort; it counts and checkpoints the balances first. The result is the same.
     """
-    credible = credible_orders(clean["orders"], lead).where(F.col("customer_id").isNotNull())
     fact = order_windows(
         order_balances(clean, lead),
         attributes=active_customers(clean["customers"]),
-        sizes=group_sizes(credible, "customer_id"),
-        heavy=heavy,
+        split=split_customers,
     ).select(*FACT_COLUMNS)
     return fact.orderBy(F.col("order_date").desc(), F.col("order_id").desc()) if ordered else fact

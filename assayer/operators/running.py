@@ -11,39 +11,27 @@ from assayer.functions.dates import lead_days
 from assayer.functions.numbers import money
 from assayer.operators.shaping import chunk_count, sorted_chunks
 
-# Rows of one key that a single task may sort for a plain window.
-HEAVY_KEY_ROWS = 5_000_000
-
-
-def group_sizes(df: DataFrame, key: str) -> tuple[int, int]:
-    """(rows of the heaviest key, all rows); two numbers reach the driver."""
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    top, total = counted.agg(F.max("n"), F.sum("n")).first()
-    return top or 0, total or 0
-
-
 def order_windows(
     df: DataFrame,
     key: str = "customer_id",
     order: Sequence[str] = ("order_date", "order_id"),
     amount: str = "order_total",
     attributes: DataFrame | None = None,
-    sizes: tuple[int, int] | None = None,
-    heavy: int = HEAVY_KEY_ROWS,
+    split: bool = False,
 ) -> DataFrame:
     """Adds position, days since the previous row and running amount per key.
 
-    All three share one window. When the heaviest key exceeds `heavy` rows, the
-    windows run inside sorted chunks instead and each chunk is shifted by the totals
-    of the key's earlier chunks.
+    All three share one window, and a key's rows are one task's. Where a key may have more
+    than a task should sort, `split` is the plan: the windows run inside sorted chunks and
+    each chunk is shifted by the totals of the key's earlier chunks. It counts the rows
+    once and checkpoints the chunks; the result is the same.
 
     `attributes` (one row per key) are joined to the result, and keys without any are
     dropped. Joining here is cheap: the rows are already partitioned and sorted by
     key, or, for heavy keys, the attributes travel with the chunk totals.
     """
-    top, total = sizes if sizes is not None else group_sizes(df, key)
-    if top > heavy:
-        return _split_windows(df, key, order, amount, attributes, chunk_count(df, total))
+    if split:
+        return _split_windows(df, key, order, amount, attributes, chunk_count(df, df.count()))
     ordered = Window.partitionBy(key).orderBy(*order)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     windowed = df.select(

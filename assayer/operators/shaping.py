@@ -64,7 +64,6 @@ def chunk_bounds(chunks: DataFrame, by: Sequence[str], rows: Column) -> DataFram
     )
 
 
-def chunk_count(df: DataFrame, rows: int | None = None, rows_per_chunk: int = 1_000_000) -> int:
-    """Session parallelism, or more when the row count is known to need it."""
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parallel if rows is None else max(parallel, -(-rows // rows_per_chunk))
+def chunk_count(df: DataFrame, rows: int, rows_per_chunk: int = 1_000_000) -> int:
+    """Chunks for so many rows: the session's parallelism, or more where rows need it."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_chunk))
