@@ -81,24 +81,35 @@ def dictionary_index(dictionary: DataFrame) -> DataFrame:
     )
 
 
+#: Values of a column that tie at the cut are ranked in this many parts first.
+TIE_PARTS = 64
+
+
 def top_values(dictionary: DataFrame, n: int) -> DataFrame:
     """The n most frequent values of each column, ties by smallest value.
 
-    While n is small, Spark keeps only the first n of a column per task before the
-    shuffle. Beyond that, values are ranked in sorted chunks, so that no task receives
-    a whole high-cardinality column.
+    Counting how many values have each count tells below which count none can be among
+    the first n; only the others are ranked. Of those that tie at the cut there may be any
+    number, so parts of them by hash are cut to n before they meet.
     """
     best = [F.col("cnt").desc(), F.col("col_value")]
-    session = dictionary.sparkSession
-    if n <= int(session.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        rank = F.row_number().over(Window.partitionBy(*COLUMN_KEY).orderBy(*best))
-        return dictionary.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n)
-    chunks = sorted_chunks(dictionary, [*COLUMN_KEY, *best], chunk_count(dictionary))
-    bounds = chunk_bounds(chunks, COLUMN_KEY, F.count(F.lit(1))).where(F.col("start") < n)
-    within = F.row_number().over(Window.partitionBy(*COLUMN_KEY, "chunk").orderBy(*best))
+    higher = Window.partitionBy(*COLUMN_KEY).orderBy(F.col("cnt").desc())
+    above = F.sum("values").over(higher.rowsBetween(Window.unboundedPreceding, -1))
+    reached = (
+        dictionary.groupBy(*COLUMN_KEY, "cnt")
+        .agg(F.count(F.lit(1)).alias("values"))
+        .withColumn("above", F.coalesce(above, F.lit(0)))
+        .where(F.col("above") < n)
+    )
+    part = F.pmod(F.xxhash64("col_value"), F.lit(TIE_PARTS))
+    in_part = Window.partitionBy(*COLUMN_KEY, "part").orderBy(*best)
+    whole = Window.partitionBy(*COLUMN_KEY).orderBy(*best)
     return (
-        chunks.join(bounds, [*COLUMN_KEY, "chunk"])
-        .withColumn("rank", F.col("start") + within)
+        dictionary.join(reached, [*COLUMN_KEY, "cnt"], "left_semi")
+        .withColumn("part", part)
+        .withColumn("rank", F.row_number().over(in_part))
+        .where(F.col("rank") <= n)
+        .withColumn("rank", F.row_number().over(whole).cast("long"))
         .where(F.col("rank") <= n)
         .select(*dictionary.columns, "rank")
     )
@@ -204,10 +215,10 @@ def _moments(df: DataFrame, cells: dict[str, Column], sketch=None) -> DataFrame:
     return measured.select(F.inline(F.array(*measured.columns)))
 
 
-def values_at_ranks(cells: DataFrame, targets: DataFrame) -> DataFrame:
+def values_at_ranks(cells: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
     """Adds the values at positions `low` and `high` (from 0) of a sorted stream.
 
-    `cells` has (stream, value), `targets` (stream, quantile, low, high). Values are
+    `cells` has (stream, value) in `rows` rows, `targets` (stream, quantile, low, high). Values are
     counted, put in order across sorted chunks, and located by the running total of
     the chunks before; only chunks that hold a wanted position are looked into. No task
     holds a whole stream.
@@ -217,7 +228,7 @@ def values_at_ranks(cells: DataFrame, targets: DataFrame) -> DataFrame:
         .groupBy("stream", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    chunks = sorted_chunks(counted, ["stream", "value"], chunk_count(cells))
+    chunks = sorted_chunks(counted, ["stream", "value"], chunk_count(cells, rows))
     low, high = F.col("low"), F.col("high")
     # At most two chunks per target.
     wanted = (
@@ -253,45 +264,70 @@ class _Quantile:
     rank: float
     between: tuple[float, float] | None
 
-    def cell(self, c: Column) -> Column:
-        """Value inside the bounds; all below count as one, those above do not matter."""
-        if self.between is None:
-            return c
-        least, most = self.between
-        below = F.lit(float("-inf"))
-        return F.when(c.between(least, most), c).when(c < least, below)
+    def inside(self, c: Column) -> Column:
+        return c.isNotNull() if self.between is None else c.between(*map(F.lit, self.between))
+
+    def below(self, c: Column) -> Column:
+        return F.lit(False) if self.between is None else c < F.lit(self.between[0])
+
+
+def _counted_streams(tables: dict[str, DataFrame], own: dict[str, dict]) -> dict[str, tuple[int, int]]:
+    """{stream: (cells below its bounds, cells inside)}, from one scan without a shuffle of rows."""
+    frames = [
+        tables[t].agg(
+            *[
+                F.struct(
+                    F.lit(i).alias("stream"),
+                    F.count_if(q.below(c)).alias("below"),
+                    F.count_if(q.inside(c)).alias("inside"),
+                ).alias(f"s{i}")
+                for i, (q, c) in streams.items()
+            ]
+        )
+        for t, streams in own.items()
+    ]
+    rows = union_all(f.select(F.inline(F.array(*f.columns))) for f in frames).collect()
+    return {r["stream"]: (r["below"], r["inside"]) for r in rows}
 
 
 def _find(tables: dict[str, DataFrame], cells: dict, wanted: list[_Quantile]) -> dict:
-    """{quantile: value} of those that lie within their bounds."""
+    """{quantile: value} of those that lie within their bounds.
+
+    Cells below the bounds are only counted; of the rest only those inside become rows.
+    """
     streams: dict[tuple, list[_Quantile]] = {}
     for q in wanted:
         streams.setdefault((q.table, q.field, q.between), []).append(q)
     numbered = {str(i): qs for i, qs in enumerate(streams.values())}
+    own: dict[str, dict] = {}
+    for i, qs in numbered.items():
+        own.setdefault(qs[0].table, {})[i] = (qs[0], cells[qs[0].table][qs[0].field])
+    counts = _counted_streams(tables, own)
     frames = []
-    for t, df in tables.items():
-        own = {
-            i: qs[0].cell(cells[t][qs[0].field])
-            for i, qs in numbered.items()
-            if qs[0].table == t
-        }
-        if own:
-            frames.append(to_long(df, own, "stream", "value"))
+    for t, parts in own.items():
+        found = F.array(
+            *[
+                F.struct(F.lit(i).alias("stream"), F.when(q.inside(c), c).alias("value"))
+                for i, (q, c) in parts.items()
+            ]
+        )
+        found = F.filter(found, lambda x: x["value"].isNotNull())
+        frames.append(tables[t].select(F.inline(found)))
     targets = next(iter(tables.values())).sparkSession.createDataFrame(
         [
-            (i, q.name, math.floor(q.rank), math.ceil(q.rank))
+            (i, q.name, math.floor(q.rank) - counts[i][0], math.ceil(q.rank) - counts[i][0])
             for i, qs in numbered.items()
             for q in qs
         ],
         "stream string, quantile string, low long, high long",
     )
     by_name = {(i, q.name): q for i, qs in numbered.items() for q in qs}
+    rows = sum(inside for _, inside in counts.values())
     found = {}
-    for row in values_at_ranks(union_all(frames), targets).collect():
+    for row in values_at_ranks(union_all(frames), targets, rows).collect():
         low, high = row["at_low"], row["at_high"]
         q = by_name[row["stream"], row["quantile"]]
-        inside = q.between is None or (low is not None and low >= q.between[0])
-        if low is not None and high is not None and inside:
+        if low is not None and high is not None:
             step = (high - low) * (q.rank - math.floor(q.rank)) if high != low else 0.0
             found[q] = low + step
     return found
@@ -301,23 +337,18 @@ DESCRIPTION = "field string, count long, mean double, std double, min double, "
     [f"{q} double" for q in QUARTILES] + ["max double"]
 )
 
-# Columns with fewer values are sorted whole instead of between the bounds of a sketch.
-SKETCH_FROM_ROWS = 100_000
-
-
 def describe_tables(
     tables: dict[str, DataFrame],
     columns: Sequence[str] | None = None,
     approx: bool = False,
     accuracy: int = 10_000,
-    sketch_from: int = SKETCH_FROM_ROWS,
 ) -> DataFrame:
     """count, mean, std (n-1), min, quartiles and max of all numeric columns of tables.
 
     One scan per table computes everything but the exact quartiles, and sketches where
-    these lie. A second scan brings the few values around each quartile, about 4 in
-    `accuracy`, into order and counts those below; so nearly nothing is shuffled. A
-    quartile outside its bounds would be searched in the whole column.
+    these lie. A second one counts the cells below and between these bounds, and a third
+    brings the few between, about 4 in `accuracy`, into order; so nearly nothing is
+    shuffled. A quartile outside its bounds would be searched in the whole column.
 
     `approx=True` takes the quartiles from the sketch; their rank is then off by at
     most rows / accuracy. Only the report's own numbers, a row per column, pass through
@@ -350,7 +381,7 @@ def describe_tables(
             r["field"],
             name,
             (r["count"] - 1) * p,
-            (r["sketch"][2 * i], r["sketch"][2 * i + 1]) if r["count"] >= sketch_from else None,
+            (r["sketch"][2 * i], r["sketch"][2 * i + 1]),
         )
         for r in rows
         if r["count"]
@@ -383,10 +414,9 @@ def describe_numeric(
     columns: Sequence[str] | None = None,
     approx: bool = False,
     accuracy: int = 10_000,
-    sketch_from: int = SKETCH_FROM_ROWS,
 ) -> DataFrame:
     """`describe_tables` for a single table."""
-    described = describe_tables({"": df}, columns, approx, accuracy, sketch_from)
+    described = describe_tables({"": df}, columns, approx, accuracy)
     return described.drop("table_name")
 
 
@@ -423,24 +453,31 @@ def describe_layout(described: DataFrame, fields: Sequence[str] | None = None) -
 
 
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """count, unique, top and freq of text columns over their present values."""
+    """count, unique, top and freq of text columns over their present values.
+
+    Values are counted by digest. Only the most frequent ones are looked up again, and
+    the smallest of those that tie is the top.
+    """
     cells = {c: cell(c).cast("string") for c in columns or df.columns}
-    counted = (
-        to_long(df, cells, "field", "value")
-        .groupBy("field", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+    long = to_long(df, cells, "field", "value")
+    digest = F.unhex(F.sha2("value", 256)).alias("digest")
+    counted = long.select("field", digest).groupBy("field", "digest").agg(F.count(F.lit(1)).alias("n"))
+    present = F.col("digest").isNotNull()
+    figures = counted.groupBy("field").agg(
+        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("count"),
+        F.count("digest").alias("unique"),
+        F.max(F.when(present, F.col("n"))).alias("freq"),
     )
-    present = F.col("value").isNotNull()
-    top = F.min(F.when(present, F.struct((-F.col("n")).alias("neg"), F.col("value").alias("top"))))
-    return (
-        counted.groupBy("field")
-        .agg(
-            F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("count"),
-            F.count("value").alias("unique"),
-            top.alias("t"),
-        )
-        .select("field", "count", "unique", F.col("t.top").alias("top"), (-F.col("t.neg")).alias("freq"))
+    # A row per column, however long the table: every task can hold it.
+    most = F.broadcast(figures.select("field", F.col("freq").alias("n")))
+    first = counted.where(present).join(most, ["field", "n"]).select("field", "digest")
+    tops = (
+        long.select("field", "value", digest)
+        .join(first, ["field", "digest"], "left_semi")
+        .groupBy("field")
+        .agg(F.min("value").alias("top"))
     )
+    return figures.join(tops, "field", "left").select("field", "count", "unique", "top", "freq")
 
 
 def describe_table(df: DataFrame, min_ratio: float = 0.85, approx: bool = False) -> DataFrame:

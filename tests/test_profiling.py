@@ -84,8 +84,8 @@ def same(row, values):
         assert g == w or g == pytest.approx(w, rel=1e-12)
 
 
-@pytest.mark.parametrize("sketched", [False, True])
-def test_describe_matches_numpy(spark, sketched):
+@pytest.mark.parametrize("coarse", [False, True])
+def test_describe_matches_numpy(spark, coarse):
     rng = np.random.default_rng(5)
     n = 30_001
     columns = {
@@ -99,7 +99,7 @@ def test_describe_matches_numpy(spark, sketched):
     }
     kinds = ", ".join(f"{c} {'bigint' if c == 'whole' else 'double'}" for c in columns)
     df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), kinds)
-    options = {"accuracy": 500, "sketch_from": 1000} if sketched else {}
+    options = {"accuracy": 500} if coarse else {}
     described = profiling.describe_numeric(df.repartition(5), **options)
     rows = {r["field"]: r for r in described.collect()}
     assert set(rows) == set(columns)
