@@ -30,12 +30,13 @@ class DateChoice:
         return self.present - self.parsed
 
 
-def _date_text(name: str) -> Column:
-    return blank_to_null(cell(name).cast("string"))
+def _given(name: str) -> Column:
+    """A date's text where there is any; blanks are text, and no date."""
+    return F.nullif(cell(name).cast("string"), F.lit(""))
 
 
 def _read_date(name: str, pattern: str) -> Column:
-    return read_date(_date_text(name), pattern)
+    return read_date(blank_to_null(cell(name).cast("string")), pattern)
 
 
 def _text_dates(df: DataFrame) -> list[str]:
@@ -51,7 +52,7 @@ def date_format_counts(df: DataFrame, columns: Sequence[str], formats: Sequence[
                 F.lit(c).alias("column_name"),
                 F.lit(i).alias("preference"),
                 F.lit(f).alias("format"),
-                F.count(_date_text(c)).alias("present"),
+                F.count(_given(c)).alias("present"),
                 F.count(_read_date(c, f)).alias("parsed"),
             ).alias(f"c{j}_{i}")
             for j, c in enumerate(columns)

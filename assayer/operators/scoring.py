@@ -25,6 +25,11 @@ def _amount(name: str) -> Column:
     return F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0))
 
 
+def _given(name: str) -> Column:
+    """Whether a date is there; the blank text of an exported scorecard is none."""
+    return F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) != ""
+
+
 def _capped(penalty: Column, cap: float) -> Column:
     return F.least(penalty, F.lit(cap))
 
@@ -44,7 +49,7 @@ def score_expr() -> Column:
             (orphans > 0) & (rows > 0),
             _capped(orphans / F.nullif(rows, F.lit(0.0)) * ORPHAN_WEIGHT, ORPHAN_CAP),
         ),
-        F.when(F.col("date_min").isNull() != F.col("date_max").isNull(), HALF_OPEN_DATES),
+        F.when(_given("date_min") != _given("date_max"), HALF_OPEN_DATES),
     ]
     left = reduce(lambda points, p: points - F.coalesce(p, F.lit(0.0)), penalties, F.lit(100.0))
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), left))

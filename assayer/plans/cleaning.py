@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assayer.config import CleaningPolicy, Layer
 from assayer.operators.cleaning import (
@@ -13,8 +14,11 @@ from assayer.operators.cleaning import (
     clean_table,
     cleaning_figures,
 )
-from assayer.operators.shaping import union_all
+from assayer.functions.keys import date_columns
+from assayer.functions.numbers import parse_money_or_null
+from assayer.operators.shaping import cell, union_all
 from assayer.operators.staging import snake_names
+from assayer.sources.csv import load_layer
 
 
 def clean_layer(
@@ -39,5 +43,24 @@ def cleaning_report(
     ).orderBy("table")
 
 
+def cleaned_types(table: str, columns: Sequence[str], policy: CleaningPolicy) -> dict[str, Column]:
+    """How the text of a cleaned table's columns is read back; the others stay text."""
+    typed = {c: cell(c).try_cast("date") for c in date_columns(columns)}
+    typed |= {c: parse_money_or_null(cell(c)) for c in policy.money.get(table, ()) if c in columns}
+    whole = [c for c in policy.integers.get(table, ()) if c in columns]
+    typed |= {c: cell(c).try_cast("int") for c in [*whole, *(c for c in columns if c.endswith("_days"))]}
+    return typed | {c: cell(c).try_cast("boolean") for c in columns if c.startswith("is_")}
+
+
+def load_clean(spark: SparkSession, folder: str, policy: CleaningPolicy, **options) -> dict[str, DataFrame]:
+    """The cleaned layer from the CSV folders it was written to, with its types again.
+
+    Dates, money, whole numbers and flags are read as the policy and the names say;
+    identifiers and descriptive text stay text. `options` are those of `load_layer`.
+    """
+    tables, _ = load_layer(spark, folder, **options)
+    return {t: df.withColumns(cleaned_types(t, df.columns, policy)) for t, df in tables.items()}
+
+
 def _snaked(raw: Layer) -> dict[str, DataFrame]:
     return {t: snake_names(df) for t, df in raw.items()}

@@ -217,7 +217,9 @@ def raw_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
             when(col("o_orderpriority") == "5-LOW", _day("o_orderdate", "yyyy/MM/dd"))
             .otherwise(_day("o_orderdate", "M/d/yyyy"))
             .alias("OrderDate"),
-            _day("first_ship", "MM/dd/yyyy").alias("ShipDate"),
+            when(col("o_orderstatus") == "P", "  ")
+            .otherwise(_day("first_ship", "MM/dd/yyyy"))
+            .alias("ShipDate"),
             _thousands("o_totalprice").alias("FreightCharge"),
         )
     )
@@ -237,6 +239,15 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLEANING = CleaningPolicy(money={"orders": ["freight_charge"], "products": ["purchase_price"]})
 
+FACT_POLICY = CleaningPolicy(
+    money={
+        "orders": ["freight_charge"],
+        "order_details": ["unit_sales_price"],
+        "payments": ["payment_amount"],
+    },
+    integers={"customers": ["discontinued"], "order_details": ["quantity_sold"]},
+)
+
 
 def cleaning_input(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"orders": raw_shipments(spark, sf_dir), "products": raw_products(spark, sf_dir)}

@@ -285,9 +285,43 @@ SURVIVING = f"{FACT_LAYER} select {{}} from clean_orders o join clean_customers
 
 CELL_LABELS = f"""
   select customer_id as "CustomerID",
-         case when market_segment = '' then '[BLANK]' else market_segment end as split_label,
-         case when market_segment = '' then '[NULL]' else market_segment end as merged_label
-  from ({RAW["customers"]})"""
+         case when seg is null then '[NULL]' when seg = '' then '[BLANK]' else seg end as split_label,
+         case when coalesce(seg, '') = '' then '[NULL]' else seg end as merged_label
+  from (select *, case when nation_id <> '0.0' then market_segment end as seg
+        from ({RAW["customers"]}))"""
+
+AWKWARD_TEXT = f"""
+  select 'customers' as part, customer_id as id, customer_name as first,
+         case when nation_id <> '0.0' then market_segment end as second from ({RAW["customers"]})
+  union all select 'documents', doc_id::varchar, chr(9) || text, lang from documents
+  union all select 'events', event_id, props, event_type from ({RAW["events"]})"""
+
+
+def _exported(table: str, *renamed: str) -> str:
+    """A raw table under its export names, with empty text as NULL."""
+    names = dict(x.split("=") for x in renamed)
+    cells = ", ".join(f"nullif({c}, '') as \"{n}\"" for c, n in names.items())
+    return f"select {cells} from ({RAW[table]})"
+
+
+CUSTOMERS_FILE = _exported(
+    "customers",
+    "customer_id=CustomerID",
+    "customer_name=CustomerName",
+    "nation_id=NationID",
+    "account_balance=AccountBalance",
+    "market_segment=MarketSegment",
+)
+PARTS_FILE = _exported(
+    "parts",
+    "part_id=PartID",
+    "part_name=PartName",
+    "brand=Brand",
+    '"type"=Type',
+    "size=Size",
+    "retail_price=RetailPrice",
+)
+REGIONS_FILE = _exported("regions", "region_id=RegionID", "region_name=RegionName")
 
 
 def _date_pair(rule) -> str:
@@ -333,6 +367,13 @@ ORACLES: dict[str, str] = {
     "csv_reload": f"""{with_layer(tables=["customers", "orders"])}
         select o.*, customer_name as c_name, market_segment
         from stg_orders o join stg_customers using (customer_id)""",
+    "csv_reload_raw": AWKWARD_TEXT,
+    "csv_reload_utf16": CUSTOMERS_FILE,
+    "csv_nested_folder": PARTS_FILE,
+    "csv_append_and_replace": f"{REGIONS_FILE} union all {REGIONS_FILE}",
+    "dictionary_files": _dictionary(),
+    "fact_from_clean_csv": fact_sql(0, 30),
+    "report_files": f"{SCORECARD} select table_name, dq_score_0_100 from ({SCORE})",
     "null_profile": f"{with_layer()} {_union([_completeness(t) for t in TABLES])}",
     "pk_profile": f"{with_layer()} {_union([_key(t) for t in TABLES])}",
     "date_range": f"{with_layer()} {_union([_dates(t) for t in CHECKS.dates])}",
@@ -396,6 +437,14 @@ ORACLES: dict[str, str] = {
             for name, e in LAYOUT_ROWS.items()
         ]
     ),
+    "describe_approx": _union(
+        [
+            f"select '{t}' as table_name, '{c}' as field, '{q}' as quartile, count(*) >= 0 as near from {t}"
+            for t, columns in NUMERIC.items()
+            for c in columns
+            for q in ("p25", "p50", "p75")
+        ]
+    ),
     "tail_profile": _union(
         [
             f"""select '{c}' as field, round(median({c}::double), 6) as median,

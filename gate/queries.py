@@ -17,11 +17,11 @@ from assayer.operators import checks, cleaning, maintenance, orders, profiling,
 from assayer.operators.scoring import score
 from assayer.operators.shaping import union_all
 from assayer.operators.staging import register_views, snake_names, stage_layer, stage_table
-from assayer.plans.cleaning import clean_layer, cleaning_report
+from assayer.plans.cleaning import clean_layer, cleaning_report, load_clean
 from assayer.plans.scorecard import export_fk_detail, export_scorecard, merge_metrics, scorecard
 from assayer.session import ensure_checkpoint_dir
 from assayer.sources.csv import load_layer
-from assayer.sources.sinks import write_csv
+from assayer.sources.sinks import write_csv, write_dictionaries, write_report
 from gate import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +59,7 @@ def order_fact_any_lead(spark, sf_dir):
 @query
 def order_fact_heavy_customers(spark, sf_dir):
     """The same fact planned for customers too large for one task."""
-    return orders.order_fact(inputs.fact_input(spark, sf_dir), lead=(0, 100_000), heavy=0)
+    return orders.order_fact(inputs.fact_input(spark, sf_dir), lead=(0, 100_000), split_customers=True)
 
 
 @query
@@ -70,17 +70,15 @@ def credible_orders(spark, sf_dir):
 @query
 def line_totals(spark, sf_dir):
     clean = inputs.fact_input(spark, sf_dir)
-    return orders.totals_of(
-        orders.line_totals(clean["order_details"]), orders.surviving_orders(clean, (0, 100_000))
-    )
+    survivors = orders.surviving_orders(clean, (0, 100_000))
+    return orders.line_totals(orders.rows_of(clean["order_details"], survivors))
 
 
 @query
 def payment_totals(spark, sf_dir):
     clean = inputs.fact_input(spark, sf_dir)
-    return orders.totals_of(
-        orders.payment_totals(clean["payments"]), orders.surviving_orders(clean, (0, 100_000))
-    )
+    survivors = orders.surviving_orders(clean, (0, 100_000))
+    return orders.payment_totals(orders.rows_of(clean["payments"], survivors))
 
 
 @query
@@ -139,7 +137,9 @@ def parse_money_(spark, sf_dir):
 
 @query
 def cell_labels(spark, sf_dir):
-    raw, text = inputs.raw_customers(spark, sf_dir), F.col("MarketSegment")
+    """Segments with blanks, and none at all for customers of nation 0."""
+    raw = inputs.raw_customers(spark, sf_dir)
+    text = F.when(F.col("NationID") != "0.0", F.col("MarketSegment"))
     return raw.select(
         "CustomerID",
         value_label(text).alias("split_label"),
@@ -159,10 +159,14 @@ def sql_functions(spark, sf_dir):
     )
 
 
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def csv_reload(spark, sf_dir):
     """Orders and customers written as CSV folders, found again, read and staged."""
-    folder = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    folder = _folder(spark, "csv")
     for name, build in {"Customers": inputs.raw_customers, "Orders": inputs.raw_orders}.items():
         write_csv(build(spark, sf_dir), f"{folder}/{name}")
     staged = stage_layer(load_layer(spark, folder)[0])
@@ -172,6 +176,96 @@ def csv_reload(spark, sf_dir):
     )
 
 
+def _awkward_text(spark, sf_dir):
+    """Padded keys, blanks and NULL, quotes, tabs and line breaks."""
+    customers = inputs.raw_customers(spark, sf_dir).select(
+        F.lit("customers").alias("part"),
+        F.col("CustomerID").alias("id"),
+        F.col("CustomerName").alias("first"),
+        F.when(F.col("NationID") != "0.0", F.col("MarketSegment")).alias("second"),
+    )
+    documents = inputs.table(spark, sf_dir, "documents").select(
+        F.lit("documents"), F.col("doc_id").cast("string"), F.concat(F.lit("\t"), "text"), "lang"
+    )
+    events = inputs.raw_events(spark, sf_dir).select(F.lit("events"), "EventID", "Props", "EventType")
+    return customers.union(documents).union(events)
+
+
+@query
+def csv_reload_raw(spark, sf_dir):
+    """The text that comes back, as it is, NULL and empty told apart."""
+    folder = _folder(spark, "raw")
+    write_csv(_awkward_text(spark, sf_dir), f"{folder}/Text", exact=True)
+    return load_layer(spark, folder, exact=True)[0]["text"]
+
+
+@query
+def csv_reload_utf16(spark, sf_dir):
+    """Customers in UTF-16 beside others in UTF-8, one table."""
+    folder, customers = _folder(spark, "wide"), inputs.raw_customers(spark, sf_dir)
+    machines = F.coalesce(F.col("MarketSegment") == "MACHINERY", F.lit(False))
+    write_csv(customers.where(~machines), f"{folder}/Customers/plain")
+    wide = customers.where(machines).write.option("header", True).option("encoding", "UTF-16")
+    wide.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(
+        f"{folder}/Customers/wide"
+    )
+    return load_layer(spark, folder)[0]["customers"]
+
+
+@query
+def csv_nested_folder(spark, sf_dir):
+    """A table over several depths and two orders of columns, with another file between."""
+    folder, parts = _folder(spark, "nested"), inputs.raw_parts(spark, sf_dir)
+    economy = F.col("Type") == "ECONOMY"
+    write_csv(parts.where(economy), f"{folder}/Parts/deep/er")
+    write_csv(parts.where(~economy).select(*reversed(parts.columns)), f"{folder}/Parts/other")
+    parts.select("PartName").write.text(f"{folder}/Parts/notes")
+    return load_layer(spark, folder)[0]["parts"]
+
+
+@query
+def dictionary_files(spark, sf_dir):
+    """Value dictionaries written as files and read again."""
+    folder = _folder(spark, "dictionaries")
+    write_dictionaries(_dictionary(spark, sf_dir), folder)
+    return (
+        spark.read.option("header", True)
+        .option("multiLine", True)
+        .option("escape", '"')
+        .csv(folder)
+        .withColumn("cnt", F.col("cnt").cast("long"))
+    )
+
+
+@query
+def fact_from_clean_csv(spark, sf_dir):
+    """The order fact over the cleaned layer written as CSV and read with its types."""
+    folder = _folder(spark, "clean")
+    for name, df in inputs.fact_input(spark, sf_dir).items():
+        write_csv(df, f"{folder}/{name}")
+    fact = orders.order_fact(load_clean(spark, folder, inputs.FACT_POLICY))
+    kinds = {"order_id": "long", "customer_id": "long", "price_category": "int"}
+    return fact.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()})
+
+
+@query
+def csv_append_and_replace(spark, sf_dir):
+    """Regions written, written again and appended once more."""
+    folder, regions = _folder(spark, "modes"), inputs.raw_regions(spark, sf_dir)
+    for mode in ("fail", "replace", "append"):
+        write_csv(regions, f"{folder}/Regions", mode)
+    return load_layer(spark, folder, only=["regions"])[0]["regions"]
+
+
+@query
+def report_files(spark, sf_dir):
+    """The scored scorecard as a report file, and its scores from the file's text again."""
+    folder = _folder(spark, "report")
+    card = export_scorecard(scorecard(_staged(spark, sf_dir), inputs.CHECKS))
+    write_report(card, f"{folder}/Card", ["table_schema", "table_name"])
+    return score(load_layer(spark, folder)[0]["card"]).select("table_name", "dq_score_0_100")
+
+
 # --- scorecard ------------------------------------------------------------------
 
 
@@ -352,8 +446,27 @@ def describe_layout(spark, sf_dir):
 
 @query
 def describe_approx(spark, sf_dir):
-    """Sketched quartiles; only their rank error is bounded, so there is no SQL twin."""
-    return _described(spark, sf_dir, approx=True)
+    """Whether each sketched quartile's rank is within rows / accuracy of the exact one."""
+    accuracy, named = 10_000, dict(zip(("lineitem", "part"), _numeric_tables(spark, sf_dir), strict=True))
+    found = [r.asDict() for r in _described(spark, sf_dir, approx=True).collect()]
+    frames = []
+    for name, df in named.items():
+        checks = []
+        for r in (r for r in found if r["table_name"] == name):
+            cell, n = F.col(r["field"]).cast("double"), r["count"]
+            for quartile, p in profiling.QUARTILES.items():
+                value, slack = r[quartile], n / accuracy + 1
+                near = (F.count_if(cell < value) <= p * n + slack) & (F.count_if(cell <= value) >= p * n - slack)
+                checks.append(
+                    F.struct(
+                        F.lit(name).alias("table_name"),
+                        F.lit(r["field"]).alias("field"),
+                        F.lit(quartile).alias("quartile"),
+                        near.alias("near"),
+                    )
+                )
+        frames.append(df.agg(F.array(*checks).alias("c")).select(F.inline("c")))
+    return union_all(frames)
 
 
 @query

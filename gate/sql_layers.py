@@ -166,7 +166,8 @@ SHIPMENTS = f"""
            o_custkey::varchar as customer_id,
            {_day("o_orderdate", "o_orderpriority", {"5-LOW": "%Y/%m/%d"}, "%-m/%-d/%Y")}
              as order_date,
-           strftime(first_ship, '%m/%d/%Y') as ship_date,
+           case when o_orderstatus = 'P' then '  ' else strftime(first_ship, '%m/%d/%Y') end
+             as ship_date,
            format('{{:,.2f}}', o_totalprice) as freight_charge
     from orders
     left join (select l_orderkey, min(l_shipdate) as first_ship from lineitem group by 1)

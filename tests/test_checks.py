@@ -6,7 +6,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from assayer.config import Checks, Relation
 from assayer.operators import checks, relations
@@ -199,6 +198,10 @@ def test_score_reads_exported_text(spark):
     row = ("24.6252", "0.0", "0.0", "0.0", "", "20951", "2003-10-15", "2005-12-15")
     df = spark.createDataFrame([row], names)
     assert score(df).first()["dq_score_0_100"] == 80
+    for first, last, expected in (("", "2003-01-01", 95), (" ", "", 100), ("2003-01-01", None, 95)):
+        text = ", ".join(f"{n} string" for n in names)
+        df = spark.createDataFrame([("0", "0", "0", "0", "0", "10", first, last)], text)
+        assert score(df).first()["dq_score_0_100"] == expected
 
 
 def test_scorecard(spark):

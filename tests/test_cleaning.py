@@ -40,10 +40,15 @@ def test_preferred_format_wins_at_its_threshold(spark):
 
 
 def test_empty_column_takes_the_preferred_format(spark):
-    choice = choose(spark, [None, " "])
+    choice = choose(spark, [None, ""])
     assert (choice.format, choice.present, choice.invalid) == ("M-d-yyyy", 0, 0)
 
 
+def test_blank_dates_are_there_and_no_dates(spark):
+    choice = choose(spark, ["  ", "1/2/2003", "1/3/2003", ""])
+    assert (choice.format, choice.present, choice.invalid) == ("M/d/yyyy", 3, 1)
+
+
 def raw(spark):
     return {
         "orders": text(
