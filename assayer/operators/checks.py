@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from assayer.config import Checks, Layer, key_list
 from assayer.functions.dates import DATE_RULES, any_of, row_earliest, row_latest
 from assayer.functions.numbers import parse_number_strict, percent, strip_separators
-from assayer.operators.shaping import cell, union_all
+from assayer.operators.shaping import Use, ValueCounts, cell, count_values, union_all
 
 
 def _number(tables: Sequence[str]) -> dict[str, Column]:
@@ -157,32 +157,43 @@ def layer_profile(layer: Layer, checks: Checks, schema: str = "stg") -> DataFram
     return _named(profiled, schema, tables, *_shares(layer, tables), *extra)
 
 
+def key_uses(layer: Layer, keys: Mapping[str, str | Sequence[str]]) -> dict[str, Use]:
+    """What the key check counts, by table."""
+    return {t: Use(t, tuple(key_list(k))) for t, k in _required(layer, keys).items()}
+
+
 def key_health(
-    layer: Layer, keys: Mapping[str, str | Sequence[str]], schema: str = "stg"
+    layer: Layer,
+    keys: Mapping[str, str | Sequence[str]],
+    schema: str = "stg",
+    counted: ValueCounts | None = None,
 ) -> DataFrame:
     """Share of rows without a key, and rows beyond the first of each key.
 
-    A composite key counts as missing when any part is.
+    A composite key counts as missing when any part is. `counted` are the values where
+    they have been counted before.
     """
-    keys = {t: key_list(k) for t, k in _required(layer, keys).items()}
-    tables, number = list(keys), _number(list(keys))
-    parts = [f"part_{i}" for i in range(max(map(len, keys.values())))]
-    frames = []
-    for t, columns in keys.items():
-        values = {p: cell(c).cast("string") for p, c in zip(parts, columns, strict=False)}
-        missing = any_of([v.isNull() for v in values.values()]).alias("missing")
-        frames.append(layer[t].select(number[t], missing, *[v.alias(p) for p, v in values.items()]))
-    for p in parts:  # every table has the same columns, unused parts are NULL
-        frames = [
-            f if p in f.columns else f.withColumn(p, F.lit(None).cast("string")) for f in frames
+    uses = key_uses(layer, keys)
+    counted = counted or count_values(layer, uses.values())
+    tables = list(uses)
+    values, use = counted.of(uses.values()), F.col("use")
+    number = {counted.number[u]: i for i, u in enumerate(uses.values(), start=1)}
+    table = F.element_at(F.create_map(*[F.lit(x) for pair in number.items() for x in pair]), use)
+    longest = max(len(u.columns) for u in uses.values())
+    missing = any_of(
+        [
+            use.isin([counted.number[u] for u in uses.values() if len(u.columns) > j])
+            & F.col(f"part_{j}").isNull()
+            for j in range(longest)
         ]
-    counted = union_all(frames).groupBy("table", "missing", *parts).agg(F.count(F.lit(1)).alias("n"))
+    )
+    rows = values.select(table.alias("table"), missing.alias("missing"), "n")
     empty = _empty_rows(layer, tables).select(
         "table", F.lit(True).alias("missing"), F.col("weight").cast("long").alias("n")
     )
     missing, n = F.col("missing"), F.col("n")
     health = (
-        union_all([counted.select("table", "missing", "n"), empty])
+        union_all([rows, empty])
         .groupBy("table")
         .agg(
             F.sum(n).alias("rows"),
@@ -194,7 +205,7 @@ def key_health(
         health,
         schema,
         tables,
-        _by_number([",".join(keys[t]) for t in tables]).alias("suspected_pk"),
+        _by_number([",".join(uses[t].columns) for t in tables]).alias("suspected_pk"),
         percent(F.col("without"), F.col("rows")).alias("pk_null_pct"),
         "pk_duplicate_rows",
     )

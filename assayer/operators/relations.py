@@ -10,47 +10,58 @@ from pyspark.sql import functions as F
 from assayer.config import Layer, Relation
 from assayer.functions.keys import norm_id
 from assayer.functions.numbers import percent
-from assayer.operators.shaping import cell, to_long, union_all
+from assayer.operators.shaping import Use, ValueCounts, count_values
 
 
-def _pick(options: dict[str, str], key: Column) -> Column:
-    """Value that configuration assigns to a key."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in options.items() for x in kv]), key)
+def _usable(layer: Layer, relations: Sequence[Relation]) -> list[Relation]:
+    usable = [r for r in relations if r.child in layer and r.parent in layer]
+    if not usable:
+        raise ValueError("no relation has both its tables in the layer")
+    return usable
 
 
-def _foreign_values(layer: Layer, relations: dict[str, Relation]) -> DataFrame:
-    """Distinct (relation, fk value) with its row count.
+def _child(r: Relation) -> Use:
+    return Use(r.child, (r.fk,))
+
+
+def _parent(r: Relation) -> Use:
+    return Use(r.parent, (r.pk,))
+
+
+def relation_uses(layer: Layer, relations: Sequence[Relation]) -> list[Use]:
+    """What the relation report counts: foreign keys and the keys they point to."""
+    usable = _usable(layer, relations)
+    return list(dict.fromkeys([*map(_child, usable), *map(_parent, usable)]))
 
-    A child is scanned once for all its relations, and counting before any join means
-    that no value, not even a missing one that fills a third of a table, is heavy.
-    """
-    frames = []
-    for child in dict.fromkeys(r.child for r in relations.values()):
-        df = layer[child]
-        keys = {i: cell(r.fk).cast("string") for i, r in relations.items() if r.child == child}
-        frames.append(to_long(df, keys, "relation", "fk"))
-    return union_all(frames).groupBy("relation", "fk").agg(F.count(F.lit(1)).alias("n"))
 
+def _number(pairs: dict[int, int], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
 
-def _parent_keys(layer: Layer, relations: dict[str, Relation]) -> DataFrame:
+
+def _foreign_values(counted: ValueCounts, relations: list[Relation]) -> DataFrame:
+    """(relation, fk, n); a column with several parents has its values once for each."""
+    own: dict[int, list[int]] = {}
+    for i, r in enumerate(relations):
+        own.setdefault(counted.number[_child(r)], []).append(i)
+    of = F.create_map(*[x for use, ids in own.items() for x in (F.lit(use), F.array(*map(F.lit, ids)))])
+    values = counted.of({_child(r) for r in relations})
+    return values.select(
+        F.explode(F.element_at(of, F.col("use"))).alias("relation"), F.col("part_0").alias("fk"), "n"
+    )
+
+
+def _parent_keys(counted: ValueCounts, relations: list[Relation]) -> DataFrame:
     """Every parent key in raw and normalised form, with the forms under which it exists."""
-    frames = []
-    for parent, pk in dict.fromkeys((r.parent, r.pk) for r in relations.values()):
-        frames.append(
-            layer[parent].select(
-                F.lit(f"{parent}.{pk}").alias("parent"), cell(pk).cast("string").alias("pk")
-            )
-        )
-    pk, norm = F.col("pk"), F.col("norm_pk")
+    keys = counted.of({_parent(r) for r in relations})
+    pk, norm = F.col("part_0"), F.col("norm_pk")
     both = F.struct(pk.alias("key"), F.lit(True).alias("raw"), F.lit(True).alias("norm"))
     as_raw = F.struct(pk.alias("key"), F.lit(True).alias("raw"), F.lit(False).alias("norm"))
     as_norm = F.struct(norm.alias("key"), F.lit(False).alias("raw"), F.lit(True).alias("norm"))
     return (
-        union_all(frames)
-        .where(pk.isNotNull())
+        keys.where(pk.isNotNull())
         .withColumn("norm_pk", norm_id(pk))
         .select(
-            "parent",
+            F.col("use").alias("parent"),
             F.inline(F.when(norm == pk, F.array(both)).otherwise(F.array(as_raw, as_norm))),
         )
         .where(F.col("key").isNotNull())
@@ -59,40 +70,45 @@ def _parent_keys(layer: Layer, relations: dict[str, Relation]) -> DataFrame:
     )
 
 
-def fk_report(layer: Layer, relations: Sequence[Relation], schema: str = "stg") -> DataFrame:
+def fk_report(
+    layer: Layer,
+    relations: Sequence[Relation],
+    schema: str = "stg",
+    counted: ValueCounts | None = None,
+) -> DataFrame:
     """One row per relation: missing keys, orphans by raw and by normalised key.
 
     `fixable_by_normalize_rows` are rows whose raw key has no parent but whose
     normalised key has one. Parents are matched by distinct key, so a duplicated
-    parent key does not multiply the counts.
+    parent key does not multiply the counts. `counted` are the values where they have been
+    counted before; tables, columns and forms travel as small numbers.
     """
-    usable = [r for r in relations if r.child in layer and r.parent in layer]
-    if not usable:
-        raise ValueError("no relation has both its tables in the layer")
-    numbered = {str(i): r for i, r in enumerate(usable)}
+    usable = _usable(layer, relations)
+    foreign = counted or count_values(layer, map(_child, usable))
+    parents = counted or count_values(layer, map(_parent, usable))
     relation = F.col("relation")
+    both, raw, normal, bare = map(F.lit, range(4))
     fk, norm = F.col("fk"), F.col("norm_fk")
 
     # A value whose two forms agree is looked up once, else once per form.
     lookups = (
-        F.when(norm == fk, F.array(F.struct(fk.alias("key"), F.lit("both").alias("form"))))
+        F.when(norm == fk, F.array(F.struct(fk.alias("key"), both.alias("form"))))
         .when(
             norm.isNotNull(),
             F.array(
-                F.struct(fk.alias("key"), F.lit("raw").alias("form")),
-                F.struct(norm.alias("key"), F.lit("norm").alias("form")),
+                F.struct(fk.alias("key"), raw.alias("form")),
+                F.struct(norm.alias("key"), normal.alias("form")),
             ),
         )
-        .otherwise(F.array(F.struct(fk.alias("key"), F.lit("bare").alias("form"))))
+        .otherwise(F.array(F.struct(fk.alias("key"), bare.alias("form"))))
     )
-    counted_values = _foreign_values(layer, numbered).withColumn("norm_fk", norm_id(fk))
-    values = counted_values.select(
-        "relation",
-        _pick({i: f"{r.parent}.{r.pk}" for i, r in numbered.items()}, relation).alias("parent"),
-        "n",
-        F.inline(lookups),
+    parent = {i: parents.number[_parent(r)] for i, r in enumerate(usable)}
+    values = (
+        _foreign_values(foreign, usable)
+        .withColumn("norm_fk", norm_id(fk))
+        .select("relation", _number(parent, relation).alias("parent"), "n", F.inline(lookups))
     )
-    found = values.join(_parent_keys(layer, numbered), ["parent", "key"], "left")
+    found = values.join(_parent_keys(parents, usable), ["parent", "key"], "left")
 
     form = F.col("form")
     present = F.col("key").isNotNull()
@@ -103,19 +119,19 @@ def fk_report(layer: Layer, relations: Sequence[Relation], schema: str = "stg")
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
     counted = found.groupBy("relation").agg(
-        rows(present & (form != "norm")).alias("fk_non_null_rows"),
+        rows(present & (form != normal)).alias("fk_non_null_rows"),
         rows(~present).alias("null_fk_rows"),
-        rows(raw_miss & (form != "norm")).alias("orphan_rows_raw"),
-        rows(norm_miss & form.isin("both", "norm")).alias("orphan_rows_norm"),
-        rows(raw_miss & form.isin("both", "raw")).alias("raw_miss_with_norm"),
+        rows(raw_miss & (form != normal)).alias("orphan_rows_raw"),
+        rows(norm_miss & form.isin(both, normal)).alias("orphan_rows_norm"),
+        rows(raw_miss & form.isin(both, raw)).alias("raw_miss_with_norm"),
     )
     # A raw hit is always a normalised hit too, so the difference is what normalising fixes.
     fixable = F.col("raw_miss_with_norm") - F.col("orphan_rows_norm")
 
     # An empty child has no values to count; its relations still get a row of zeros.
     declared = layer[usable[0].child].sparkSession.createDataFrame(
-        [(i, r.child, r.fk, r.parent, r.pk) for i, r in numbered.items()],
-        "relation string, child_table string, child_fk_col string, "
+        [(i, r.child, r.fk, r.parent, r.pk) for i, r in enumerate(usable)],
+        "relation int, child_table string, child_fk_col string, "
         "parent_table string, parent_pk_col string",
     )
     counts = ["fk_non_null_rows", "null_fk_rows", "orphan_rows_raw", "orphan_rows_norm"]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,57 @@ def to_long(df: DataFrame, columns: dict[str, Column], name: str, value: str) ->
     return narrow.unpivot([], [cell(n) for n in columns], name, value)
 
 
+@dataclass(frozen=True)
+class Use:
+    """Columns of a table whose values are counted: a key, or a reference to one."""
+
+    table: str
+    columns: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class ValueCounts:
+    """(use, part_0, part_1, .., n): rows of each distinct value of each use."""
+
+    frame: DataFrame
+    number: dict[Use, int]
+
+    def of(self, uses: Iterable[Use]) -> DataFrame:
+        return self.frame.where(F.col("use").isin([self.number[u] for u in uses]))
+
+    def kept(self) -> ValueCounts:
+        """Counted now and checkpointed, for several readers."""
+        ensure_checkpoint_dir(self.frame.sparkSession)
+        return ValueCounts(self.frame.checkpoint(), self.number)
+
+
+def count_values(layer: Mapping[str, DataFrame], uses: Iterable[Use]) -> ValueCounts:
+    """Values of all uses as text, a table scanned once for all of its own.
+
+    Counting comes before the shuffle: no value, not even a missing one that fills a third
+    of a table, is heavy in what follows.
+    """
+    number = {u: i for i, u in enumerate(dict.fromkeys(uses))}
+    width = max(len(u.columns) for u in number)
+    frames = []
+    for table in dict.fromkeys(u.table for u in number):
+        values = [
+            F.struct(
+                F.lit(i).alias("use"),
+                *[
+                    (cell(u.columns[j]).cast("string") if j < len(u.columns) else F.lit(None).cast("string")).alias(f"part_{j}")
+                    for j in range(width)
+                ],
+            )
+            for u, i in number.items()
+            if u.table == table
+        ]
+        frames.append(layer[table].select(F.inline(F.array(*values))))
+    parts = [f"part_{j}" for j in range(width)]
+    counted = union_all(frames).groupBy("use", *parts).agg(F.count(F.lit(1)).alias("n"))
+    return ValueCounts(counted, number)
+
+
 def sorted_chunks(df: DataFrame, order: Sequence[str | Column], chunks: int) -> DataFrame:
     """Rows numbered by `chunk`, where chunk i holds only rows ordered before chunk i+1.
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.config import Checks, Layer
-from assayer.operators.checks import key_health, layer_profile
+from assayer.operators.checks import key_health, key_uses, layer_profile
 from assayer.operators.maintenance import insert_if_absent
-from assayer.operators.relations import fk_report, fk_rollup
-from assayer.operators.shaping import union_all
+from assayer.operators.relations import fk_report, fk_rollup, relation_uses
+from assayer.operators.shaping import count_values, union_all
 
 # Columns of the exported reports, in order.
 SCORECARD_COLUMNS = [
@@ -66,16 +66,26 @@ METRICS = {
 
 
 def scorecard(layer: Layer, checks: Checks, schema: str = "stg") -> DataFrame:
-    """One row per table with all metrics; one job over column-pruned scans.
+    """One row per table with all metrics, from two column-pruned scans per table.
 
-    Each check yields its own rows, keyed by table. They are merged by one grouping
-    in which every metric has at most one value per table.
+    One scan profiles a table's rows; the other counts the values of its keys and foreign
+    keys together, which is done at once and checkpointed, as key and relation checks both
+    read it. Each check yields its own rows, keyed by table. They are merged by one
+    grouping in which every metric has at most one value per table.
+
+    The layer should be a staged one that has been written: a staged view parses its text
+    in either scan.
     """
     parts = [layer_profile(layer, checks, schema)]
-    if any(t in layer for t in checks.primary_keys):
-        parts.append(key_health(layer, checks.primary_keys, schema))
-    if any(r.child in layer and r.parent in layer for r in checks.relations):
-        parts.append(fk_rollup(fk_report(layer, checks.relations, schema)))
+    keyed = any(t in layer for t in checks.primary_keys)
+    related = any(r.child in layer and r.parent in layer for r in checks.relations)
+    uses = list(key_uses(layer, checks.primary_keys).values()) if keyed else []
+    uses += relation_uses(layer, checks.relations) if related else []
+    counted = count_values(layer, uses).kept() if uses else None
+    if keyed:
+        parts.append(key_health(layer, checks.primary_keys, schema, counted))
+    if related:
+        parts.append(fk_rollup(fk_report(layer, checks.relations, schema, counted)))
     rows = union_all(parts)
     absent = {m: F.lit(None).cast(t) for m, t in METRICS.items() if m not in rows.columns}
     return (

@@ -6,6 +6,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.config import Checks, Relation
 from assayer.operators import checks, relations
@@ -245,6 +246,19 @@ def test_scorecard(spark):
     assert export_fk_detail(report).first()["base_rows"] == 2
 
 
+def test_scorecard_scans_a_table_twice_at_most(spark, tmp_path):
+    layer = {}
+    for t in ("customers", "orders"):
+        spark.createDataFrame([("1", "2")], "customer_id string, order_id string").write.parquet(f"{tmp_path}/{t}")
+        layer[t] = spark.read.parquet(f"{tmp_path}/{t}")
+    declared = Checks(
+        primary_keys={"customers": "customer_id", "orders": "order_id"},
+        relations=[Relation("orders", "customer_id", "customers", "customer_id")],
+    )
+    plan = scorecard(layer, declared)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= len(layer)  # the keys were counted in a job before
+
+
 def test_scorecard_without_relations(spark):
     card = scorecard({"t": text(spark, "a", [("1",)])}, Checks(primary_keys={"t": "a"}))
     assert card.first()["fk_orphan_rows"] is None
