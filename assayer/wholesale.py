@@ -8,27 +8,65 @@ from __future__ import annotations
 from assayer.config import Checks, CleaningPolicy, Relation
 
 RAW_COLUMNS = {
-    "customers": (
-        "CustomerID CustomerName Region Country PriceCategory CustomerClass LeadSource Discontinued"
-    ).split(),
-    "employees": "EmployeeID EmployeeName".split(),
-    "inventory_transactions": (
-        "TransactionID ProductID PurchaseOrderID MissingID TransactionDate UnitPurchasePrice"
-        " QuantityOrdered QuantityReceived QuantityMissing"
-    ).split(),
-    "order_details": "OrderDetailID OrderID ProductID QuantitySold UnitSalesPrice".split(),
-    "orders": (
-        "OrderID CustomerID EmployeeID ShippingMethodID OrderDate ShipDate FreightCharge"
-    ).split(),
-    "payment_methods": "PaymentMethodID PaymentMethod".split(),
-    "payments": "PaymentID OrderID PaymentMethodID PaymentDate PaymentAmount".split(),
-    "products": (
-        "ProductID ProductName Color ModelDescription FabricDescription Category Gender ProductLine"
-        " Weight Size PackSize Status InventoryDate PurchasePrice"
-    ).split(),
-    "purchase_orders": "PurchaseOrderID SupplierID EmployeeID ShippingMethodID OrderDate".split(),
-    "shipping_methods": "ShippingMethodID ShippingMethod".split(),
-    "suppliers": "SupplierID SupplierName".split(),
+    "customers": [
+        "CustomerID",
+        "CustomerName",
+        "Region",
+        "Country",
+        "PriceCategory",
+        "CustomerClass",
+        "LeadSource",
+        "Discontinued",
+    ],
+    "employees": ["EmployeeID", "EmployeeName"],
+    "inventory_transactions": [
+        "TransactionID",
+        "ProductID",
+        "PurchaseOrderID",
+        "MissingID",
+        "TransactionDate",
+        "UnitPurchasePrice",
+        "QuantityOrdered",
+        "QuantityReceived",
+        "QuantityMissing",
+    ],
+    "order_details": ["OrderDetailID", "OrderID", "ProductID", "QuantitySold", "UnitSalesPrice"],
+    "orders": [
+        "OrderID",
+        "CustomerID",
+        "EmployeeID",
+        "ShippingMethodID",
+        "OrderDate",
+        "ShipDate",
+        "FreightCharge",
+    ],
+    "payment_methods": ["PaymentMethodID", "PaymentMethod"],
+    "payments": ["PaymentID", "OrderID", "PaymentMethodID", "PaymentDate", "PaymentAmount"],
+    "products": [
+        "ProductID",
+        "ProductName",
+        "Color",
+        "ModelDescription",
+        "FabricDescription",
+        "Category",
+        "Gender",
+        "ProductLine",
+        "Weight",
+        "Size",
+        "PackSize",
+        "Status",
+        "InventoryDate",
+        "PurchasePrice",
+    ],
+    "purchase_orders": [
+        "PurchaseOrderID",
+        "SupplierID",
+        "EmployeeID",
+        "ShippingMethodID",
+        "OrderDate",
+    ],
+    "shipping_methods": ["ShippingMethodID", "ShippingMethod"],
+    "suppliers": ["SupplierID", "SupplierName"],
 }
 
 # Files that are not UTF-8.
