@@ -74,4 +74,31 @@ ORACLES = {
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op3_preference_pairs": """
+        WITH turns AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos,
+                   coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        ),
+        last AS (SELECT conv_id, max(pos) FILTER (role = 'assistant') AS answer FROM turns GROUP BY conv_id),
+        pieces AS (
+            SELECT conv_id, pos, answer, role, text,
+                   lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY pos) AS echo,
+                   '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
+            FROM turns JOIN last USING (conv_id)
+        ),
+        told AS (
+            SELECT conv_id, pos, answer, shown,
+                   answer IS NOT NULL AND pos = answer AND text <> echo AS differs,
+                   '<|assistant|>' || chr(10) || echo || '<|end|>' || chr(10) AS echoed,
+                   text, echo
+            FROM pieces WHERE answer IS NULL OR pos <= answer
+        )
+        SELECT conv_id, count(*) FILTER (NOT differs)::INTEGER AS prompt_turns,
+               sha256(coalesce(string_agg(shown, '' ORDER BY pos) FILTER (NOT differs), '')) AS prompt_sha256,
+               sha256(coalesce(max(shown) FILTER (differs), '')) AS chosen_sha256,
+               sha256(coalesce(max(echoed) FILTER (differs), '')) AS rejected_sha256,
+               coalesce(max('14-' || (14 + length(text) + 8)) FILTER (differs), '') AS chosen_spans,
+               coalesce(max('14-' || (14 + length(echo) + 8)) FILTER (differs), '') AS rejected_spans
+        FROM told GROUP BY conv_id
+    """,
 }

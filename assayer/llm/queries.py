@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontamination, katz, langid, line_dedup, quality, repeats, sharding, simhash
+from assayer.llm import bpe, chat, decontamination, katz, langid, line_dedup, quality, repeats, sharding, simhash
 from assayer.llm.common import text_key, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,27 @@ def op2_byte_bpe(spark, sf_dir):
     return encoded(documents(spark, sf_dir))
 
 
+def spans_text(spans):
+    """start-end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+
+
+@query
+def op3_preference_pairs(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    talks = chat.conversations(turns, "conv_id", "turn", "role", "text")
+    found = chat.format_preferences(chat.echo_pairs(talks))
+    return found.select(
+        F.col("id").alias("conv_id"),
+        "prompt_turns",
+        digest(F.col("prompt")).alias("prompt_sha256"),
+        digest(F.col("chosen_text")).alias("chosen_sha256"),
+        digest(F.col("rejected_text")).alias("rejected_sha256"),
+        spans_text("chosen_learned").alias("chosen_spans"),
+        spans_text("rejected_learned").alias("rejected_spans"),
+    )
+
+
 @query
 def op7_bounded_ring(spark, sf_dir):
     found = sharding.bounded_ring(documents(spark, sf_dir), shards=16)
