@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from assayer.llm.common import whole_text, written
 from assayer.operators.shaping import cell
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Keys of the end token and of the context before the first word.
 END_WORD, BEGIN = np.uint64(0x1D8AF1A7C0FFEE11), np.uint64(0x5BD1E995A5A5A5A7)
 
