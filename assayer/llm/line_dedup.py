@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import SPACES, ascii_lower, unpack, whole_row, whole_text
+from assayer.llm.common import SPACES, ascii_lower, unpack, whole_row, whole_text, written
 from assayer.operators.shaping import cell
 
 
@@ -14,17 +14,23 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-def _hashes(lines: Column, min_chars: int) -> Column:
-    """Per line 128 bits of its key, or NULL where the key is too short to be judged."""
+def _hashes(text: Column, min_chars: int) -> Column:
+    """(h1, h2, pos) for every line of a text whose key is long enough to be judged: 128 bits
+    of the key and the line's position, in their order.
 
-    def one(line):
-        key = line_key(line)
-        return F.when(
-            F.length(key) >= min_chars,
-            F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")),
-        )
-
-    return F.transform(lines, one)
+    Step by step, because what a lambda names twice is computed twice.
+    """
+    trimmed = F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)))
+    keys = F.transform(trimmed, ascii_lower)
+    hashed = F.transform(
+        keys,
+        lambda k, i: F.struct(
+            F.when(F.length(k) >= min_chars, F.xxhash64(k)).alias("h1"),
+            F.xxhash64(F.lit(1), k).alias("h2"),
+            i.alias("pos"),
+        ),
+    )
+    return F.array_sort(F.filter(hashed, lambda h: h["h1"].isNotNull()))
 
 
 def dedup_lines(
@@ -45,9 +51,11 @@ def dedup_lines(
     if its id repeats; a null id is below all others. If every line is dropped `kept` is
     empty. An empty table gives an empty result.
 
-    Per line 128-bit hash only a count and the largest id are aggregated, combined before
-    the shuffle, so a line that a third of all documents share is a row per task. The join
-    back is one of line hashes, without text; its hot keys are split by the adaptive join.
+    Lines are hashed once and written as a table of 128-bit hashes. Per hash only a count
+    and the largest id are aggregated, combined before the shuffle, so a line that a third
+    of all documents share is a row per task. The shared ones are a table too; the join back
+    is one of hashes, without text, and its hot keys are split by the adaptive join, which
+    needs both sides shuffled for it.
     Dropped positions meet their text by id and text hash: one shuffle of the text.
     """
     rows = docs.select(
@@ -58,22 +66,25 @@ def dedup_lines(
     hashed = docs.select(
         cell(id_col).alias("id"),
         F.xxhash64(whole_text(text_col)).alias("tk"),
-        _hashes(F.split(whole_text(text_col), "\n", -1), min_chars).alias("hashes"),
+        _hashes(whole_text(text_col), min_chars).alias("lines"),
     )
 
-    counted = hashed.select("id", F.explode(F.array_distinct("hashes")).alias("h"))
-    shared = (
-        counted.where("h IS NOT NULL")
-        .select("id", "h.h1", "h.h2")
+    def with_first(line, i):
+        before = F.get("lines", i - 1)
+        same = (before["h1"] == line["h1"]) & (before["h2"] == line["h2"])
+        first = ~F.coalesce(same, F.lit(False))
+        return F.struct(*[line[c].alias(c) for c in ("h1", "h2", "pos")], first.alias("first"))
+
+    # The outer form, because a filter that Spark infers for the other hashes all lines again.
+    marked = hashed.select("id", "tk", F.transform("lines", with_first).alias("lines"))
+    lines = marked.select("id", "tk", F.explode_outer("lines").alias("h"))
+    lines = written(lines.where("h IS NOT NULL").select("id", "tk", "h.*"))
+    shared = written(
+        lines.where("first")
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("docs"), F.max("id").alias("keeper"))
         .where(F.col("docs") >= min_docs)
     )
-    lines = (
-        hashed.select("id", "tk", F.posexplode("hashes").alias("pos", "h"))
-        .where("h IS NOT NULL")
-        .select("id", "tk", "pos", "h.h1", "h.h2")
-    )
     dropped = (
         lines.join(shared, ["h1", "h2"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
