@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +21,19 @@ from assayer.llm.common import whole_row, whole_text
 BOUNDARY = regex.compile(r"(?<=\p{L})(?= \p{L})")
 
 
-@lru_cache(maxsize=4)
 def encoding(ranks: str, pattern: str) -> tiktoken.Encoding:
-    """One per worker process and rank file; a file is a base64 token and its rank per line."""
-    with open(ranks, "rb") as lines:
-        table = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    """One per worker process and rank file; a file is a base64 token and its rank per line.
+
+    Kept with the library, because this module's own names are new in each task.
+    """
+    loaded = tiktoken.__dict__.setdefault("_assayer_encodings", {})
+    if (ranks, pattern) not in loaded:
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+        loaded[ranks, pattern] = tiktoken.Encoding(
+            "local", pat_str=pattern, mergeable_ranks=table, special_tokens={}
+        )
+    return loaded[ranks, pattern]
 
 
 def pieces(text: str, length: int) -> Iterator[str]:
