@@ -337,6 +337,7 @@ ORACLES: dict[str, str] = {
     "order_fact": fact_sql(0, 30),
     "order_fact_any_lead": fact_sql(0, 100_000),
     "order_fact_heavy_customers": fact_sql(0, 100_000),
+    "order_fact_without_returns": fact_sql(0, 100_000, "l_returnflag <> 'R'"),
     "credible_orders": SURVIVING.format(
         "order_id, customer_id, order_date, ship_date, freight_charge, ship_lead_days"
     )

@@ -62,6 +62,18 @@ def order_fact_heavy_customers(spark, sf_dir):
     return orders.order_fact(inputs.fact_input(spark, sf_dir), lead=(0, 100_000), split_customers=True)
 
 
+@query
+def order_fact_without_returns(spark, sf_dir):
+    """Returned lines are no sales, so some orders that shipped have no line."""
+    clean = inputs.fact_input(spark, sf_dir)
+    sold = inputs.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_quantity").cast("int").alias("quantity_sold"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("unit_sales_price"),
+    )
+    return orders.order_fact(clean | {"order_details": sold}, lead=(0, 100_000))
+
+
 @query
 def credible_orders(spark, sf_dir):
     return orders.surviving_orders(inputs.fact_input(spark, sf_dir), lead=(0, 100_000))

@@ -204,15 +204,15 @@ FACT_LAYER = """
       select l_orderkey as order_id, count(*) as line_count,
              sum(l_quantity::integer)::decimal(38,10) as item_qty,
              sum(l_quantity::integer * l_extendedprice::decimal(18,2))::decimal(18,2) as gross_sales
-      from lineitem group by 1),
+      from lineitem where true group by 1),
     pays as (
       select l_orderkey as order_id, count(*) as payment_cnt,
              sum(l_extendedprice::decimal(18,2))::decimal(18,2) as paid_amount
       from lineitem where l_linestatus = 'F' group by 1)"""
 
 
-def fact_sql(first: int, last: int) -> str:
-    return f"""{FACT_LAYER},
+def fact_sql(first: int, last: int, sold: str = "true") -> str:
+    return f"""{FACT_LAYER.replace("true", sold)},
     fact as (
       select o.order_id, o.order_date, o.ship_date, o.customer_id, c.customer_name, c.region,
              c.country, c.customer_class, c.price_category, o.ship_lead_days,
