@@ -45,8 +45,8 @@ class Windows:
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
         if len(Windows._forth) < n:
-            Windows._forth = _powers(_BASE, n + PART)
-            Windows._back = _powers(pow(_BASE, -1, 1 << 64), n + PART)
+            Windows._forth = _powers(_BASE, n + n // 2)
+            Windows._back = _powers(pow(_BASE, -1, 1 << 64), n + n // 2)
         self.sums = np.zeros(n, np.uint64)
         np.cumsum(self._values[data] * self._forth[: n - 1], out=self.sums[1:])
 
@@ -98,37 +98,21 @@ def first_digits(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray,
     return found, heads, sizes, repeats
 
 
-def equal_windows(data: np.ndarray, starts: np.ndarray, length: int, digits: int = 4) -> np.ndarray:
-    """The starts whose window equals that of another start, by radix passes.
+def equal_windows(data: np.ndarray, starts: np.ndarray, length: int, digits: int = 2) -> np.ndarray:
+    """The starts, in their order, whose window equals that of another start.
 
-    Each pass splits the groups by the hash of the next part of the window and drops those
-    of one member.
+    Radix passes: each tells groups apart by the hash of the next part of the window, taken
+    with what the group had before, and drops those of one member.
     """
     windows = Windows(data)
     edges = [length * i // digits for i in range(digits + 1)]
-    groups = np.zeros(len(starts), np.int64)
+    groups = np.zeros(len(starts), np.uint64)
     for low, high in zip(edges, edges[1:], strict=False):
-        if not len(starts):
-            break
         digit = windows.hashes(starts + low, high - low)
-        order = np.lexsort((digit, groups))
-        digit, sorted_groups = digit[order], groups[order]
-        new = np.concatenate(
-            ([True], (digit[1:] != digit[:-1]) | (sorted_groups[1:] != sorted_groups[:-1]))
-        )
-        number = np.cumsum(new) - 1
-        shared = np.bincount(number)[number] > 1
-        starts, groups = starts[order[shared]], number[shared]
-    return np.sort(starts)
-
-
-def spans_of(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of bytes that windows at sorted `starts` cover, as starts and ends."""
-    if not len(starts):
-        return starts, starts
-    new = np.concatenate(([True], starts[1:] > starts[:-1] + length))
-    heads = np.flatnonzero(new)
-    return starts[heads], starts[np.append(heads[1:], len(starts)) - 1] + length
+        groups = groups * np.uint64(0x9E3779B97F4A7C15) + digit
+        shared = pd.Series(groups).duplicated(keep=False).to_numpy()
+        starts, groups = starts[shared], groups[shared]
+    return starts
 
 
 def _parts(raw: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -175,7 +159,7 @@ def _slices(texts: DataFrame, length: int) -> DataFrame:
                     held += len(piece)
                     for c, v in zip(out, (r["digit"], r["crowded"], k1, k2, r["low"], r["n"], piece), strict=True):
                         c.append(v)
-                    if held >= 8 << 20:
+                    if held >= 2 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
                         out, held = [[] for _ in names], 0
             if out[0]:
@@ -185,29 +169,28 @@ def _slices(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("k1", "k2", "bytes", "runs").mapInArrow(run, schema)
 
 
-def _spans_within_groups(slices: DataFrame, length: int, chunk_bytes: int = 4 << 20) -> DataFrame:
+def _spans_within_groups(slices: DataFrame, length: int, chunk_bytes: int = 1 << 20) -> DataFrame:
     """(k1, k2, low, high) of what repeats, from slices that a digit has brought together."""
 
     def chunk(rows):
         data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        sizes = np.array([r[4] for r in rows])
-        begins = np.concatenate(([0], np.cumsum([len(r[5]) for r in rows])[:-1]))
+        k1, k2, low, sizes = (np.array([r[c] for r in rows], np.int64) for c in range(1, 5))
+        begins = np.cumsum([0, *(len(r[5]) for r in rows[:-1])])
         owner = np.repeat(np.arange(len(rows)), sizes)
-        first = np.cumsum(sizes) - sizes
-        starts = begins[owner] + np.arange(len(owner)) - first[owner]
-        found = equal_windows(data, starts, length)
+        place = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+        found = equal_windows(data, begins[owner] + place, length)
+        if not len(found):
+            return
         at = np.searchsorted(begins, found, side="right") - 1
-        lows = np.array([r[3] for r in rows])[at] + found - begins[at]
-        out: list[list] = [[], [], [], []]
-        for i in np.unique(at):
-            for low, high in zip(*spans_of(lows[at == i], length), strict=True):
-                for c, v in zip(out, (rows[i][1], rows[i][2], int(low), int(high)), strict=True):
-                    c.append(v)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["k1", "k2", "low", "high"])
+        lows = low[at] + found - begins[at]
+        # Spans of touching windows of one slice.
+        new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (lows[1:] > lows[:-1] + length))))
+        ends = lows[np.append(new[1:], len(lows)) - 1] + length
+        columns = [k1[at[new]], k2[at[new]], lows[new], ends]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "low", "high"])
 
     def run(batches):
-        held, group, size = [], 0, 0
+        held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[0] != held[-1][0]:
