@@ -25,6 +25,8 @@ from assayer.llm.common import whole_text, written
 from assayer.operators.shaping import cell
 
 BATCH_BYTES = 4 << 20
+#: A part of the key space gets about as many keys as so many batches have.
+BATCHES_PER_PART = 4
 #: Keys of the end token and of the context before the first word.
 END_WORD, BEGIN = np.uint64(0x1D8AF1A7C0FFEE11), np.uint64(0x5BD1E995A5A5A5A7)
 
@@ -450,13 +452,15 @@ def katz_scores(
     which also spreads copies and sources. N-grams are counted per batch before they move,
     so a frequent one is a number per batch. N-gram totals and backoff weights are written
     as tables, by batch and by part of the key space. Keys are 64-bit hashes. The driver
-    sees the counts of counts only.
+    sees the counts of counts only. A batch sends a block to every part, so blocks shrink
+    as the corpus grows; above a terabyte raise `batch_bytes` with the executors' memory.
     """
     size = docs.agg(F.sum(F.octet_length(whole_text(text_col)))).first()[0] or 0
-    parts = max(1, -(-size // batch_bytes))
+    batches = max(1, -(-size // batch_bytes))
+    parts = -(-batches // BATCHES_PER_PART)
     id_type = docs.select(cell(id_col).alias("row")).schema["row"].dataType.simpleString()
 
-    dealt = _dealt(docs, id_col, text_col, parts, folds, fold)
+    dealt = _dealt(docs, id_col, text_col, batches, folds, fold)
     answered = written(_answered(_asked(dealt, order, parts), order, kmax))
     model = _model(answered, order, kmax)
     both = dealt.select("batch", "payload", *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("part", "int"), ("values", "binary"))])
