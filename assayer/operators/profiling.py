@@ -311,8 +311,8 @@ def _find(tables: dict[str, DataFrame], cells: dict, wanted: list[_Quantile]) ->
                 for i, (q, c) in parts.items()
             ]
         )
-        found = F.filter(found, lambda x: x["value"].isNotNull())
-        frames.append(tables[t].select(F.inline(found)))
+        # Generated and filtered in one compiled stage; an array filter would be interpreted.
+        frames.append(tables[t].select(F.inline(found)).where("value IS NOT NULL"))
     targets = next(iter(tables.values())).sparkSession.createDataFrame(
         [
             (i, q.name, math.floor(q.rank) - counts[i][0], math.ceil(q.rank) - counts[i][0])
