@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,24 +20,31 @@ BITS, SEED = 64, 42
 SMALL_RUN = 8
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """SimHash of all shingles of a text, unsigned; words end at ASCII white space."""
+def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles of a text, in parts; words end at ASCII white space."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
     ends = ends[size - 1 :].tolist()
-    ones, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), 1 << 16):
         part = zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in part], dtype="<u8")
+        yield np.array([digest(joined[s:e], SEED) for s, e in part], dtype="<u8")
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """SimHash of all shingles of a text, unsigned; 0 if there are none."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
             axis=0, dtype=np.int64
         )
-    bits = (2 * ones > len(starts)).astype(np.uint8)
+    bits = (2 * ones > n).astype(np.uint8)
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
@@ -218,8 +227,13 @@ def near_copies(
     rows = written(
         docs.select(cell(id_col).alias("id"), fingerprints(whole_text(text_col), shingle).alias("fp"))
     )
+    return with_components(rows, lambda fps: links(fps, max_distance))
+
+
+def with_components(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (`id`, `fp`) with `component_id`, by the links that `linked` finds between distinct `fp`."""
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct.select("fp"), max_distance), "a", "b")
+    roots = components(linked(distinct.select("fp")), "a", "b")
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -228,9 +242,11 @@ def near_copies(
     return rows.join(classes, "fp").select("id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **rules) -> DataFrame:
-    """The rows whose id is the least of their component."""
-    found = near_copies(docs, id_col=id_col, **rules)
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", copies: Callable[..., DataFrame] = near_copies, **rules
+) -> DataFrame:
+    """The rows whose id is the least of their component, by the rule that `copies` links by."""
+    found = copies(docs, id_col=id_col, **rules)
     ids = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
     return docs.join(ids, docs[id_col].eqNullSafe(ids["id"]), "left_semi")
 
