@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import whole_text, written
+from assayer.llm.common import text_key, unpack, whole_row, whole_text, written
 from assayer.llm.components import components
 from assayer.operators.shaping import cell
 
@@ -243,12 +243,37 @@ def with_components(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -
 
 
 def one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", copies: Callable[..., DataFrame] = near_copies, **rules
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    copies: Callable[..., DataFrame] = near_copies,
+    **rules,
 ) -> DataFrame:
-    """The rows whose id is the least of their component, by the rule that `copies` links by."""
-    found = copies(docs, id_col=id_col, **rules)
-    ids = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["id"]), "left_semi")
+    """Exactly one row of each component, by the rule that `copies` links by.
+
+    It is a row with the least id, of those one with the least text hash, and any one of
+    rows that repeat both. A null id comes after all others.
+
+    Only rows that repeat are grouped, first per task; all others stay where the join
+    with the keepers puts them.
+    """
+    t1, t2 = text_key(whole_text(text_col))
+    place = F.struct(
+        cell(id_col).isNull().alias("none"), cell(id_col).alias("id"), t1.alias("t1"), t2.alias("t2")
+    )
+    found = copies(docs.select(place.alias("place"), cell(text_col).alias("text")), id_col="place", text_col="text", **rules)
+    keepers = (
+        found.where("id <=> component_id")
+        .groupBy("id.id", "id.t1", "id.t2")
+        .agg(F.count("*").alias("n"))
+        .select(*[F.col(c).alias(f"__keeper_{c}") for c in ("id", "t1", "t2", "n")])
+    )
+    keepers = written(keepers)
+    same = cell(id_col).eqNullSafe(F.col("__keeper_id")) & (t1 == F.col("__keeper_t1")) & (t2 == F.col("__keeper_t2"))
+    single = docs.join(keepers.where("__keeper_n = 1"), same, "left_semi")
+    repeated = docs.join(keepers.where("__keeper_n > 1"), same).groupBy(*keepers.columns)
+    repeated = repeated.agg(F.first(whole_row(docs)).alias("row"))
+    return single.unionByName(unpack(repeated, docs.columns))
 
 
 def hex_digits(fp: Column) -> Column:

@@ -130,5 +130,25 @@ def test_one_stays(spark):
     assert {r["doc_id"] for r in left.collect()} == {c for _, _, c in brute(data)}
 
 
+def test_exactly_one_row_of_each_component_stays(spark):
+    data = corpus.rows()
+    near = data[3][1].replace("\n", "  ")
+    data += [data[3], data[3], (None, near, "en", "a"), (None, "only null ids " * 9, "en", "a")]
+    data += [(None, "only null ids " * 9, "en", "b"), (3, "some other text of a taken id " * 3, "en", "a")]
+    prints = [slow_fingerprint(t) for _, t, *_ in data]
+    of = roots(set(prints), near_pairs(set(prints), 4))
+    rows = {}
+    for (i, t, *_), fp in zip(data, prints, strict=True):
+        rows.setdefault(of[fp], []).append((i, t or ""))
+    left = simhash.one_of_each(corpus.frame(spark, data)).collect()
+    got = {}
+    for r in left:
+        got.setdefault(of[slow_fingerprint(r["text"])], []).append((r["doc_id"], r["text"] or ""))
+    assert got.keys() == rows.keys() and all(len(g) == 1 for g in got.values())
+    for root, (kept,) in got.items():
+        ids = [i for i, _ in rows[root] if i is not None]
+        assert kept in rows[root] and kept[0] == min(ids, default=None)
+
+
 def test_empty_table(spark):
     assert simhash.near_copies(corpus.frame(spark, [])).count() == 0
