@@ -144,16 +144,40 @@ def _bin_top(bin_: Column) -> Column:
 
 
 def _nearest(by_bin: DataFrame, keys: list[str], part: float) -> DataFrame:
-    """The bins that hold the nearest `part` of each group's rows."""
+    """The bins that hold the nearest `part` of each group's rows, with `share`, what is
+    needed of each: all but of the last."""
     upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
+    need = F.ceil(F.col("rows") * part) - F.col("before")
     return (
         by_bin.withColumn("before", F.coalesce(F.sum("m").over(upto), F.lit(0.0)))
         .withColumn("rows", F.sum("m").over(whole))
-        .where(F.col("before") < F.ceil(F.col("rows") * part))
+        .where(need > 0)
+        .withColumn("share", F.least(need / F.col("m"), F.lit(1.0)))
     )
 
 
+def _medians(points: DataFrame, group: str, columns: list[str], least: list[float]) -> DataFrame:
+    """Per group `mean`, the medians of the columns, and `spread`, their scaled median
+    deviations, `least` at least; in bins of an eighth of `least`."""
+    p = len(columns)
+    width = F.element_at(F.array(*[F.lit(s / 8) for s in least]), F.col("axis") + 1)
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("axis"), F.floor(F.col(c) * (8 / s)).alias("bin")) for i, (c, s) in enumerate(zip(columns, least, strict=True))]
+    )
+    keys = [group, "axis"]
+    bins = points.select(group, F.explode(cells).alias("c")).groupBy(group, "c.axis", "c.bin").agg(F.count("*").cast("double").alias("m"))
+    bins = written(bins)
+    middle = _nearest(bins, keys, 0.5).groupBy(*keys).agg(F.max("bin").alias("middle"))
+    off = bins.join(middle, keys).select(*keys, "middle", F.abs(F.col("bin") - F.col("middle")).alias("bin"), "m")
+    off = off.groupBy(*keys, "middle", "bin").agg(F.sum("m").alias("m"))
+    found = _nearest(off, [*keys, "middle"], 0.5).groupBy(*keys, "middle").agg(F.max("bin").alias("off"))
+    spread = F.greatest(1.4826 * F.col("off") * width, width * 8)
+    one = found.select(group, F.struct("axis", ((F.col("middle") + 0.5) * width).alias("mean"), spread.alias("spread")).alias("a"))
+    one = one.groupBy(group).agg(F.array_sort(F.collect_list("a")).alias("a")).where(F.size("a") == p)
+    return one.select(group, F.col("a.mean").alias("mean"), F.col("a.spread").alias("spread"))
+
+
 def mcd(
     points: DataFrame,
     group: str,
@@ -164,15 +188,16 @@ def mcd(
 ) -> DataFrame:
     """Per group: `group`, `rows`, `mean`, `inverse`, `logdet` and `unit`.
 
-    Concentration steps from two starts, the mean and covariance of all rows and those of
-    the half nearest to the mean on plain scaled axes: distances by the last estimate, the
-    nearest `support` of the rows, their mean and covariance. The start that ends with the
-    smaller determinant wins. `unit` is the median squared distance over the chi-square
+    Concentration steps from two starts, the half of the rows nearest to the medians of the
+    columns on axes scaled by their median deviations, and on axes scaled by `least`:
+    distances by the last estimate, the nearest `support` of the rows, their mean and
+    covariance. The start that ends with the smaller determinant wins. With a support of a
+    half, rows far out that are fewer than half of a group take no part, alike or not. `unit` is the median squared distance over the chi-square
     median, which makes distances comparable to a chi-square variable.
 
     A step reads all points once and aggregates them by group and distance bin, combined
     before the shuffle; what a group sends on is bounded by its bins, whatever its rows.
-    Rows in the bin that crosses `support` all count, so no tie is cut.
+    Of the bin that crosses `support` only the needed share counts: its sums are weighted.
     """
     sums = _moments(columns)
     keys = [group, "start"]
@@ -181,15 +206,21 @@ def mcd(
         found = points.join(estimates, group).withColumn("bin", _bin(_distance(columns)))
         by_bin = found.groupBy(*keys, "bin").agg(*sums)
         names = [c for c in by_bin.columns if c not in [*keys, "bin"]]
-        near = _nearest(by_bin, keys, part).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
+        near = _nearest(by_bin, keys, part).groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("share")).alias(c) for c in names])
         return written(_estimates(near, keys, least))
 
-    plain = points.groupBy(group).agg(*sums)
-    first = written(_estimates(plain, [group], least))
+    first = written(_medians(points, group, columns, least))
     p = len(least)
-    axes = F.array(*[F.lit(1 / s**2 if i == j else 0.0) for i, s in enumerate(least) for j in range(p)])
-    near = refit(first.withColumn("inverse", axes).withColumn("start", F.lit(1)), 0.5)
-    now = first.withColumn("start", F.lit(0)).unionByName(near)
+
+    def axes(scale):
+        return F.array(*[1 / scale(i) ** 2 if i == j else F.lit(0.0) for i in range(p) for j in range(p)])
+
+    starts = [axes(lambda i: F.get("spread", F.lit(i))), axes(lambda i: F.lit(least[i]))]
+    now = refit(
+        first.select(group, "mean", F.explode(F.array(*[F.struct(F.lit(i).alias("start"), a.alias("inverse")) for i, a in enumerate(starts)])).alias("s"))
+        .select(group, "mean", "s.*"),
+        0.5,
+    )
     for _ in range(steps):
         now = refit(now, support)
     best = now.groupBy(group).agg(F.min_by(F.struct("mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("e"))
@@ -219,7 +250,7 @@ def judge_quality(
     min_rows: int = 200,
     shrink_words: int = 100,
     normal_quantile: float = 4.0,
-    support: float = 0.75,
+    support: float = 0.5,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Each row with its counts, `base_failed`, `distance` and `kept`.

@@ -83,6 +83,19 @@ def test_estimates_against_array_version(spark):
     assert np.allclose(mean, [1, 2], atol=0.05)  # the far points do not pull
 
 
+def test_a_third_of_equal_far_rows_is_rejected(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "blmnrst" for b in "aeiou" for c in ["", "n", "rt", "ndel"]]
+    clean = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(80, 200))), "en", "a") for i in range(400)]
+    template = " ".join(f"||##{a}{i}" for i in range(50) for a in "xyz")
+    junk = [(1000 + i, template, "en", "a") for i in range(200)]
+    found = quality.judge_quality(corpus.frame(spark, clean + junk), keep=["doc_id"])
+    rows = found.select("row.doc_id", "base_failed", "kept").collect()
+    assert not any(r["base_failed"] for r in rows)
+    assert not [r for r in rows if r["doc_id"] >= 1000 and r["kept"]]
+    assert sum(r["kept"] for r in rows if r["doc_id"] < 1000) > 0.97 * 400
+
+
 def test_outliers_are_rejected_and_clean_rows_kept(spark):
     docs = corpus.documents(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
