@@ -208,25 +208,41 @@ def _spans_within_groups(slices: DataFrame, length: int, chunk_bytes: int = 1 <<
 
 
 def _spans_of_crowded(slices: DataFrame, length: int) -> DataFrame:
-    """The same for digits that too many runs share for one task.
+    """The same for digits that have too many runs or bytes for one task.
 
-    Every suffix becomes a row of all its further digits, and only the least and greatest
-    place of equal ones are aggregated, combined before the shuffle.
+    Windows that a slice holds twice are found in the slice. Each distinct window of a slice
+    becomes a row of all its further digits, and only the least and greatest place of equal
+    ones are aggregated, combined before the shuffle; a constant run is one row.
     """
 
-    def run(batches):
-        names = ["h1", "h2", "k1", "k2", "low"]
+    def windows(batches):
         for batch in batches:
             for k1, k2, low, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                windows, half = Windows(np.frombuffer(raw, np.uint8)), length // 2
-                h1 = windows.hashes(slice(0, n), half).view(np.int64)
-                h2 = windows.hashes(slice(half, half + n), length - half).view(np.int64)
-                columns = [h1, h2, np.full(n, k1), np.full(n, k2), np.arange(low, low + n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-    rows = slices.select("k1", "k2", "low", "n", "bytes").mapInArrow(
-        run, "h1 long, h2 long, k1 long, k2 long, low long"
-    )
+                hashed, half = Windows(np.frombuffer(raw, np.uint8)), length // 2
+                h1 = hashed.hashes(slice(0, n), half).view(np.int64)
+                h2 = hashed.hashes(slice(half, half + n), length - half).view(np.int64)
+                yield k1, k2, low, pd.DataFrame({"h1": h1, "h2": h2})
+
+    def distinct(batches):
+        names = ["h1", "h2", "k1", "k2", "low"]
+        for k1, k2, low, found in windows(batches):
+            first = found[~found.duplicated()]
+            n = len(first)
+            columns = [first["h1"], first["h2"], np.full(n, k1), np.full(n, k2), first.index.to_numpy() + low]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    def within(batches):
+        for k1, k2, low, found in windows(batches):
+            at = np.flatnonzero(found.duplicated(keep=False)) + low
+            if not len(at):
+                continue
+            new = np.flatnonzero(np.concatenate(([True], at[1:] > at[:-1] + length)))
+            ends = at[np.append(new[1:], len(at)) - 1] + length
+            columns = [np.full(len(new), k1), np.full(len(new), k2), at[new], ends]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "low", "high"])
+
+    given = slices.select("k1", "k2", "low", "n", "bytes")
+    rows = given.mapInArrow(distinct, "h1 long, h2 long, k1 long, k2 long, low long")
     place = F.struct("k1", "k2", "low")
     repeated = (
         rows.groupBy("h1", "h2")
@@ -234,8 +250,8 @@ def _spans_of_crowded(slices: DataFrame, length: int) -> DataFrame:
         .where("a <> b")
         .select("h1", "h2")
     )
-    found = rows.join(repeated, ["h1", "h2"])
-    return found.select("k1", "k2", "low", (F.col("low") + length).alias("high"))
+    found = rows.join(repeated, ["h1", "h2"]).select("k1", "k2", "low", (F.col("low") + length).alias("high"))
+    return found.unionByName(given.mapInArrow(within, "k1 long, k2 long, low long, high long"))
 
 
 def repeated_spans(
@@ -245,6 +261,7 @@ def repeated_spans(
     length: int = 400,
     gram: int = GRAM,
     crowd: int = 20_000,
+    crowd_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Per text (`k1`, `k2`, its key) that loses bytes: `n_removed`, `spans`, `kept`.
 
@@ -259,8 +276,9 @@ def repeated_spans(
 
     Copies of a text are counted by key, and one of them speaks for all against other
     texts. All text is read twice, but only the parts in runs whose first digit occurs again
-    are shuffled by digit. A digit of more than `crowd` runs goes on suffix by suffix with
-    all its digits as the key, so no task holds a group that grows with the data.
+    are shuffled by digit. A digit of more than `crowd` runs, or whose runs cover
+    more than `crowd_bytes`, goes on window by window with all its digits as the key, so no
+    task holds a group that grows with the data.
     """
     if not 0 < gram < length:
         raise ValueError("gram is at least 1 and below length")
@@ -282,9 +300,9 @@ def repeated_spans(
     place = F.struct("k1", "k2", "low")
     again = written(
         runs.groupBy("digit")
-        .agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("repeats").alias("repeats"), F.count("*").alias("runs"))
+        .agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("repeats").alias("repeats"), F.count("*").alias("runs"), F.sum("n").alias("n"))
         .where("a <> b OR repeats")
-        .select("digit", (F.col("runs") > crowd).alias("crowded"))
+        .select("digit", is_crowded(F.col("runs"), F.col("n"), length, crowd, crowd_bytes).alias("crowded"))
     )
     wanted = (
         runs.join(again, "digit")
@@ -305,6 +323,11 @@ def repeated_spans(
     return copied.unionByName(cut)
 
 
+def is_crowded(runs: Column, suffixes: Column, length: int, crowd: int, crowd_bytes: int) -> Column:
+    """Whether the runs of a digit, or the bytes that they cover, are too many for one task."""
+    return (runs > crowd) | (suffixes + runs * (length - 1) > crowd_bytes)
+
+
 def remove_spans(texts: Column, found: Column) -> Column:
     """Joins spans that touch or overlap, and cuts them out."""
 

@@ -89,5 +89,28 @@ def test_given_documents(spark):
     assert corpus.bag(found) == corpus.bag(expected)
 
 
+def test_many_long_constant_runs(spark, monkeypatch):
+    sizes = {False: [], True: []}
+    slices = repeats._slices
+
+    def seen(texts, length):
+        out = slices(texts, length)
+        for r in out.groupBy("crowded", "digit").agg({"bytes": "count", "n": "sum"}).collect():
+            sizes[r["crowded"]].append(r["sum(n)"] + r["count(bytes)"] * (length - 1))
+        return out
+
+    monkeypatch.setattr(repeats, "_slices", seen)
+    rng = random.Random(0)
+    some = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    texts = [some(60) + "=" * rng.randint(1000, 3000) + some(60) + "-+" * 100 for _ in range(20)]
+    texts.append(some(50) + "=" * 41 + some(50))
+    docs = corpus.frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    found = repeats.repeated_spans(docs, length=40, gram=8, crowd_bytes=10_000).collect()
+    assert sizes[True] and max(sizes[False], default=0) <= 10_000
+    expected = [x for x in brute([t.encode() for t in texts], 40) if x[0]]
+    got = [(r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in found]
+    assert sorted(got) == sorted(expected)
+
+
 def test_empty_table(spark):
     assert repeats.repeated_spans(corpus.frame(spark, [])).count() == 0
