@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from assayer.llm import katz
+from assayer.llm import katz, queries
 from tests.llm import corpus
 from tests.llm.test_line_dedup import lower
 
@@ -83,6 +83,15 @@ def test_against_definition(spark, order, batch_bytes):
     assert corpus.bag(got) == corpus.bag(expected)
 
 
+def test_query_backs_off_twice(spark, tmp_path):
+    data = [(i, t[:3000] if t else t, a, b) for i, t, a, b in corpus.rows(5)]
+    corpus.frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    slow = Slow(data, 3)
+    found = queries.QUERIES["op6_katz_backoff"](spark, str(tmp_path)).collect()
+    got = [(r["doc_id"], round(r["score"], 6)) for r in found]
+    assert corpus.bag(got) == corpus.bag((i, round(slow.score(t), 6)) for i, t, *_ in data)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_probabilities_add_up(order):
     data = corpus.rows(9)
