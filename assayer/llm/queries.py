@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, decontamination, katz, langid, line_dedup, quality, repeats, sharding, simhash
+from assayer.llm import bpe, chat, decontamination, katz, langid, line_dedup, quality, repeats, sharding, simhash, whitening
 from assayer.llm.common import text_key, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,21 @@ def op10_repeated_bytes(spark, sf_dir):
 @query
 def op6_katz_backoff(spark, sf_dir):
     return katz.katz_scores(documents(spark, sf_dir), order=3).withColumnRenamed("id", "doc_id")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query
+def op13_cholesky_jacobi_whitening(spark, sf_dir):
+    found = whitening.whiten(embeddings(spark, sf_dir), keep=["vec_id"])
+    return found.select(
+        F.col("row.vec_id").alias("vec_id"),
+        "component",
+        "n",
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
