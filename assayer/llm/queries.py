@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, decontamination, katz, langid, line_dedup, quality, repeats, sharding, simhash, whitening
+from assayer.llm import bpe, chat, decontamination, katz, langid, line_dedup, negatives, quality, repeats, sharding, simhash, whitening
 from assayer.llm.common import text_key, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,3 +189,13 @@ def op13_cholesky_jacobi_whitening(spark, sf_dir):
         "explained",
         "identity_error",
     )
+
+
+@query
+def op11_angular_negatives(spark, sf_dir):
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return negatives.mine_negatives(
+        embeddings(spark, sf_dir),
+        is_anchor=vec_id % 100 == 0,
+        label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label),
+    )
