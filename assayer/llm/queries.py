@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, decontamination, katz, langid, line_dedup, negatives, quality, repeats, sharding, simhash, whitening
+from assayer.llm import bpe, chat, decontamination, katz, langid, line_dedup, negatives, quality, repeats, sharding, simhash, toxicity, whitening
 from assayer.llm.common import text_key, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,3 +199,10 @@ def op11_angular_negatives(spark, sf_dir):
         is_anchor=vec_id % 100 == 0,
         label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label),
     )
+
+
+@query
+def op12_clause_grammar_toxicity(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = toxicity.score_toxicity(documents(spark, sf_dir), labels, keep=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
