@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from assayer import wholesale
 from assayer.functions.keys import camel_to_snake
 from assayer.operators.shaping import cell, union_all
+from assayer.session import ensure_checkpoint_dir
 from assayer.sources.encoding import csv_files, inspect_files, list_files
+from assayer.sources.records import csv_records, escaped_glob, has_big_endian, header_of
 
 # Encoding names of the discovery -> those of Spark's reader.
 SPARK_NAMES = {
@@ -28,6 +30,9 @@ SPARK_NAMES = {
 # which an empty line would be no row.
 NULL_MARK = "\\N"
 
+#: Kinds of files a folder may have: tables times encodings, headers and line breaks.
+MOST_VARIETIES = 2000
+
 
 @dataclass(frozen=True)
 class Variety:
@@ -36,6 +41,7 @@ class Variety:
     encoding: str
     header: str | None = None
     multi_line: bool = False
+    big_endian: bool | None = None
 
     @property
     def columns(self) -> list[str] | None:
@@ -81,50 +87,73 @@ def read_csv(
     exact: bool = False,
     strict: bool = False,
     files: DataFrame | None = None,
+    big_endian: bool | None = None,
 ) -> DataFrame:
     """All-text table of headed CSV files; empty fields, and given tokens, are NULL.
 
     With `columns` nothing is read until the table is used; else the header line is.
-    Of a folder the *.csv files at any depth are read, as they are found. Files
-    without line breaks inside fields split over tasks; `multi_line` reads those with,
-    a file per task. UTF-16 and UTF-32 files do not split either: write them as Parquet
-    once.
+    Of a folder the *.csv files at any depth are read, as they are found. All files split
+    over tasks. Those with line breaks inside fields, which `multi_line` tells, and UTF-16
+    and UTF-32 files are looked through at once for where records begin (`csv_records`).
 
     `exact` reads what `write_csv(exact=True)` has written: an empty field is empty and
     only the mark is NULL. `strict` fails on a row that has not as many fields as there
-    are columns, such as half a row whose line break was inside quotes. `files` (url)
-    restricts a folder to some of its files.
+    are columns, such as half a row whose line break was inside quotes. `files` (url, path)
+    restricts a folder to some of its files. `big_endian` is the byte order of wide
+    characters, else found by the first file's mark.
     """
     name = SPARK_NAMES.get(encoding.lower(), encoding)
     wide = name.upper().startswith(("UTF-16", "UTF-32"))
     # A path to a file of another ending is taken as it is; the rule is for folders.
     last = path.rstrip("/").rsplit("/", 1)[-1] if isinstance(path, str) else ""
     named = "." in last and not last.endswith(".csv")
-    reader = (
-        (spark.read if named else csv_files(spark))
-        .option("header", True)
-        .option("encoding", name)
-        .option("multiLine", multi_line or wide)
-        .option("escape", '"')
-        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    )
-    if exact:
-        reader = reader.option("nullValue", NULL_MARK)
-    if columns is not None:
-        reader = reader.schema(", ".join(f"`{c.replace('`', '``')}` string" for c in columns))
-    df = reader.csv(path)
-    names = df.columns
-    if files is not None:
-        url = df["_metadata.file_path"]
-        df = df.select("*", url.alias("__url")).join(files.withColumnRenamed("url", "__url"), "__url", "left_semi")
+    if multi_line or wide:
+        # Spark holds the list of files on the driver as well.
+        chosen = None if files is None else [escaped_glob(r["path"]) for r in files.select("path").collect()]
+        paths = chosen or ([path] if isinstance(path, str) else list(path))
+        folder = files is None and not named
+        if big_endian is None:
+            big_endian = has_big_endian(spark, paths, name, folder)
+        names = list(columns) if columns is not None else header_of(spark, paths, name, big_endian, folder)
+        df = _parsed(csv_records(spark, paths, name, big_endian, folder), names, exact, strict)
+    else:
+        reader = (
+            (spark.read if named else csv_files(spark))
+            .option("header", True)
+            .option("encoding", name)
+            .option("escape", '"')
+            .option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        )
+        if exact:
+            reader = reader.option("nullValue", NULL_MARK)
+        if columns is not None:
+            reader = reader.schema(", ".join(f"`{c.replace('`', '``')}` string" for c in columns))
+        df = reader.csv(path)
+        names = df.columns
+        if files is not None:
+            url = df["_metadata.file_path"]
+            df = df.select("*", url.alias("__url")).join(files.select(F.col("url").alias("__url")), "__url", "left_semi")
     empty = [] if exact else ["", *null_tokens, *([NULL_MARK] if len(names) == 1 else [])]
     western = encoding.lower() == "cp1252"
     cells = {c: _windows_1252(cell(c)) if western else cell(c) for c in names}
     return df.select(*[(F.when(~e.isin(empty), e) if empty else e).alias(c) for c, e in cells.items()])
 
 
+def _parsed(records: DataFrame, names: Sequence[str], exact: bool, strict: bool) -> DataFrame:
+    """Records as a table, by the rules of the reader of whole files."""
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    options = {"escape": '"', "multiLine": "true", "lineSep": "\n", "mode": "FAILFAST" if strict else "PERMISSIVE"}
+    if exact:
+        options["nullValue"] = NULL_MARK
+    row = records.select(F.from_csv("record", schema, options).alias("row"))
+    return row.select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
 def _with_sources(spark: SparkSession, folder: str, encoding: str | None, multi_line: bool | None) -> DataFrame:
-    """The files below a folder with the child of the folder that each belongs to."""
+    """The files below a folder with the child of the folder that each belongs to.
+
+    Looked at once: the result is checkpointed, a row per file, and read by every variety.
+    """
     if encoding is None:
         files = inspect_files(spark, folder)
         if multi_line is not None:
@@ -133,27 +162,35 @@ def _with_sources(spark: SparkSession, folder: str, encoding: str | None, multi_
         files = list_files(spark, folder).select(
             "*",
             F.lit(encoding).alias("encoding"),
+            F.lit(None).cast("boolean").alias("big_endian"),
             F.lit(None).cast("string").alias("header"),
             F.lit(bool(multi_line)).alias("multi_line"),
         )
     root = folder.rstrip("/") + "/"
     below = F.substring(F.col("path"), F.instr("path", root) + len(root), F.length("path"))
-    return files.withColumn("source", F.substring_index(below, "/", 1))
+    ensure_checkpoint_dir(spark)
+    return files.withColumn("source", F.substring_index(below, "/", 1)).checkpoint()
 
 
 def _sources(files: DataFrame, folder: str, only: Collection[str], skip: Collection[str]) -> dict[str, Source]:
-    """Tables by name. A row per table and variety reaches the driver, not one per file."""
-    kinds = files.groupBy("source", "encoding", "header", "multi_line").agg(F.count("*").alias("n"))
+    """Tables by name. A row per table and variety reaches the driver, not one per file.
+
+    Where first lines differ from file to file they are no headers; beyond MOST_VARIETIES
+    that is an error.
+    """
+    kinds = files.select("source", "encoding", "header", "multi_line", "big_endian").distinct().limit(MOST_VARIETIES + 1).collect()
+    if len(kinds) > MOST_VARIETIES:
+        raise ValueError(f"{folder}: over {MOST_VARIETIES} kinds of files; have all a header line?")
     found: dict[str, set[Variety]] = {}
-    for r in kinds.collect():
-        found.setdefault(r["source"], set()).add(Variety(r["encoding"], r["header"], r["multi_line"]))
+    for r in kinds:
+        found.setdefault(r["source"], set()).add(Variety(r["encoding"], r["header"], r["multi_line"], r["big_endian"]))
     only, skip = {x.lower() for x in only}, {x.lower() for x in skip}
     tables = {}
     for source in sorted(found):
         stem = source.removesuffix(".csv")
         names = {camel_to_snake(stem), stem.lower(), source.lower()}
         if (not only or names & only) and not names & skip:
-            order = sorted(found[source], key=lambda v: (v.encoding, v.header or "", v.multi_line))
+            order = sorted(found[source], key=lambda v: (v.encoding, v.header or "", v.multi_line, bool(v.big_endian)))
             tables[camel_to_snake(stem)] = Source(f"{folder.rstrip('/')}/{source}", tuple(order))
     return tables
 
@@ -202,8 +239,9 @@ def load_layer(
             own = None
             if len(source.varieties) > 1:
                 same = F.col("header").eqNullSafe(F.lit(v.header)) & (F.col("multi_line") == v.multi_line)
+                same &= F.col("big_endian").eqNullSafe(F.lit(v.big_endian))
                 same &= (F.col("encoding") == v.encoding) & (F.col("source") == source.path.rsplit("/", 1)[-1])
-                own = files.where(same).select("url")
+                own = files.where(same).select("url", "path")
             parts.append(
                 read_csv(
                     spark,
@@ -215,6 +253,7 @@ def load_layer(
                     exact,
                     strict=encoding is not None,
                     files=own,
+                    big_endian=v.big_endian,
                 )
             )
         tables[table] = union_all(parts)

@@ -40,12 +40,13 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inspect_files(spark: SparkSession, path: str) -> DataFrame:
-    """(url, path, encoding, header, multi_line) of every CSV file below a folder.
+    """(url, path, encoding, big_endian, header, multi_line) of every CSV file below a folder.
 
     A byte order mark decides the encoding; else UTF-8 if every line is valid, else
     Windows-1252 unless the file has bytes undefined there, else Latin-1. `header` is the
-    first line's text, NULL for UTF-16 and UTF-32. `multi_line` tells that some line has an odd number of quotes, as
-    happens where a line break lies inside a field. Files without a byte are left out.
+    first line's text, NULL for UTF-16 and UTF-32. `multi_line` tells that a line may end
+    inside a field: one that starts with a quote and has no end in its line. Other quotes, as
+    for inches, do not matter. Files without a byte are left out.
 
     All files are read line by line, whatever their size, and split like any text: a line
     break never lies inside a UTF-8 sequence. The line reader drops a UTF-8 mark, but then
@@ -67,12 +68,15 @@ def inspect_files(spark: SparkSession, path: str) -> DataFrame:
     )
     # A file's first block is read in order by one task.
     head = F.when(F.col("block") == 0, F.col("raw"))
-    quotes = F.octet_length(latin) - F.octet_length(F.replace(latin, F.lit('"'), F.lit("")))
+    # Without doubled quotes and whole quoted fields, only a field that goes on starts with one.
+    single = F.replace(latin, F.lit('""'), F.lit(""))
+    rest = F.regexp_replace(single, r'(^|,)"[^"]*"(?=,|\r?\z)', "$1")
+    goes_on = F.contains(latin, F.lit('"')) & rest.rlike('(^|,)"')
     found = lines.groupBy("url").agg(
         F.min_by(head, F.when(F.col("block") == 0, F.col("at"))).alias("head"),
         F.every(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"),
         F.bool_or(latin.rlike(NOT_IN_CP1252)).alias("odd"),
-        F.bool_or(quotes % 2 == 1).alias("multi_line"),
+        F.bool_or(goes_on).alias("multi_line"),
         (F.sum(F.octet_length("raw") + 1) - F.first("size")).alias("surplus"),
     )
     guess = (
@@ -87,7 +91,12 @@ def inspect_files(spark: SparkSession, path: str) -> DataFrame:
         F.col("encoding").isin("cp1252", "latin1"), F.decode("head", "ISO-8859-1")
     )
     return named.select(
-        "url", plain_path(F.col("url")).alias("path"), "encoding", text.alias("header"), "multi_line"
+        "url",
+        plain_path(F.col("url")).alias("path"),
+        "encoding",
+        (F.startswith(F.hex("head"), F.lit("FEFF")) | F.startswith(F.hex("head"), F.lit("0000FEFF"))).alias("big_endian"),
+        text.alias("header"),
+        "multi_line",
     )
 
 

@@ -370,6 +370,7 @@ ORACLES: dict[str, str] = {
         from stg_orders o join stg_customers using (customer_id)""",
     "csv_reload_raw": AWKWARD_TEXT,
     "csv_reload_utf16": CUSTOMERS_FILE,
+    "csv_line_breaks_utf16": AWKWARD_TEXT,
     "csv_nested_folder": PARTS_FILE,
     "csv_append_and_replace": f"{REGIONS_FILE} union all {REGIONS_FILE}",
     "dictionary_files": _dictionary(),

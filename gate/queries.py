@@ -20,7 +20,7 @@ from assayer.operators.staging import register_views, snake_names, stage_layer,
 from assayer.plans.cleaning import clean_layer, cleaning_report, load_clean
 from assayer.plans.scorecard import export_fk_detail, export_scorecard, merge_metrics, scorecard
 from assayer.session import ensure_checkpoint_dir
-from assayer.sources.csv import load_layer
+from assayer.sources.csv import NULL_MARK, load_layer
 from assayer.sources.sinks import write_csv, write_dictionaries, write_report
 from gate import inputs
 
@@ -224,6 +224,16 @@ def csv_reload_utf16(spark, sf_dir):
     return load_layer(spark, folder)[0]["customers"]
 
 
+@query
+def csv_line_breaks_utf16(spark, sf_dir):
+    """The same text in UTF-16, with its line breaks, split over tasks."""
+    folder = _folder(spark, "wide-raw")
+    writer = _awkward_text(spark, sf_dir).write.option("header", True).option("encoding", "UTF-16")
+    writer = writer.option("escape", '"').option("nullValue", NULL_MARK)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/Text")
+    return load_layer(spark, folder, exact=True)[0]["text"]
+
+
 @query
 def csv_nested_folder(spark, sf_dir):
     """A table over several depths and two orders of columns, with another file between."""
