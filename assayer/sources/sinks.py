@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from assayer.config import Layer
 from assayer.operators.profiling import dictionary_index
+from assayer.sources.commits import Conflict, commits, read_commit, write_commit
 from assayer.sources.csv import NULL_MARK
 
 # Write modes by their usual names.
@@ -74,30 +75,45 @@ def write_dictionary_index(dictionary: DataFrame, folder: str) -> None:
 # --- tables that are rewritten ----------------------------------------------------
 
 
-def write_version(df: DataFrame, folder: str) -> str:
-    """A whole new version of a table beside the earlier ones; returns its name.
+def write_version(df: DataFrame, folder: str, based_on: int | None = None) -> int:
+    """A whole new version of a table beside the earlier ones; returns its number.
 
-    The frame may read an earlier version: nothing is overwritten. A version counts once
-    its job has committed, so a write that fails half way leaves the last one in place.
+    The frame may read an earlier version: nothing is overwritten. A version counts once its
+    commit file is there, which only one writer can write, so a write that fails half way
+    leaves the last one in place and of two writers none hides the other: `based_on` is the
+    version that the rows were computed from (0 for none), and a Conflict is raised if that
+    is no longer the last. Without it the new version comes after whatever there is.
     """
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-    taken = _versions(df.sparkSession, path)
-    name = f"v{(int(taken[-1][1:9]) if taken else 0) + 1:08d}-{uuid.uuid4().hex[:8]}"
+    spark = df.sparkSession
+    name = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{folder}/{name}")
-    return name
-
-
-def read_version(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The latest whole version of a table, or None if there is none yet."""
-    names = _versions(spark, spark._jvm.org.apache.hadoop.fs.Path(folder))
-    return spark.read.parquet(f"{folder}/{names[-1]}") if names else None
-
-
-def _versions(spark: SparkSession, path) -> list[str]:
-    """Committed versions, by the mark that Spark leaves last."""
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    found = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith("v")]
-    mark = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(p.getName() for p in found if files.exists(mark(p, "_SUCCESS")))
+    while True:
+        last = last_version(spark, folder)
+        if based_on is not None and last != based_on:
+            raise Conflict(f"{folder}: version {last} came after version {based_on}")
+        if write_commit(spark, folder, last + 1, {"data": name}):
+            return last + 1
+
+
+def last_version(spark: SparkSession, folder: str) -> int:
+    """The number of the last version, 0 before the first."""
+    return max(commits(spark, folder), default=0)
+
+
+def read_version(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame | None:
+    """The last or a given version of a table, or None if there is none yet."""
+    number = last_version(spark, folder) if number is None else number
+    return spark.read.parquet(f"{folder}/{read_commit(spark, folder, number)['data']}") if number else None
+
+
+def update_version(
+    spark: SparkSession, folder: str, change: Callable[[DataFrame | None], DataFrame], attempts: int = 10
+) -> int:
+    """A new version computed from the last one, computed anew if another writer comes between."""
+    for _ in range(attempts):
+        last = last_version(spark, folder)
+        try:
+            return write_version(change(read_version(spark, folder, last)), folder, based_on=last)
+        except Conflict as e:
+            found = e
+    raise found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assayer.config import key_list
 from gate.inputs import CHECKS
 from gate.sql_layers import (
     CLEAN_ORDERS,
@@ -106,6 +107,17 @@ def _relations(kind: str = "stg") -> str:
     return _union([_relation(r, kind) for r in CHECKS.relations])
 
 
+def _exceptions(r) -> str:
+    parts = " || '|' || ".join(f"coalesce({c}, '')" for c in key_list(CHECKS.primary_keys[r.child]))
+    return f"""
+        select '{r.child}.{r.fk} -> {r.parent}.{r.pk}' as relationship, {parts} as child_key,
+               {r.fk} as fk_value, case when {r.fk} is null then 'FK NULL' else 'Orphan' end as fk_status,
+               coalesce({weak_key(r.fk)} in
+                   (select {weak_key(r.pk)} from stg_{r.parent} where {weak_key(r.pk)} is not null), false) as fixable
+        from stg_{r.child}
+        where {r.fk} is null or {r.fk} not in (select {r.pk} from stg_{r.parent} where {r.pk} is not null)"""
+
+
 FK = f"{with_layer()}, fk as ({_relations()})"
 ROLLUP = """select child_schema as table_schema, child_table as table_name,
        sum(orphan_rows_norm)::bigint as fk_orphan_rows,
@@ -385,6 +397,7 @@ ORACLES: dict[str, str] = {
     "negative_flags_without_separators": (
         f"{with_layer()} {_union([_negatives(t, True) for t in CHECKS.numbers])}"
     ),
+    "fk_exceptions": f"{with_layer()} {_union([_exceptions(r) for r in CHECKS.relations])}",
     "fk_report": f"{FK} select * from fk",
     "fk_report_unstaged": f"{with_layer('raw')} {_relations('raw')}",
     "fk_detail_worst_first": f"""{FK} select child_schema, child_table, child_fk_col, parent_schema,
@@ -503,6 +516,8 @@ ORACLES: dict[str, str] = {
     "insert_missing_tables": f"""{with_layer()}
         {_union([_completeness(t) if t in ("customers", "orders") else MISSING.format(t=t)
                  for t in TABLES])}""",
+    "upsert_customer_buckets": """select c_custkey, c_name, c_nationkey,
+        greatest(c_acctbal, 0.0) as c_acctbal, c_mktsegment from customer""",
     "upsert_customers": """select c_custkey, c_name, c_nationkey,
         greatest(c_acctbal, 0.0) as c_acctbal, c_mktsegment from customer""",
     "load_summary": f"""select *, (sum("rows") over ())::bigint as total_rows from (

@@ -13,13 +13,14 @@ from assayer.functions.keys import norm_id, normalize_key
 from assayer.functions.labels import merged_label, value_label
 from assayer.functions.numbers import parse_money, parse_number_strict
 from assayer.functions.sql import register_functions
-from assayer.operators import checks, cleaning, maintenance, orders, profiling, relations, running
+from assayer.operators import checks, cleaning, exceptions, maintenance, orders, profiling, relations, running
 from assayer.operators.scoring import score
 from assayer.operators.shaping import union_all
 from assayer.operators.staging import register_views, snake_names, stage_layer, stage_table
 from assayer.plans.cleaning import clean_layer, cleaning_report, load_clean
 from assayer.plans.scorecard import export_fk_detail, export_scorecard, merge_metrics, scorecard
 from assayer.session import ensure_checkpoint_dir
+from assayer.sources import buckets
 from assayer.sources.csv import NULL_MARK, load_layer
 from assayer.sources.sinks import write_csv, write_dictionaries, write_report
 from gate import inputs
@@ -352,6 +353,12 @@ def fk_rollup(spark, sf_dir):
     return relations.fk_rollup(fk_report(spark, sf_dir))
 
 
+@query
+def fk_exceptions(spark, sf_dir):
+    """Child rows without a parent, one by one."""
+    return exceptions.fk_exceptions(_staged(spark, sf_dir), inputs.CHECKS.relations, inputs.CHECKS.primary_keys)
+
+
 @query
 def recon_buckets(spark, sf_dir):
     return relations.recon_buckets(fk_report(spark, sf_dir))
@@ -627,6 +634,18 @@ def upsert_customers(spark, sf_dir):
     return maintenance.upsert(customers, repaired, ["c_custkey"])
 
 
+@query
+def upsert_customer_buckets(spark, sf_dir):
+    """The same upsert into a stored table, and new customers only added."""
+    customers = inputs.table(spark, sf_dir, "customer")
+    folder = _folder(spark, "buckets")
+    buckets.create_table(customers.where("c_nationkey < 20"), folder, ["c_custkey"], buckets=16)
+    buckets.upsert_table(customers.withColumn("c_acctbal", F.lit(-1.0)), folder, replace_rows=False)
+    repaired = customers.withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0.0)))
+    buckets.upsert_table(repaired.where("c_acctbal = 0 or c_nationkey >= 20"), folder)
+    return buckets.read_table(spark, folder)
+
+
 @query
 def load_summary(spark, sf_dir):
     return maintenance.load_summary(inputs.raw_layer(spark, sf_dir), "raw")

@@ -1,0 +1,164 @@
+"""Bucketed tables and versions: what an upsert rewrites, and writers that meet."""
+
+from __future__ import annotations
+
+import random
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from assayer.operators import maintenance
+from assayer.sources import buckets
+from assayer.sources.commits import Conflict, put_if_absent, read_text
+from assayer.sources.sinks import last_version, read_version, update_version, write_version
+
+
+def bag(df) -> list[tuple]:
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.fixture
+def rows(spark):
+    return spark.range(400).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+
+
+@pytest.fixture
+def folder(rows, tmp_path):
+    path = str(tmp_path / "table")
+    buckets.create_table(rows, path, ["k"], buckets=8)
+    return path
+
+
+def in_bucket(rows, bucket: int):
+    return rows.where(buckets._bucket(["k"], 8) == bucket)
+
+
+def test_only_the_changed_bucket_is_rewritten(spark, rows, folder):
+    before = buckets.snapshot(spark, folder)
+    changed = in_bucket(rows, 3).limit(4).withColumn("v", F.lit("new"))
+    expected = bag(maintenance.upsert(rows, changed, ["k"]))
+    assert buckets.upsert_table(changed, folder) == 2
+    after = buckets.snapshot(spark, folder)
+    assert {b for b in range(8) if before.pieces[b] != after.pieces[b]} == {3}
+    assert len(after.pieces[3]) == 1 and bag(buckets.read_table(spark, folder)) == expected
+    assert bag(buckets.read_table(spark, folder, 1)) == bag(rows)
+
+
+def test_new_keys_are_added_without_rewriting(spark, rows, folder):
+    before = buckets.snapshot(spark, folder)
+    more = spark.range(1000, 1010).select(F.col("id").cast("int").alias("k"), F.lit("more").alias("v"))
+    buckets.upsert_table(more, folder)
+    after = buckets.snapshot(spark, folder)
+    assert all(set(before.pieces[b]) <= set(after.pieces[b]) for b in before.pieces)
+    assert buckets.read_table(spark, folder).count() == 410
+    both = more.limit(2).unionByName(spark.createDataFrame([(2000, "x")], "k int, v string"))
+    buckets.upsert_table(both, folder, replace_rows=False)
+    found = {r["k"]: r["v"] for r in buckets.read_table(spark, folder).where("k >= 1000").collect()}
+    assert len(found) == 11 and found[2000] == "x" and set(found.values()) == {"more", "x"}
+
+
+def test_many_small_additions_are_put_together(spark, folder):
+    for i in range(buckets.MOST_PIECES + 2):
+        buckets.upsert_table(spark.createDataFrame([(5000 + 8 * i, "s")], "k long, v string"), folder)
+    at = buckets.snapshot(spark, folder)
+    assert max(map(len, at.pieces.values())) <= buckets.MOST_PIECES
+    assert buckets.read_table(spark, folder).count() == 400 + buckets.MOST_PIECES + 2
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_upserts_against_the_plain_ones(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    schema = "a string, `b c` int, v double"
+
+    def some(n):
+        return spark.createDataFrame([(rng.choice(["x", "y", "", None]), rng.randrange(12), rng.random()) for _ in range(n)], schema).dropDuplicates(["a", "b c"])
+
+    folder, plain = str(tmp_path / "t"), some(20).checkpoint()
+    buckets.create_table(plain, folder, ["a", "b c"], buckets=4)
+    for replace_rows in (True, False, True):
+        new = some(8).checkpoint()
+        plain = (maintenance.upsert if replace_rows else maintenance.insert_if_absent)(plain, new, ["a", "b c"]).checkpoint()
+        buckets.upsert_table(new, folder, replace_rows)
+        assert bag(buckets.read_table(spark, folder)) == bag(plain.select("a", "b c", "v"))
+
+
+def test_empty_tables_and_changes(spark, rows, tmp_path):
+    folder = str(tmp_path / "t")
+    buckets.create_table(rows.limit(0), folder, ["k"], buckets=4)
+    assert buckets.read_table(spark, folder).count() == 0
+    assert buckets.upsert_table(rows.limit(0), folder) == 1
+    assert buckets.upsert_table(rows, folder) == 2 and buckets.read_table(spark, folder).count() == 400
+    with pytest.raises(Conflict):
+        buckets.create_table(rows, folder, ["k"])
+    with pytest.raises(ValueError, match="no such"):
+        buckets.snapshot(spark, folder, 9)
+
+
+def test_writers_of_other_buckets_both_commit(spark, rows, folder):
+    base = buckets.snapshot(spark, folder)
+    one = buckets.stage_upsert(in_bucket(rows, 1).withColumn("v", F.lit("one")), base)
+    two = buckets.stage_upsert(in_bucket(rows, 2).withColumn("v", F.lit("two")), base)
+    assert (buckets.commit(spark, one), buckets.commit(spark, two)) == (2, 3)
+    values = {r["v"]: r["count"] for r in buckets.read_table(spark, folder).groupBy("v").count().collect()}
+    assert values["one"] == in_bucket(rows, 1).count() and values["two"] == in_bucket(rows, 2).count()
+
+
+def test_writers_of_the_same_bucket(spark, rows, folder):
+    """The second is refused; started again it keeps the first one's rows."""
+    base = buckets.snapshot(spark, folder)
+    one = spark.createDataFrame([(1, "one")], "k long, v string")
+    two = spark.createDataFrame([(1, "two")], "k long, v string")
+    first, second = buckets.stage_upsert(one, base), buckets.stage_upsert(two, base)
+    buckets.commit(spark, first)
+    with pytest.raises(Conflict):
+        buckets.commit(spark, second)
+    assert buckets.read_table(spark, folder).where("k = 1").collect()[0]["v"] == "one"
+    buckets.upsert_table(two, folder)
+    found = buckets.read_table(spark, folder)
+    assert found.count() == 400 and found.where("k = 1").first()["v"] == "two"
+
+
+def test_many_writers_at_once(spark, folder):
+    errors = []
+
+    def write(i):
+        try:
+            buckets.upsert_table(spark.createDataFrame([(i, f"t{i}"), (100_000 + i, "x")], "k long, v string"), folder)
+        except Exception as e:  # seen by the assertion below
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=(i,)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    found = {r["k"]: r["v"] for r in buckets.read_table(spark, folder).collect()}
+    assert not errors and len(found) == 404 and all(found[i] == f"t{i}" for i in range(4))
+
+
+def test_commit_files_are_written_once(spark, tmp_path):
+    name = str(tmp_path / "c" / "1.json")
+    assert put_if_absent(spark, name, "ä") and not put_if_absent(spark, name, "b")
+    assert read_text(spark, name) == "ä"
+    assert [p.name for p in (tmp_path / "c").iterdir() if not p.name.endswith(".crc")] == ["1.json"]
+
+
+def test_versions_of_two_writers(spark, tmp_path):
+    folder = str(tmp_path / "v")
+    assert (last_version(spark, folder), read_version(spark, folder)) == (0, None)
+    assert write_version(spark.createDataFrame([("a", 1)], "k string, v int"), folder, based_on=0) == 1
+    one, two = (spark.createDataFrame([(k, 2)], "k string, v int") for k in "bc")
+    write_version(maintenance.upsert(read_version(spark, folder), one, ["k"]), folder, based_on=1)
+    with pytest.raises(Conflict):
+        write_version(maintenance.upsert(read_version(spark, folder, 1), two, ["k"]), folder, based_on=1)
+    assert bag(read_version(spark, folder)) == [("a", 1), ("b", 2)]
+    met = []
+
+    def change(last):
+        if not met:  # another writer comes between
+            met.append(update_version(spark, folder, lambda x: maintenance.upsert(x, one.withColumn("v", F.lit(9)), ["k"])))
+        return maintenance.upsert(last, two, ["k"])
+
+    assert update_version(spark, folder, change) == 4
+    assert bag(read_version(spark, folder)) == [("a", 1), ("b", 9), ("c", 2)]

@@ -1,0 +1,120 @@
+"""Exception lists against plain sets, their plans, and the Bloom filter below them."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from assayer.config import Relation
+from assayer.functions.keys import norm_id
+from assayer.operators import bloom, exceptions
+from assayer.operators.relations import fk_report, recon_buckets
+
+RELATIONS = [Relation("child", "parent_id", "parent", "id"), Relation("child", "other_id", "other", "id")]
+
+
+def layer(spark, seed=0, n=300):
+    rng = random.Random(seed)
+    keys = ["1", "2", "3.0", "x", " 4", "5", None, "", "gone", "1.0", "2.0", "hot", "hot", "hot"]
+    child = [(str(i), rng.choice(keys), rng.choice(["a", "b", "z", None]), "text") for i in range(n)]
+    return {
+        "child": spark.createDataFrame(child, "id string, parent_id string, other_id string, fixable string"),
+        "parent": spark.createDataFrame([("1",), ("2",), ("2",), ("3",), ("4",), (None,), ("x",)], "id string"),
+        "other": spark.createDataFrame([("a",), ("b",)], "id string"),
+    }
+
+
+def norms(spark, values):
+    found = spark.createDataFrame([(v,) for v in values], "v string").select("v", norm_id(F.col("v")).alias("n"))
+    return {r["v"]: r["n"] for r in found.distinct().collect()}
+
+
+def brute(spark, tables):
+    out = []
+    rows = tables["child"].collect()
+    for r in RELATIONS:
+        parents = {p["id"] for p in tables[r.parent].collect() if p["id"] is not None}
+        norm = norms(spark, [*parents, *[x[r.fk] for x in rows if x[r.fk] is not None]])
+        fixed = {norm[p] for p in parents}
+        for x in rows:
+            fk = x[r.fk]
+            if fk is None or fk not in parents:
+                name = f"{r.child}.{r.fk} -> {r.parent}.{r.pk}"
+                status = exceptions.UNKNOWN if fk is None else exceptions.ORPHAN
+                out.append((name, x["id"], fk, status, fk is not None and norm[fk] in fixed))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most", [200_000, 1, 0])
+@pytest.mark.parametrize("seed", range(2))
+def test_against_sets(spark, seed, most):
+    tables = layer(spark, seed)
+    found = exceptions.fk_exceptions(tables, RELATIONS, {"child": "id"}, most_broadcast=most)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(spark, tables)
+
+
+def test_as_many_rows_as_the_buckets_count(spark):
+    tables = layer(spark, 3)
+    counted = {}
+    for r in exceptions.fk_exceptions(tables, RELATIONS).groupBy("relationship", "fk_status").count().collect():
+        counted[r["relationship"], r["fk_status"]] = r["count"]
+    for r in recon_buckets(fk_report(tables, RELATIONS)).collect():
+        assert counted.get((r["relationship"], exceptions.UNKNOWN), 0) == r["fk_null_rows"]
+        assert counted.get((r["relationship"], exceptions.ORPHAN), 0) == r["orphan_rows"]
+
+
+def test_whole_rows_and_empty_tables(spark):
+    tables = layer(spark, 4)
+    found = exceptions.exception_rows(tables, RELATIONS[0])
+    assert found.columns == ["id", "parent_id", "other_id", "fixable", "fk_status", "fixable"]
+    assert found.count() == sum(r[0].startswith("child.parent_id") for r in brute(spark, tables))
+    empty = {t: df.limit(0) for t, df in tables.items()}
+    assert exceptions.fk_exceptions(empty, RELATIONS).count() == 0
+    no_parents = tables | {"parent": tables["parent"].limit(0)}
+    assert exceptions.exception_rows(no_parents, RELATIONS[0]).count() == 300
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_row_is_shuffled_where_broken_keys_are_few(spark, tmp_path):
+    tables = {t: df for t, df in layer(spark).items()}
+    for t, df in tables.items():
+        df.write.parquet(str(tmp_path / t))
+        tables[t] = spark.read.parquet(str(tmp_path / t))
+    plan = plan_of(exceptions.exception_rows(tables, RELATIONS[0]))
+    assert "BroadcastHashJoin" in plan and not re.search(r"(?<!Broadcast)Exchange ", plan)
+
+
+def test_matched_rows_fall_before_the_shuffle(spark, tmp_path):
+    parents = spark.range(20_000).select(F.col("id").cast("string").alias("id"))
+    fk = F.when(F.col("id") % 10 == 0, F.concat(F.lit("gone"), F.col("id") % 1000)).otherwise((F.col("id") % 20_000).cast("string"))
+    spark.range(50_000).select("id", fk.alias("parent_id")).write.parquet(str(tmp_path / "child"))
+    tables = {"child": spark.read.parquet(str(tmp_path / "child")), "parent": parents}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exceptions.exception_rows(tables, RELATIONS[0], most_broadcast=10)
+        assert "SortMergeJoin" in plan_of(found) or "ShuffledHashJoin" in plan_of(found)
+        assert found.count() == 5_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    broken = exceptions.broken_keys(tables, RELATIONS[:1])
+    blocks = bloom.block_count(broken.count())
+    passed = bloom.might_match(tables["child"], F.col("parent_id"), bloom.build_filter(broken, "fk", blocks), blocks)
+    assert 5_000 <= passed.count() <= 5_000 + 0.02 * 45_000 and passed.columns == ["id", "parent_id"]
+
+
+def test_filter_of_any_size_loses_nothing(spark):
+    keys = spark.range(3_000).select(F.col("id").cast("string").alias("k"))
+    rows = spark.range(6_000).select(F.when(F.col("id") % 7 != 0, F.col("id").cast("string")).alias("k"))
+    expected = rows.join(keys, "k", "left_semi").count()
+    for blocks in (1, 3, bloom.block_count(3_000)):
+        passed = bloom.might_match(rows, F.col("k"), bloom.build_filter(keys, "k", blocks), blocks)
+        assert passed.join(keys, "k", "left_semi").count() == expected
+        assert passed.where("k is null").count() == 0
+    assert passed.count() < expected + 60
