@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.llm.common import whole_row, whole_text
+from assayer.operators.shaping import cell
 
 #: A letter, then a space and a letter: every alternative of the pattern ends before such a
 #: space, because letters match only letters and no match reaches into white space from the
@@ -101,7 +102,7 @@ def encode(
     No shuffle: texts are encoded where they are read, in runs of about 8 million
     characters, however many rows a batch has.
     """
-    kept = docs.select([F.col(f"`{c}`") for c in keep or docs.columns])
+    kept = docs.select([cell(c) for c in keep or docs.columns])
     rows = docs.select(whole_row(kept).alias("row"), whole_text(text_col).alias("text"))
     out = rows.select("row").schema.add("ids", T.ArrayType(T.IntegerType()))
     if decode_back:
@@ -125,9 +126,10 @@ def encode(
 def decode(tokens: DataFrame, ranks: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """`row` (the caller's columns) and `decoded`, the raw bytes; null ids decode to none.
 
-    Bytes, not text: a list of ids may begin or end inside a character.
+    Bytes, not text: a list of ids may begin or end inside a character. Repeated rows are
+    decoded each; an empty table gives an empty result.
     """
-    ids = F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))
+    ids = F.coalesce(cell(ids_col), F.array().cast("array<int>"))
     rows = tokens.select(whole_row(tokens).alias("row"), ids.alias("ids"))
     out = rows.select("row").schema.add("decoded", T.BinaryType())
 

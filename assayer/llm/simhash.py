@@ -242,38 +242,34 @@ def with_components(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -
     return rows.join(classes, "fp").select("id", "fp", "component_id")
 
 
-def one_of_each(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    copies: Callable[..., DataFrame] = near_copies,
-    **rules,
-) -> DataFrame:
-    """Exactly one row of each component, by the rule that `copies` links by.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
+    """Exactly one row of each component of near copies, by the rule of `near_copies`.
 
     It is a row with the least id, of those one with the least text hash, and any one of
-    rows that repeat both. A null id comes after all others.
+    rows that repeat both. A null id comes after all others; an empty table stays empty.
+    Columns of any name come back as they are.
 
     Only rows that repeat are grouped, first per task; all others stay where the join
     with the keepers puts them.
     """
     t1, t2 = text_key(whole_text(text_col))
-    place = F.struct(
-        cell(id_col).isNull().alias("none"), cell(id_col).alias("id"), t1.alias("t1"), t2.alias("t2")
+    packed = docs.select(
+        whole_row(docs).alias("row"), cell(id_col).alias("id"), t1.alias("t1"), t2.alias("t2"), cell(text_col).alias("text")
     )
-    found = copies(docs.select(place.alias("place"), cell(text_col).alias("text")), id_col="place", text_col="text", **rules)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+    found = near_copies(packed.select(place.alias("place"), "text"), id_col="place", text_col="text", **rules)
     keepers = (
         found.where("id <=> component_id")
         .groupBy("id.id", "id.t1", "id.t2")
         .agg(F.count("*").alias("n"))
-        .select(*[F.col(c).alias(f"__keeper_{c}") for c in ("id", "t1", "t2", "n")])
+        .select(*[F.col(c).alias(f"keeper_{c}") for c in ("id", "t1", "t2", "n")])
     )
     keepers = written(keepers)
-    same = cell(id_col).eqNullSafe(F.col("__keeper_id")) & (t1 == F.col("__keeper_t1")) & (t2 == F.col("__keeper_t2"))
-    single = docs.join(keepers.where("__keeper_n = 1"), same, "left_semi")
-    repeated = docs.join(keepers.where("__keeper_n > 1"), same).groupBy(*keepers.columns)
-    repeated = repeated.agg(F.first(whole_row(docs)).alias("row"))
-    return single.unionByName(unpack(repeated, docs.columns))
+    rows = packed.drop("text")
+    same = F.col("id").eqNullSafe(F.col("keeper_id")) & (F.col("t1") == F.col("keeper_t1")) & (F.col("t2") == F.col("keeper_t2"))
+    single = rows.join(keepers.where("keeper_n = 1"), same, "left_semi").select("row")
+    repeated = rows.join(keepers.where("keeper_n > 1"), same).groupBy(*keepers.columns).agg(F.first("row").alias("row"))
+    return unpack(single.unionByName(repeated.select("row")), docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -50,3 +50,11 @@ def test_ids_that_split_a_character(spark):
 
 def test_empty_table(spark):
     assert bpe.encode(corpus.frame(spark, []), RANKS, PATTERN).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([("ab", 1, 2)], "struct<`te``xt`:string,`a.b`:int,ids:int>")
+    both = bpe.encode(docs, RANKS, PATTERN, text_col="te`xt")
+    assert both.select("row.*").columns == ["te`xt", "a.b", "ids"]
+    again = bpe.decode(both.select(both["ids"].alias("i`ds")), RANKS, PATTERN, ids_col="i`ds")
+    assert bytes(again.first()["decoded"]) == b"ab"

@@ -152,3 +152,12 @@ def test_exactly_one_row_of_each_component_stays(spark):
 
 def test_empty_table(spark):
     assert simhash.near_copies(corpus.frame(spark, [])).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    names = ["keeper_id", "id", "row", "t1", "__keeper_n", "a`b", "a.b"]
+    data = [(i, f"some words of text number {i // 2} and more of it", *names) for i in range(6)]
+    columns = ["doc_id", "text", *names]
+    docs = spark.createDataFrame([tuple(r) for r in data], "struct<" + ",".join(f"`{c.replace('`', '``')}`:{'long' if c == 'doc_id' else 'string'}" for c in columns) + ">")
+    left = simhash.one_of_each(docs, max_distance=0)
+    assert left.columns == columns and sorted(r["doc_id"] for r in left.collect()) == [0, 2, 4]
