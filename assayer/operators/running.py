@@ -67,7 +67,7 @@ def _split_windows(
             "group",
             "chunk",
             F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"),
-            F.coalesce(F.sum("amount").over(earlier), F.lit(0)).alias("amount_before"),
+            F.sum("amount").over(earlier).alias("amount_before"),
             F.max("latest").over(earlier).alias("latest_before"),
         )
     )
@@ -91,6 +91,9 @@ def _split_windows(
         *df.columns,
         (F.col("rows_before") + F.col("local_seq")).alias("order_seq"),
         lead_days(previous, F.col(order[0])).alias("days_since_prev_order"),
-        money(F.col("amount_before") + F.col("local_amount")).alias("customer_running_spend"),
+        # A sum over missing amounts only is missing.
+        money(F.coalesce(F.col("amount_before") + F.col("local_amount"), "amount_before", "local_amount")).alias(
+            "customer_running_spend"
+        ),
         *extra,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -86,6 +87,11 @@ def scorecard(layer: Layer, checks: Checks, schema: str = "stg") -> DataFrame:
         parts.append(key_health(layer, checks.primary_keys, schema, counted))
     if related:
         parts.append(fk_rollup(fk_report(layer, checks.relations, schema, counted)))
+    return one_row_per_table(parts)
+
+
+def one_row_per_table(parts: Sequence[DataFrame]) -> DataFrame:
+    """Rows of checks, of which each metric has one per table at most, as a scorecard."""
     rows = union_all(parts)
     absent = {m: F.lit(None).cast(t) for m, t in METRICS.items() if m not in rows.columns}
     return (
