@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 
 from assayer.config import Layer
 from assayer.operators.profiling import dictionary_index
-from assayer.sources.commits import Conflict, commits, read_commit, write_commit
+from assayer.operators.shaping import cell, sorted_chunks
+from assayer.session import ensure_checkpoint_dir
+from assayer.sources.commits import Conflict, commits, put_if_absent, read_commit, write_commit
 from assayer.sources.csv import NULL_MARK
 
 # Write modes by their usual names.
@@ -51,10 +54,43 @@ def write_csv(df: DataFrame, folder: str, if_exists: str = "replace", exact: boo
     writer.mode(MODES[if_exists]).csv(folder)
 
 
+#: Rows that a single task is given to write as one sorted file.
+MOST_REPORT_ROWS = 1_000_000
+
+
 def write_report(df: DataFrame, folder: str, order: Sequence[str]) -> None:
     """One sorted CSV file. For reports whose size does not depend on the data, such as
-    a scorecard (a row per table) or relation details (a row per relation)."""
-    write_csv(df.coalesce(1).sortWithinPartitions(*order), folder)
+    a scorecard (a row per table) or relation details (a row per relation). More than
+    MOST_REPORT_ROWS rows are an error and a case for `write_sorted`."""
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.checkpoint()
+    if rows.limit(MOST_REPORT_ROWS + 1).count() > MOST_REPORT_ROWS:
+        raise ValueError(f"{folder}: over {MOST_REPORT_ROWS} rows; use write_sorted")
+    write_csv(rows.coalesce(1).sortWithinPartitions(*order), folder)
+
+
+def write_sorted(
+    df: DataFrame, folder: str, order: Sequence[str | Column], rows_per_file: int = 1_000_000
+) -> list[dict]:
+    """A table of any size as CSV files that, one after the other by name, are the sorted table.
+
+    Rows are range-partitioned by the order columns and, so that those which tie can be
+    split, by all others. Every file has a header. `manifest.json` beside them lists names
+    and rows in order; it is written last, and its list is returned. Cells are as for
+    `write_csv`; a folder that is there already is an error.
+    """
+    spark, rows = df.sparkSession, df.count()
+    by = [*order, *[cell(c) for c in df.columns]]
+    chunks = sorted_chunks(df, by, max(1, -(-rows // rows_per_file)))
+    write_csv(chunks.sortWithinPartitions(*by).drop("chunk"), folder, "fail")
+    held = {r["chunk"]: r["count"] for r in chunks.groupBy("chunk").count().collect()}
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    # A part file's name has the number of the range.
+    parts = {int(n.split("-")[1]): n for n in found if n.startswith("part-")}
+    manifest = [{"file": parts[i], "rows": held[i]} for i in sorted(held)]
+    put_if_absent(spark, f"{folder}/manifest.json", json.dumps(manifest, indent=1))
+    return manifest
 
 
 def write_dictionaries(dictionary: DataFrame, folder: str) -> None:

@@ -345,6 +345,14 @@ def _date_pair(rule) -> str:
 MISSING = f"""select {_name("{t}")}, null::bigint as row_count, null::bigint as null_cells,
   null::integer as col_count, null::bigint as total_cells, null::decimal(9,4) as overall_null_pct"""
 
+CUSTOMER_WINDOWS = """
+        select o_orderkey as order_id, o_custkey as customer_id, o_orderdate::date as order_date,
+               o_totalprice::decimal(18,2) as order_total, row_number() over w as order_seq,
+               (o_orderdate::date - lag(o_orderdate::date) over w)::integer as days_since_prev_order,
+               (sum(o_totalprice::decimal(18,2)) over (w rows unbounded preceding))::decimal(18,2)
+                 as customer_running_spend
+        from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)"""
+
 ORACLES: dict[str, str] = {
     "order_fact": fact_sql(0, 30),
     "order_fact_any_lead": fact_sql(0, 100_000),
@@ -358,13 +366,8 @@ ORACLES: dict[str, str] = {
     + f" join lines l on l.order_id = o.order_id where {ANY_LEAD}",
     "payment_totals": SURVIVING.format("p.*")
     + f" join pays p on p.order_id = o.order_id where {ANY_LEAD}",
-    "customer_order_windows": """
-        select o_orderkey as order_id, o_custkey as customer_id, o_orderdate::date as order_date,
-               o_totalprice::decimal(18,2) as order_total, row_number() over w as order_seq,
-               (o_orderdate::date - lag(o_orderdate::date) over w)::integer as days_since_prev_order,
-               (sum(o_totalprice::decimal(18,2)) over (w rows unbounded preceding))::decimal(18,2)
-                 as customer_running_spend
-        from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""",
+    "customer_windows_in_batches": CUSTOMER_WINDOWS,
+    "customer_order_windows": CUSTOMER_WINDOWS,
     "stage_orders": staged("orders"),
     "stage_customers": staged("customers"),
     "stage_keys": f"""select order_id as "OrderID", {staged_key("customer_id")} as staged_key,
@@ -385,6 +388,8 @@ ORACLES: dict[str, str] = {
     "csv_line_breaks_utf16": AWKWARD_TEXT,
     "csv_nested_folder": PARTS_FILE,
     "csv_append_and_replace": f"{REGIONS_FILE} union all {REGIONS_FILE}",
+    "sorted_export": """select l_orderkey, l_linenumber, l_returnflag,
+        row_number() over (order by l_returnflag nulls first, l_orderkey desc, l_linenumber) as place from lineitem""",
     "dictionary_files": _dictionary(),
     "fact_from_clean_csv": fact_sql(0, 30),
     "report_files": f"{SCORECARD} select table_name, dq_score_0_100 from ({SCORE})",
@@ -416,6 +421,7 @@ ORACLES: dict[str, str] = {
                     else 'Low' end as severity
         from r""",
     "scorecard": f"{SCORECARD} select * from card order by table_schema, table_name",
+    "scorecard_of_loads": f"{SCORECARD} select * from card",
     "scorecard_scored": f"{SCORECARD} {SCORE}",
     "scorecard_merge": f"""{SCORECARD} select table_schema, table_name, row_count, suspected_pk,
         pk_null_pct, pk_duplicate_rows, date_min, date_max from card""",
@@ -431,6 +437,12 @@ ORACLES: dict[str, str] = {
         from ({_dictionary()}) group by 1, 2, 3""",
     "top_values": _ranked(3),
     "top_values_long": _ranked(1200),
+    "top_values_by_sketch": _ranked(3),
+    "layer_distincts_approx": f"""
+        select table_name, column_name, count(*) as exact,
+               coalesce(sum(cnt) filter (col_value = '[NULL]'), 0)::bigint as null_rows_in_column,
+               true as within_bound
+        from ({_dictionary(merged=True)}) group by 1, 2""",
     "distinct_with_null": f"""
         select table_schema, table_name, column_name, count(*) as distinct_including_null,
                coalesce(sum(cnt) filter (col_value = '[NULL]'), 0)::bigint as null_rows_in_column

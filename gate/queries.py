@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.dates import lead_days, parse_date_strict, parse_date_us
@@ -13,16 +13,25 @@ from assayer.functions.keys import norm_id, normalize_key
 from assayer.functions.labels import merged_label, value_label
 from assayer.functions.numbers import parse_money, parse_number_strict
 from assayer.functions.sql import register_functions
-from assayer.operators import checks, cleaning, exceptions, maintenance, orders, profiling, relations, running
+from assayer.operators import checks, cleaning, exceptions, heavy, maintenance, orders, profiling, relations, running
 from assayer.operators.scoring import score
 from assayer.operators.shaping import union_all
 from assayer.operators.staging import register_views, snake_names, stage_layer, stage_table
 from assayer.plans.cleaning import clean_layer, cleaning_report, load_clean
+from assayer.plans.continued import extend_windows
+from assayer.plans.incremental import add_load, merged_scorecard
 from assayer.plans.scorecard import export_fk_detail, export_scorecard, merge_metrics, scorecard
 from assayer.session import ensure_checkpoint_dir
 from assayer.sources import buckets
 from assayer.sources.csv import NULL_MARK, load_layer
-from assayer.sources.sinks import write_csv, write_dictionaries, write_report
+from assayer.sources.sinks import (
+    read_layer,
+    write_csv,
+    write_dictionaries,
+    write_layer,
+    write_report,
+    write_sorted,
+)
 from gate import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,15 +103,28 @@ def payment_totals(spark, sf_dir):
     return orders.payment_totals(orders.rows_of(clean["payments"], survivors))
 
 
-@query
-def customer_order_windows(spark, sf_dir):
-    raw = inputs.table(spark, sf_dir, "orders").select(
+def _plain_orders(spark, sf_dir):
+    return inputs.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("order_date"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("order_total"),
     )
-    return running.order_windows(raw)
+
+
+@query
+def customer_order_windows(spark, sf_dir):
+    return running.order_windows(_plain_orders(spark, sf_dir))
+
+
+@query
+def customer_windows_in_batches(spark, sf_dir):
+    """Two batches; the second goes on for most customers and brings early orders of the others."""
+    rows, folder = _plain_orders(spark, sf_dir), _folder(spark, "windows")
+    first = (F.year("order_date") < 1997) == (F.col("customer_id") % 3 != 0)
+    for batch in (rows.where(first), rows.where(~first)):
+        extend_windows(batch, folder, bucket_count=4)
+    return buckets.read_table(spark, f"{folder}/rows")
 
 
 # --- staging and scalar rules ---------------------------------------------------
@@ -280,6 +302,23 @@ def csv_append_and_replace(spark, sf_dir):
     return load_layer(spark, folder, only=["regions"])[0]["regions"]
 
 
+@query
+def sorted_export(spark, sf_dir):
+    """Order lines as sorted files: each line's place in the concatenated files."""
+    lines = inputs.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    folder = _folder(spark, "sorted")
+    manifest = write_sorted(lines, folder, ["l_returnflag", F.col("l_orderkey").desc(), "l_linenumber"], rows_per_file=20_000)
+    before, files = 0, []
+    for f in manifest:
+        files.append((f["file"], before))
+        before += f["rows"]
+    start = spark.createDataFrame(files, "file string, before long")
+    rows = spark.read.option("header", True).schema("l_orderkey long, l_linenumber int, l_returnflag string").csv(folder)
+    rows = rows.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("at")) + F.col("before")
+    return rows.join(F.broadcast(start), "file").select("l_orderkey", "l_linenumber", "l_returnflag", place.cast("long").alias("place"))
+
+
 @query
 def report_files(spark, sf_dir):
     """The scored scorecard as a report file, and its scores from the file's text again."""
@@ -369,6 +408,18 @@ def scorecard_(spark, sf_dir):
     return export_scorecard(scorecard(_staged(spark, sf_dir), inputs.CHECKS)).drop("updated_at")
 
 
+@query
+def scorecard_of_loads(spark, sf_dir):
+    """The scorecard of two loads, each scanned once."""
+    folder = _folder(spark, "loads")
+    write_layer(_staged(spark, sf_dir), f"{folder}/staged")
+    staged = read_layer(spark, f"{folder}/staged", list(_staged(spark, sf_dir)))
+    for i in range(2):
+        load = {t: df.where(F.pmod(F.xxhash64(*df.columns), F.lit(2)) == i) for t, df in staged.items()}
+        add_load(spark, folder, f"load {i}", load, inputs.CHECKS)
+    return export_scorecard(merged_scorecard(spark, folder, inputs.CHECKS)).drop("updated_at")
+
+
 @query
 def scorecard_scored(spark, sf_dir):
     return score(export_scorecard(scorecard(_staged(spark, sf_dir), inputs.CHECKS)))
@@ -385,25 +436,20 @@ def scorecard_merge(spark, sf_dir):
 # --- column profiles ------------------------------------------------------------
 
 
-def _dictionary(spark, sf_dir, labels="split"):
-    staged = {
-        "customers": snake_names(inputs.raw_customers(spark, sf_dir)),
-        "events": snake_names(inputs.raw_events(spark, sf_dir)),
-        "parts": snake_names(inputs.raw_parts(spark, sf_dir)),
-    }
+def _dictionary_tables(spark, sf_dir):
+    """Tables whose values are counted, with the columns."""
     columns = {
-        "customers": ["market_segment", "nation_id"],
-        "events": ["event_type", "user_id"],
-        "parts": ["brand", "type", "size"],
+        "customers": (snake_names(inputs.raw_customers(spark, sf_dir)), ["market_segment", "nation_id"]),
+        "events": (snake_names(inputs.raw_events(spark, sf_dir)), ["event_type", "user_id"]),
+        "parts": (snake_names(inputs.raw_parts(spark, sf_dir)), ["brand", "type", "size"]),
+        "documents": (inputs.table(spark, sf_dir, "documents"), ["lang", "source", "text"]),
     }
-    frames = [
-        profiling.value_dictionary(staged[t], c, t, "raw", labels) for t, c in columns.items()
-    ]
-    documents = inputs.table(spark, sf_dir, "documents")
-    frames.append(
-        profiling.value_dictionary(documents, ["lang", "source", "text"], "documents", "raw", labels)
-    )
-    return union_all(frames)
+    return {t: (df.select(*c), c) for t, (df, c) in columns.items()}
+
+
+def _dictionary(spark, sf_dir, labels="split"):
+    tables = _dictionary_tables(spark, sf_dir)
+    return union_all(profiling.value_dictionary(df, c, t, "raw", labels) for t, (df, c) in tables.items())
 
 
 @query
@@ -432,6 +478,35 @@ def top_values_long(spark, sf_dir):
     return profiling.top_values(_dictionary(spark, sf_dir), 1200)
 
 
+@query
+def top_values_by_sketch(spark, sf_dir):
+    """The same three values without a dictionary of all."""
+    frames = []
+    for table, (df, columns) in _dictionary_tables(spark, sf_dir).items():
+        frames.append(heavy.top_values_of(df, columns, table, 3, "raw", tracked=256, buckets=1024))
+    return union_all(frames)
+
+
+@query
+def layer_distincts_approx(spark, sf_dir):
+    """Whether distinct counts merged out of two loads are within the bound."""
+    tables = {t: df for t, (df, _) in _dictionary_tables(spark, sf_dir).items()}
+    half = F.pmod(F.xxhash64(F.struct("*")), F.lit(2))
+    loads = [heavy.distinct_states({t: df.where(half == i) for t, df in tables.items()}, "raw") for i in range(2)]
+    found = heavy.estimated_distincts(loads[0].unionByName(loads[1]))
+    exact = profiling.layer_distincts(tables, {}, "raw").select(
+        *profiling.COLUMN_KEY, F.col("distinct_including_null").alias("exact"), F.col("null_rows_in_column").alias("missing")
+    )
+    error = F.abs(F.col("distinct_including_null") - F.col("exact"))
+    return found.join(exact, profiling.COLUMN_KEY).select(
+        "table_name",
+        "column_name",
+        "exact",
+        "null_rows_in_column",
+        (error <= heavy.error_bound() * F.col("exact")).alias("within_bound"),
+    )
+
+
 @query
 def distinct_with_null(spark, sf_dir):
     return profiling.distinct_with_null(_dictionary(spark, sf_dir, "merged"))
