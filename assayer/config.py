@@ -52,6 +52,8 @@ class CleaningPolicy:
         "d/M/yyyy",
     )
     date_accept: float = 0.80
+    # True reads date columns in free form that no format reads well enough.
+    infer_dates: bool = False
     fill: Mapping[str, Mapping[str, str]] = field(
         default_factory=lambda: {"products": {"color": "unknown"}}
     )

@@ -11,6 +11,7 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from assayer.config import CleaningPolicy
 from assayer.functions.dates import is_after, lead_days, parse_date_us, read_date
+from assayer.functions.freedates import leading_day, read_free, shape
 from assayer.functions.keys import blank_to_null, date_columns, id_columns, normalize_key
 from assayer.functions.numbers import parse_float, parse_money_or_null
 from assayer.operators.shaping import cell, union_all
@@ -35,8 +36,13 @@ def _given(name: str) -> Column:
     return F.nullif(cell(name).cast("string"), F.lit(""))
 
 
+#: Formats of columns whose dates are read in free form, by the order of day and month.
+FREE = {"free, day first": True, "free, month first": False}
+
+
 def _read_date(name: str, pattern: str) -> Column:
-    return read_date(blank_to_null(cell(name).cast("string")), pattern)
+    text = blank_to_null(cell(name).cast("string"))
+    return read_free(text, FREE[pattern]) if pattern in FREE else read_date(text, pattern)
 
 
 def _text_dates(df: DataFrame) -> list[str]:
@@ -62,13 +68,45 @@ def date_format_counts(df: DataFrame, columns: Sequence[str], formats: Sequence[
     return wide.select(F.inline(F.array(*wide.columns)))
 
 
+def date_shapes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, shape, rows, day_first, month_first): the kinds of formats in date columns.
+
+    The last two count values that can be read in one order of day and month only.
+    """
+    cells = [F.struct(F.lit(c).alias("column_name"), blank_to_null(cell(c).cast("string")).alias("text")) for c in columns]
+    leading = leading_day(F.col("text"))
+    return (
+        df.select(F.inline(F.array(*cells)))
+        .where("text IS NOT NULL")
+        .groupBy("column_name", shape(F.col("text")).alias("shape"))
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(leading).alias("day_first"),
+            F.count_if(~leading).alias("month_first"),
+        )
+    )
+
+
+def infer_dates(df: DataFrame, columns: Sequence[str]) -> dict[str, DateChoice]:
+    """Free-form reading of columns: the order of day and month that more values show, month
+    first if as many, and how many values are read. Two scans; two rows a column come back."""
+    orders = date_shapes(df, columns).groupBy("column_name").agg(F.sum("day_first").alias("d"), F.sum("month_first").alias("m"))
+    shown = {r["column_name"]: r["d"] > r["m"] for r in orders.collect()}
+    names = {c: next(f for f, first in FREE.items() if first == shown.get(c, False)) for c in columns}
+    counts = [F.struct(F.count(_given(c)).alias("present"), F.count(_read_date(c, f)).alias("parsed")) for c, f in names.items()]
+    found = df.agg(F.array(*counts).alias("found")).first()["found"]
+    return {c: DateChoice(f, r["present"], r["parsed"]) for (c, f), r in zip(names.items(), found, strict=True)}
+
+
 def choose_date_formats(
     tables: Mapping[str, DataFrame], policy: CleaningPolicy
 ) -> dict[str, dict[str, DateChoice]]:
     """One format per text date column: the preferred one if it reads enough values,
     else the one that reads most, the earlier on a tie.
 
-    All tables are measured in one job; a handful of counts per column comes back.
+    All tables are measured in one job; a handful of counts per column comes back. With
+    `policy.infer_dates` columns of which that one still reads too few values are read in
+    free form, if that reads more.
     """
     frames = [
         date_format_counts(df, columns, policy.date_formats).select(F.lit(t).alias("t"), "*")
@@ -86,6 +124,11 @@ def choose_date_formats(
         good = first["present"] == 0 or first["parsed"] / first["present"] >= policy.date_accept
         best = first if good else max(rows, key=lambda r: r["parsed"])
         chosen[table][column] = DateChoice(best["format"], best["present"], best["parsed"])
+    for table, found in chosen.items() if policy.infer_dates else ():
+        poor = [c for c, d in found.items() if d.present and d.parsed / d.present < policy.date_accept]
+        if poor:
+            free = infer_dates(tables[table], poor)
+            found |= {c: d for c, d in free.items() if d.parsed > found[c].parsed}
     return chosen
 
 

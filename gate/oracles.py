@@ -495,6 +495,8 @@ ORACLES: dict[str, str] = {
     ),
     "describe_categorical": _union([_categorical(c) for c in ("text", "lang", "source")]),
     "date_format_election": _union([_election(c) for c in ("order_date", "ship_date")]),
+    "free_form_dates": """select o_orderkey::varchar as order_id,
+        case when o_custkey % 50 <> 0 then o_orderdate::date end as order_date from orders""",
     "cleaned_orders": CLEAN_ORDERS,
     "cleaned_products": f"""select {staged_key("product_id")} as product_id, product_name,
         coalesce(color, 'unknown') as color, {money_text("purchase_price")} as purchase_price

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayer.config import CleaningPolicy
 from assayer.functions.dates import lead_days, parse_date_strict, parse_date_us
 from assayer.functions.keys import norm_id, normalize_key
 from assayer.functions.labels import merged_label, value_label
@@ -616,6 +617,19 @@ def date_format_election(spark, sf_dir):
     )
 
 
+@query
+def free_form_dates(spark, sf_dir):
+    """A column with dates in six forms, and some that are none."""
+    forms = ["d MMM yyyy", "MMMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss", "dd.MM.yyyy", "EEE, dd MMM yy", "yyyyMMdd"]
+    day, form = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % len(forms)
+    text = F.coalesce(*[F.when(form == i, F.date_format(day, f)) for i, f in enumerate(forms)])
+    orders = inputs.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.when(F.col("o_custkey") % 50 == 0, "soon").otherwise(text).alias("order_date")
+    )
+    policy = CleaningPolicy(infer_dates=True, date_order={})
+    return clean_layer({"orders": orders}, policy)["orders"]
+
+
 @query
 def cleaned_orders(spark, sf_dir):
     return clean_layer(inputs.cleaning_input(spark, sf_dir), inputs.CLEANING)["orders"]
