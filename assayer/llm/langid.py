@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import whole_row, whole_text, written
+from assayer.llm.common import whole_row, whole_text
 from assayer.operators.shaping import cell
 
 #: n-grams of bytes are counted in this many hashed cells.
@@ -96,17 +96,25 @@ def training_sample(
 ) -> DataFrame:
     """At most `per_language` documents of each language: those with the least id hashes.
 
-    Rows of one language with the same id hash count once. The cut-off of a language is
-    found over hashes alone; the driver sees a number per language.
+    Rows of one language with the same id hash count once. How many ids a language has is
+    estimated by mergeable sketches; of hashes below a bound that some twice as many as
+    wanted are under, the least are ranked, so no task ranks more than those, however large
+    a language is. The driver sees numbers per language.
     """
     hashed = docs.where(cell(lang_col).isNotNull() & cell(text_col).isNotNull()).select(
         cell(lang_col).cast("string").alias("lang"),
         F.xxhash64(cell(id_col).cast("string"), F.lit(11)).alias("h"),
         cell(text_col).cast("string").alias("text"),
     )
+    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
+        return hashed.where(F.lit(False)).select("lang", "text")
+    shares = [F.lit(x) for lang, n in sizes.items() for x in (lang, (2 * per_language + 200) / max(n, 1))]
+    place = F.col("h") / float(1 << 64) + 0.5
     by_hash = Window.partitionBy("lang").orderBy("h")
     least = (
         hashed.select("lang", "h")
+        .where(place < F.element_at(F.create_map(*shares), F.col("lang")))
         .distinct()
         .withColumn("n", F.row_number().over(by_hash))
         .where(F.col("n") <= per_language)
@@ -140,15 +148,15 @@ def learn(sample: DataFrame, smoothing: float = 0.5, max_languages: int = 500):
             )
 
     counted = sample.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    counted = written(counted)
-    languages = sorted(r["lang"] for r in counted.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(languages) > max_languages:
+    # At most CELLS pairs a language.
+    rows = counted.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).limit(max_languages + 1).toArrow()
+    if rows.num_rows > max_languages:
         raise ValueError(f"more than {max_languages} languages to learn")
-    table = np.full((len(languages), CELLS), smoothing)
-    index = {x: i for i, x in enumerate(languages)}
-    for r in counted.toPandas().itertuples(index=False):
-        table[index[r.lang], r.cell] += r.n
-    return languages, np.log(table / table.sum(axis=1, keepdims=True))
+    rows = rows.sort_by("lang")
+    table = np.full((rows.num_rows, CELLS), smoothing)
+    for i, cells in enumerate(rows["cells"]):
+        table[i, np.asarray(cells.values.field("cell"))] += np.asarray(cells.values.field("n"))
+    return rows["lang"].to_pylist(), np.log(table / table.sum(axis=1, keepdims=True))
 
 
 def identify(
