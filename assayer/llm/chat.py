@@ -101,24 +101,21 @@ def format_preferences(
 
 
 def echo_pairs(talks: DataFrame, role: str = "assistant") -> DataFrame:
-    """(id, chosen, rejected) of conversations: preferred is the conversation through its
-    last answer, dispreferred the same with an answer that echoes the turn before.
+    """(id, chosen, rejected) of conversations: preferred is the conversation, dispreferred
+    the same with every answer by `role` an echo of the turn before it.
 
-    A conversation without an answer by `role` is given twice, whole.
+    Both sides go on to the end, so all turns are rendered and every answer that differs
+    from its echo is learned against it; a pair per answer would render a conversation as
+    often as it has answers. The sides part at the first answer that is not its own echo.
+
+    Edge cases: an answer without a turn before it, or after a null text, echoes the empty
+    text; a conversation without an answer has equal sides, as has one without turns;
+    repeated conversations make a pair each; an empty table gives an empty result.
     """
-    answers = F.filter(
-        F.transform("turns", lambda t, i: F.when(t["role"] == role, i + 1)), lambda x: x.isNotNull()
-    )
-    last = F.coalesce(F.array_max(answers), F.lit(0))
-    before = F.get("turns", F.col("last") - 2)
-    echo = F.struct(F.lit(role).alias("role"), F.coalesce(before["text"], F.lit("")).alias("text"))
-    through = F.slice("turns", 1, F.col("last"))
-    return talks.withColumn("last", last).select(
-        "id",
-        F.when(F.col("last") > 0, through).otherwise(F.col("turns")).alias("chosen"),
-        F.when(
-            F.col("last") > 0, F.concat(F.slice("turns", 1, F.greatest(F.col("last") - 1, F.lit(0))), F.array(echo))
-        )
-        .otherwise(F.col("turns"))
-        .alias("rejected"),
-    )
+
+    def echo(t, i):
+        before = F.get("turns", i - 1)["text"]
+        said = F.when(t["role"] == role, F.coalesce(before, F.lit(""))).otherwise(t["text"])
+        return F.struct(t["role"].alias("role"), said.alias("text"))
+
+    return talks.select("id", F.col("turns").alias("chosen"), F.transform("turns", echo).alias("rejected"))

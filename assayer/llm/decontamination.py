@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.common import ascii_lower, text_key, whole_row, whole_text, written
+from assayer.operators.bloom import block_count, build_filter, might_match
 from assayer.operators.shaping import cell, union_all
 
 #: Everything but digits, letters and characters beyond ASCII separates words. The texts are
 #: in lower case by then, so A-Z need not be named.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KGRAM = 4
+#: Windows are broadcast if they have on average so many bytes at most, and few rows.
+WINDOW_BYTES = 100
 
 
 def words(text: Column) -> Column:
@@ -39,16 +42,27 @@ def _grown(df: DataFrame, column: str, length: int, combine) -> DataFrame:
     return df
 
 
-def window_minima(df: DataFrame, length: int, k: int = KGRAM) -> DataFrame:
-    """Adds `minima`: for every window of `length` words the least hash of its k-grams.
+def window_minima(df: DataFrame, lengths: list[int], k: int = KGRAM) -> DataFrame:
+    """Adds `minima_n` for each n of `lengths`: for every window of n words the least hash
+    of its k-grams, or the hash of the window where n is less than k.
 
-    Winnowing: equal windows have equal minima, so whatever spans `length` equal words in
-    two texts shares a minimum, while the distinct minima of a text are few.
+    Winnowing: equal windows have equal minima, so whatever spans n equal words in two
+    texts shares a minimum, while the distinct minima of a text are few. Words are hashed
+    once, and windows of all lengths of k and more share their k-grams.
     """
-    k = min(k, length)
-    df = df.withColumn("minima", F.transform("words", lambda w: F.xxhash64(w)))
-    df = _grown(df, "minima", k, lambda a, b: F.xxhash64(a, b))
-    return _grown(df, "minima", length - k + 1, lambda a, b: F.least(a, b))
+    df = df.withColumn("grams_1", F.transform("words", lambda w: F.xxhash64(w)))
+    for size in sorted({min(k, n) for n in lengths} - {1}):
+        df = _grown(df.withColumn(f"grams_{size}", F.col("grams_1")), f"grams_{size}", size, lambda a, b: F.xxhash64(a, b))
+    for n in lengths:
+        size = min(k, n)
+        df = df.withColumn(f"minima_{n}", F.col(f"grams_{size}"))
+        df = _grown(df, f"minima_{n}", n - size + 1, lambda a, b: F.least(a, b))
+    return df
+
+
+def _of_all_lengths(lengths: list[int], entry) -> Column:
+    """One array of what `entry(n)` gives for each length."""
+    return F.concat(*[entry(n) for n in lengths])
 
 
 def benchmark_windows(
@@ -96,17 +110,18 @@ def find_benchmark(
     Winnowing finds all of them: every window keeps the least hash of its k-grams; the
     distinct minima of each document meet those of the benchmark in an equality join, and
     where one is shared the document's windows with that minimum are compared word for
-    word with the benchmark's. For each length shorter than `length` that some item has,
-    the same is done with windows of that length.
+    word with the benchmark's. Windows of all lengths that items have, at most `length`,
+    are done in the same pass: what meets is a length and a minimum.
 
     Edge cases: a null text, of a document or an item, has no words and no hits; a null
     item id is reported as the string "null"; repeated items and rows count each; an empty
     benchmark hits nothing; an empty table gives an empty result.
 
-    The first join moves minima, not text. The benchmark's side is broadcast if it has
-    `broadcast_rows` rows (of a minimum or a window) or fewer, else both are shuffled and hot minima
-    split by the adaptive join. Texts move once, to meet the minima found in them. Hits of
-    a document are aggregated per document; they are bounded by its words.
+    The first join moves minima, not text. The benchmark's side is broadcast if it has at
+    most `broadcast_rows` rows, and of windows at most WINDOW_BYTES bytes for each, else both are shuffled and hot minima split by the adaptive join.
+    Texts with a shared minimum move once, to meet the minima found in them; the others are
+    left out before by a Bloom filter of bounded size. Hits of a document are aggregated
+    per document; they are bounded by its words.
     """
     windows, of_items = benchmark_windows(benchmark, item_col, item_text_col, length)
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
@@ -123,44 +138,65 @@ def find_benchmark(
     texts = docs.select(
         k1.alias("k1"), k2.alias("k2"), cell(id_col).alias("id"), whole_text(text_col).alias("text")
     )
-    found = []
-    # Outer forms of explode: for the others Spark infers a filter that hashes all again.
-    for size in lengths:
-        of_size = windows.where(F.col("length") == size)
-        split = window_minima(of_size.withColumn("words", F.split("window", " ", -1)), size)
-        wanted = written(split.select(F.get("minima", F.lit(0)).alias("minimum"), "window", "w1", "w2"))
-        minima = small(wanted.select("minimum").distinct())
-        prints = window_minima(
-            texts.select("k1", "k2", "id", words(F.col("text")).alias("words")), size
-        )
-        shared = (
-            prints.select("k1", "k2", "id", F.explode_outer(F.array_distinct("minima")).alias("minimum"))
-            .join(minima, "minimum", "left_semi")
-            .groupBy("k1", "k2")
-            .agg(F.collect_set("minimum").alias("shared"), F.min("id").alias("first"))
-        )
-        # One of the rows that share a text speaks for all.
-        first = (texts["k1"] == shared["k1"]) & (texts["k2"] == shared["k2"])
-        first &= texts["id"].eqNullSafe(shared["first"])
-        again = texts.join(shared, first).select(texts["*"], "shared")
-        again = window_minima(again.select("k1", "k2", "shared", words(F.col("text")).alias("words")), size)
-        places = again.select("k1", "k2", "shared", "words", F.posexplode_outer("minima").alias("start", "minimum"))
-        places = places.where(F.array_contains("shared", F.col("minimum"))).select(
-            "k1", "k2", "start", F.array_join(F.slice("words", F.col("start") + 1, size), " ").alias("window")
-        )
-        exact = wanted.select("window", "w1", "w2")
-        found.append(
-            places.join(small(exact), "window").select(
-                "k1", "k2", "start", F.lit(size).alias("length"), "w1", "w2"
-            )
-        )
-    if not found:
+    if not lengths:
         none = F.array().cast("array<string>")
         return rows.select(
             "row", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"),
             F.array().cast("array<struct<start:int,length:int>>").alias("hits"),
         )
-    hits = written(union_all(found))
+    split = windows.withColumn("words", F.split("window", " ", -1))
+    wanted = written(
+        union_all([
+            window_minima(split.where(F.col("length") == n), [n]).select(
+                "length", F.get(f"minima_{n}", F.lit(0)).alias("minimum"), "window", "w1", "w2"
+            )
+            for n in lengths
+        ])
+    )
+
+    # Outer forms of explode: for the others Spark infers a filter that hashes all again.
+    prints = window_minima(texts.select("k1", "k2", "id", words(F.col("text")).alias("words")), lengths)
+    distinct = _of_all_lengths(
+        lengths,
+        lambda n: F.transform(
+            F.array_distinct(f"minima_{n}"), lambda m: F.struct(F.lit(n).alias("length"), m.alias("minimum"))
+        ),
+    )
+    shared = written(
+        prints.select("k1", "k2", "id", F.explode_outer(distinct).alias("at"))
+        .select("k1", "k2", "id", "at.length", "at.minimum")
+        .join(small(wanted.select("length", "minimum").distinct()), ["length", "minimum"], "left_semi")
+        .groupBy("k1", "k2")
+        .agg(F.collect_set(F.struct("length", "minimum")).alias("shared"), F.min("id").alias("first"))
+    )
+    blocks = block_count(shared.count())
+    likely = might_match(texts, F.col("k1"), build_filter(shared, "k1", blocks), blocks).alias("t")
+    # One of the rows that share a text speaks for all.
+    first = (F.col("t.k1") == F.col("s.k1")) & (F.col("t.k2") == F.col("s.k2"))
+    first &= F.col("t.id").eqNullSafe(F.col("s.first"))
+    again = likely.join(shared.alias("s"), first).select("t.k1", "t.k2", words(F.col("t.text")).alias("words"), "shared")
+    places = _of_all_lengths(
+        lengths,
+        lambda n: F.transform(
+            f"minima_{n}",
+            lambda m, i: F.struct(F.lit(n).alias("length"), i.alias("start"), m.alias("minimum")),
+        ),
+    )
+    places = window_minima(again, lengths).select("k1", "k2", "shared", "words", F.explode_outer(places).alias("at"))
+    places = places.where(
+        F.array_contains("shared", F.struct(F.col("at.length").alias("length"), F.col("at.minimum").alias("minimum")))
+    )
+    places = places.select(
+        "k1", "k2", "at.start", "at.length", F.array_join(F.slice("words", F.col("at.start") + 1, F.col("at.length")), " ").alias("window")
+    )
+    # The hashes of a window are what is joined by; its words are compared with the item's.
+    places = places.withColumns(dict(zip(("w1", "w2"), text_key(F.col("window")), strict=True)))
+    bytes_ = wanted.agg(F.sum(F.octet_length("window"))).first()[0]
+    exact = wanted.select("w1", "w2", "window")
+    exact = F.broadcast(exact) if bytes_ <= broadcast_rows * WINDOW_BYTES and wanted.count() <= broadcast_rows else exact
+    hits = written(
+        places.join(exact, ["w1", "w2", "window"]).select("k1", "k2", "start", "length", "w1", "w2")
+    )
     spans = written(
         hits.groupBy("k1", "k2").agg(
             F.array_sort(F.collect_set(F.struct("start", "length"))).alias("hits")
@@ -201,6 +237,11 @@ def covered(hits: Column) -> Column:
 def without_contaminated(
     docs: DataFrame, benchmark: DataFrame, **rules
 ) -> DataFrame:
-    """The rows in which no window of the benchmark occurs."""
+    """The rows in which no window of the benchmark occurs.
+
+    Edge cases: rows without words are kept, with their null or empty text; repeated rows
+    are kept or left out alike; an empty benchmark keeps all, an empty table is empty; all
+    columns stay, whatever their names.
+    """
     found = find_benchmark(docs, benchmark, **rules).where(F.col("n_hit") == 0)
     return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

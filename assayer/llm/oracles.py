@@ -79,27 +79,31 @@ ORACLES = {
             SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos,
                    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         ),
-        last AS (SELECT conv_id, max(pos) FILTER (role = 'assistant') AS answer FROM turns GROUP BY conv_id),
-        pieces AS (
-            SELECT conv_id, pos, answer, role, text,
-                   lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY pos) AS echo,
-                   '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
-            FROM turns JOIN last USING (conv_id)
+        sides AS (
+            SELECT *, CASE WHEN role = 'assistant' THEN lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY pos)
+                           ELSE text END AS other
+            FROM turns
         ),
-        told AS (
-            SELECT conv_id, pos, answer, shown,
-                   answer IS NOT NULL AND pos = answer AND text <> echo AS differs,
-                   '<|assistant|>' || chr(10) || echo || '<|end|>' || chr(10) AS echoed,
-                   text, echo
-            FROM pieces WHERE answer IS NULL OR pos <= answer
+        parted AS (
+            SELECT *, bool_or(text <> other) OVER (PARTITION BY conv_id ORDER BY pos) AS apart,
+                   length(role) + 5 AS head,
+                   '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown,
+                   '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) AS shown_other
+            FROM sides
+        ),
+        placed AS (
+            SELECT *, sum(length(shown)) OVER upto AS till, sum(length(shown_other)) OVER upto AS till_other
+            FROM parted WINDOW upto AS (PARTITION BY conv_id, apart ORDER BY pos)
         )
-        SELECT conv_id, count(*) FILTER (NOT differs)::INTEGER AS prompt_turns,
-               sha256(coalesce(string_agg(shown, '' ORDER BY pos) FILTER (NOT differs), '')) AS prompt_sha256,
-               sha256(coalesce(max(shown) FILTER (differs), '')) AS chosen_sha256,
-               sha256(coalesce(max(echoed) FILTER (differs), '')) AS rejected_sha256,
-               coalesce(max('14-' || (14 + length(text) + 8)) FILTER (differs), '') AS chosen_spans,
-               coalesce(max('14-' || (14 + length(echo) + 8)) FILTER (differs), '') AS rejected_spans
-        FROM told GROUP BY conv_id
+        SELECT conv_id, count(*) FILTER (NOT apart)::INTEGER AS prompt_turns,
+               sha256(coalesce(string_agg(shown, '' ORDER BY pos) FILTER (NOT apart), '')) AS prompt_sha256,
+               sha256(coalesce(string_agg(shown, '' ORDER BY pos) FILTER (apart), '')) AS chosen_sha256,
+               sha256(coalesce(string_agg(shown_other, '' ORDER BY pos) FILTER (apart), '')) AS rejected_sha256,
+               coalesce(string_agg((till - length(shown) + head)::BIGINT || '-' || till::BIGINT, ',' ORDER BY pos)
+                        FILTER (apart AND role = 'assistant'), '') AS chosen_spans,
+               coalesce(string_agg((till_other - length(shown_other) + head)::BIGINT || '-' || till_other::BIGINT, ',' ORDER BY pos)
+                        FILTER (apart AND role = 'assistant'), '') AS rejected_spans
+        FROM placed GROUP BY conv_id
     """,
     "op11_angular_negatives": """
         WITH vectors AS (

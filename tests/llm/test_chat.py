@@ -65,6 +65,8 @@ def test_conversations_and_echoes(spark):
         (2, 0, "user", "same"), (2, 1, "assistant", "same"),
         (3, 0, "user", "no answer"),
         (4, 0, "assistant", "first"),
+        (6, 0, "user", "x"), (6, 1, "assistant", "x"), (6, 2, "user", "one"), (6, 3, "assistant", "two"),
+        (6, 4, "user", "and"), (6, 5, "assistant", "three"), (6, 6, "user", "end"),
         (None, 0, "user", "x"), (None, 0, "user", "x"), (None, 0, "assistant", None),
         (5, 0, "user", "twice"), (5, 0, "user", "twice"), (5, 0, "assistant", "a tie"),
     ]
@@ -73,13 +75,16 @@ def test_conversations_and_echoes(spark):
     got = sorted((r["id"] is None, r["id"] or 0, [tuple(t) for t in r["turns"]]) for r in talks.collect())
     assert [g[2] for g in got if g[1] == 1] == [[("user", "hi"), ("assistant", "hello"), ("user", "bye")]]
     assert [g[2] for g in got if g[1] == 5] == [[("assistant", "a tie"), ("user", "twice"), ("user", "twice")]]
-    assert sum(g[0] for g in got) == 3 and len(got) == 8
+    assert sum(g[0] for g in got) == 3 and len(got) == 9
     found = {r["id"]: r for r in chat.format_preferences(chat.echo_pairs(talks.where("id IS NOT NULL"))).collect()}
     assert (found[1]["prompt_turns"], found[1]["chosen_text"], found[1]["rejected_text"]) == (
-        1, "<|assistant|>\nhello<|end|>\n", "<|assistant|>\nhi<|end|>\n",
+        1, "<|assistant|>\nhello<|end|>\n<|user|>\nbye<|end|>\n", "<|assistant|>\nhi<|end|>\n<|user|>\nbye<|end|>\n",
     )
     assert (found[2]["prompt_turns"], found[2]["chosen_text"], found[2]["chosen_learned"]) == (2, "", [])
     assert (found[3]["prompt_turns"], found[3]["rejected_text"]) == (1, "")
+    assert (found[6]["prompt_turns"], found[6]["rejected_text"].count("<|assistant|>")) == (3, 2)
+    assert [found[6]["chosen_text"][s:e] for s, e in found[6]["chosen_learned"]] == ["two<|end|>\n", "three<|end|>\n"]
+    assert [found[6]["rejected_text"][s:e] for s, e in found[6]["rejected_learned"]] == ["one<|end|>\n", "and<|end|>\n"]
     assert (found[4]["prompt_turns"], found[4]["rejected_text"]) == (0, "<|assistant|>\n<|end|>\n")
 
 

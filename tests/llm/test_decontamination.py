@@ -58,6 +58,22 @@ def test_against_brute_force(spark):
             assert corpus.bag(found.collect()) == corpus.bag(brute(data, items))
 
 
+def test_items_of_every_length(spark):
+    data = corpus.rows(5)
+    rng = random.Random(5)
+    items = []
+    for n in range(1, 13):
+        long = [w for w in (words(t) for _, t, *_ in data[:60]) if len(w) >= n]
+        w = rng.choice(long)
+        at = rng.randrange(len(w) - n + 1)
+        items.append((n, " ".join(w[at : at + n])))
+    bench = spark.createDataFrame([(*r, None, None) for r in items], ITEM)
+    found = find_benchmark(corpus.frame(spark, data), bench).select("row.doc_id", "n_words", "n_hit", "items")
+    expected = brute(data, items)
+    assert {i for r in expected for i in r[3]} == {str(n) for n in range(1, 13)}
+    assert corpus.bag(found.collect()) == corpus.bag(expected)
+
+
 def test_long_items_only(spark):
     data = corpus.rows(4)
     items = [(i, t) for i, t in benchmark(data, 4) if len(words(t)) >= 10]
