@@ -235,6 +235,43 @@ def mcd(
     return best.join(half, group).withColumn("unit", F.greatest(F.col("median") / chi_median, F.lit(1.0))).drop("median")
 
 
+def pooled(fits: DataFrame, groups: DataFrame, least: list[float], shrink_rows: int, first_rows: int = 20, wide: float = 10.0) -> DataFrame:
+    """(k2, rows, mean, inverse, unit): each group's estimate, pooled with wider groups'.
+
+    `fits` is what `mcd` returns; `groups` has the keys `k0`, `k1` and `k2` of all, a
+    language and a language and source. A group is judged as if `shrink_rows` more of its
+    rows were spread as its language's are, and a language likewise of all; all rows have
+    `first_rows` more, about their own mean, `wide` times as far as `least`. The pooled
+    scatter includes the distance between the means, so the middle of a small group is
+    never far out. No group is too small or large for this rule: with rows, the weight of
+    the wider group falls.
+    """
+    p = len(least)
+    prior = np.diag(np.square(np.array(least) * wide))
+
+    @F.pandas_udf("rows double, mean array<double>, inverse array<double>, unit double")
+    def pool(levels: pd.Series) -> pd.DataFrame:
+        out = []
+        for flat in levels:
+            per_level = np.asarray(flat, dtype=float).reshape(3, -1)
+            mean, scatter, unit, added = per_level[0][2 : 2 + p], prior, 1.0, first_rows
+            for level in per_level:
+                own = np.linalg.inv(level[2 + p :].reshape(p, p))
+                w = level[0] / (level[0] + added)
+                off = level[2 : 2 + p] - mean
+                mean = mean + w * off
+                scatter = w * own + (1 - w) * scatter + w * (1 - w) * np.outer(off, off)
+                unit, added = w * level[1] + (1 - w) * unit, shrink_rows
+            out.append((per_level[2][0], mean, np.linalg.inv(scatter).ravel(), unit))
+        return pd.DataFrame(out, columns=["rows", "mean", "inverse", "unit"])
+
+    found = groups
+    for level in ("k0", "k1", "k2"):
+        flat = F.concat(F.array("rows", "unit"), "mean", "inverse").alias(f"fit_{level}")
+        found = found.join(fits.select(F.col("key").alias(level), flat), level)
+    return found.select("k2", pool(F.concat("fit_k0", "fit_k1", "fit_k2")).alias("e")).select("k2", "e.*")
+
+
 def chi_square_cut(degrees: int, normal_quantile: float) -> float:
     """Wilson-Hilferty: the chi-square quantile at a quantile of the normal distribution."""
     share = 2 / (9 * degrees)
@@ -247,7 +284,7 @@ def judge_quality(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
-    min_rows: int = 200,
+    shrink_rows: int = 200,
     shrink_words: int = 100,
     normal_quantile: float = 4.0,
     support: float = 0.5,
@@ -256,16 +293,15 @@ def judge_quality(
     """Each row with its counts, `base_failed`, `distance` and `kept`.
 
     Returns `row` (the caller's columns, or those named in `keep`), the counts of COUNTS,
-    `base_failed`, `level` (whose estimates judged the row), `distance` (squared, in
-    chi-square units) and `kept`.
+    `base_failed`, `group_rows` (rows of its language and source that were fitted),
+    `distance` (squared, in chi-square units) and `kept`.
 
     A row that fails the base rules is not kept and takes no part in any estimate. The
     others are vectors of four ratios to the words: mean word length (log), symbols,
     duplicate lines and repeated words (square roots). Each ratio is shrunk towards its
     language's by `shrink_words` words, so that short texts do not scatter more than long
-    ones. Estimates are fitted per language and source; a group of fewer than `min_rows`
-    rows is judged by its language's, a language of fewer by those of all rows, and if
-    there are fewer still, every row that passes the base rules is kept. Rejected is a
+    ones. Estimates are fitted per language and source, per language, and over all; each
+    is pooled with `shrink_rows` rows of the next wider one (`pooled`). Rejected is a
     distance beyond the chi-square quantile at `normal_quantile` standard deviations.
 
     Edge cases: a null text has no words and fails the base rules; null languages and
@@ -303,26 +339,15 @@ def judge_quality(
     points = every.where("NOT base_failed").select(
         F.explode(F.array("k0", "k1", "k2")).alias("key"), *VECTOR
     )
-    fits = written(mcd(points, "key", VECTOR, LEAST_SPREAD, support).where(F.col("rows") >= min_rows))
-
-    judged = every
-    for level in ("k2", "k1", "k0"):
-        fit = fits.select(F.col("key").alias(level), F.struct("mean", "inverse", "unit").alias(f"fit_{level}"))
-        judged = judged.join(fit, level, "left")
-    fit = F.coalesce("fit_k2", "fit_k1", "fit_k0")
-    level = (
-        F.when(F.col("fit_k2").isNotNull(), "language and source")
-        .when(F.col("fit_k1").isNotNull(), "language")
-        .when(F.col("fit_k0").isNotNull(), "all")
-    )
-    judged = judged.withColumn("level", level).withColumn("fit", fit)
-    judged = judged.select("row", *COUNTS, *VECTOR, "base_failed", "level", "fit.mean", "fit.inverse", "fit.unit")
+    fits = written(mcd(points, "key", VECTOR, LEAST_SPREAD, support))
+    groups = every.where("NOT base_failed").select("k0", "k1", "k2").distinct()
+    judged = every.join(written(pooled(fits, groups, LEAST_SPREAD, shrink_rows)), "k2", "left")
     cut = chi_square_cut(len(VECTOR), normal_quantile)
     return judged.withColumn("distance", _distance(VECTOR) / F.col("unit")).select(
         "row",
         *COUNTS,
         "base_failed",
-        "level",
+        F.col("rows").alias("group_rows"),
         "distance",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"),
     )

@@ -36,6 +36,13 @@ def test_quality_query(spark):
     assert corpus.bag(found) == corpus.bag(expected)
 
 
+def test_quality_verdicts(spark):
+    rows = corpus.documents(spark, SF_DIR).select("doc_id", "text", "lang", "source").collect()
+    found = queries.QUERIES["op4_mcd_quality"](spark, SF_DIR).select("doc_id", "distance", "base_failed", "kept")
+    found = [(r[0], None if r[2] else r[1], r[3]) for r in found.collect()]
+    test_quality.agrees(found, test_quality.slow_judge([tuple(r) for r in rows]))
+
+
 def test_sharding_query(spark):
     found = queries.QUERIES["op7_bounded_ring"](spark, SF_DIR).collect()
     rows = [(r["doc_id"], r["size"], r["text_crc32"], r["home"], r["shard"], r["slot"]) for r in found]
