@@ -60,11 +60,6 @@ def window_minima(df: DataFrame, lengths: list[int], k: int = KGRAM) -> DataFram
     return df
 
 
-def _of_all_lengths(lengths: list[int], entry) -> Column:
-    """One array of what `entry(n)` gives for each length."""
-    return F.concat(*[entry(n) for n in lengths])
-
-
 def benchmark_windows(
     benchmark: DataFrame, item_col: str, text_col: str, length: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -111,15 +106,16 @@ def find_benchmark(
     distinct minima of each document meet those of the benchmark in an equality join, and
     where one is shared the document's windows with that minimum are compared word for
     word with the benchmark's. Windows of all lengths that items have, at most `length`,
-    are done in the same pass: what meets is a length and a minimum.
+    are done in the same pass; a minimum that meets one of another length finds no equal
+    window.
 
     Edge cases: a null text, of a document or an item, has no words and no hits; a null
     item id is reported as the string "null"; repeated items and rows count each; an empty
     benchmark hits nothing; an empty table gives an empty result.
 
     The first join moves minima, not text. The benchmark's side is broadcast if it has at
-    most `broadcast_rows` rows, and of windows at most WINDOW_BYTES bytes for each, else both are shuffled and hot minima split by the adaptive join.
-    Texts with a shared minimum move once, to meet the minima found in them; the others are
+    most `broadcast_rows` rows, and of windows at most WINDOW_BYTES bytes for each, else
+    both are shuffled and hot minima split by the adaptive join. Texts with a shared minimum move once, to meet the minima found in them; the others are
     left out before by a Bloom filter of bounded size. Hits of a document are aggregated
     per document; they are bounded by its words.
     """
@@ -148,7 +144,7 @@ def find_benchmark(
     wanted = written(
         union_all([
             window_minima(split.where(F.col("length") == n), [n]).select(
-                "length", F.get(f"minima_{n}", F.lit(0)).alias("minimum"), "window", "w1", "w2"
+                F.get(f"minima_{n}", F.lit(0)).alias("minimum"), "window", "w1", "w2"
             )
             for n in lengths
         ])
@@ -156,18 +152,12 @@ def find_benchmark(
 
     # Outer forms of explode: for the others Spark infers a filter that hashes all again.
     prints = window_minima(texts.select("k1", "k2", "id", words(F.col("text")).alias("words")), lengths)
-    distinct = _of_all_lengths(
-        lengths,
-        lambda n: F.transform(
-            F.array_distinct(f"minima_{n}"), lambda m: F.struct(F.lit(n).alias("length"), m.alias("minimum"))
-        ),
-    )
+    distinct = F.array_distinct(F.concat(*[F.col(f"minima_{n}") for n in lengths]))
     shared = written(
-        prints.select("k1", "k2", "id", F.explode_outer(distinct).alias("at"))
-        .select("k1", "k2", "id", "at.length", "at.minimum")
-        .join(small(wanted.select("length", "minimum").distinct()), ["length", "minimum"], "left_semi")
+        prints.select("k1", "k2", "id", F.explode_outer(distinct).alias("minimum"))
+        .join(small(wanted.select("minimum").distinct()), "minimum", "left_semi")
         .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("length", "minimum")).alias("shared"), F.min("id").alias("first"))
+        .agg(F.collect_set("minimum").alias("shared"), F.min("id").alias("first"))
     )
     blocks = block_count(shared.count())
     likely = might_match(texts, F.col("k1"), build_filter(shared, "k1", blocks), blocks).alias("t")
@@ -175,19 +165,18 @@ def find_benchmark(
     first = (F.col("t.k1") == F.col("s.k1")) & (F.col("t.k2") == F.col("s.k2"))
     first &= F.col("t.id").eqNullSafe(F.col("s.first"))
     again = likely.join(shared.alias("s"), first).select("t.k1", "t.k2", words(F.col("t.text")).alias("words"), "shared")
-    places = _of_all_lengths(
-        lengths,
-        lambda n: F.transform(
+
+    def placed(n: int) -> Column:
+        return F.transform(
             f"minima_{n}",
             lambda m, i: F.struct(F.lit(n).alias("length"), i.alias("start"), m.alias("minimum")),
-        ),
-    )
+        )
+
+    places = F.concat(*[placed(n) for n in lengths])
     places = window_minima(again, lengths).select("k1", "k2", "shared", "words", F.explode_outer(places).alias("at"))
-    places = places.where(
-        F.array_contains("shared", F.struct(F.col("at.length").alias("length"), F.col("at.minimum").alias("minimum")))
-    )
-    places = places.select(
-        "k1", "k2", "at.start", "at.length", F.array_join(F.slice("words", F.col("at.start") + 1, F.col("at.length")), " ").alias("window")
+    places = places.where(F.array_contains("shared", F.col("at.minimum"))).select(
+        "k1", "k2", "at.start", "at.length",
+        F.array_join(F.slice("words", F.col("at.start") + 1, F.col("at.length")), " ").alias("window"),
     )
     # The hashes of a window are what is joined by; its words are compared with the item's.
     places = places.withColumns(dict(zip(("w1", "w2"), text_key(F.col("window")), strict=True)))
