@@ -10,6 +10,7 @@ by byte plane. All text is read, none is sampled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 from typing import NamedTuple
 
@@ -163,24 +164,26 @@ _BLOCK = {"part": pa.int32(), "level": pa.int32(), "batch": pa.int32(), "keys":
 _BLOCK_SQL = "part int, level int, batch int, keys binary, values binary"
 
 
-def _asked(dealt: DataFrame, order: int, parts: int) -> DataFrame:
+def _asked(dealt: DataFrame, order: int, parts: int, levels: range) -> DataFrame:
     """Per batch, level and part of the key space: distinct n-grams and their training counts.
 
+    A value is twice the count, plus 1 if a held-out document of the batch has the n-gram.
     The begin contexts are counted among the keys of their level: once per document.
     """
 
     def run(frames):
         for batch, rows in _groups(frames):
             _, held, texts = _read([r["payload"] for r in rows])
-            grams = Batch(texts, order)
+            grams = Batch(texts, levels.stop)
             trained = ~held.to_numpy(zero_copy_only=False)
             weight = trained[grams.doc]
-            for level in range(order):
+            for level in levels:
                 begin = np.full(len(trained) if level + 1 < order else 0, BEGIN + np.uint64(level + 1))
                 keys = np.concatenate((grams.keys[level], begin))
                 weights = np.concatenate((weight, trained[: len(begin)]))
                 distinct, at = np.unique(keys, return_inverse=True)
-                counts = np.bincount(at, weights=weights, minlength=len(distinct)).astype(np.int64)
+                counts = np.bincount(at, weights=weights, minlength=len(distinct)).astype(np.int64) * 2
+                counts[at[~weights]] |= 1
                 bounds = _part(distinct, parts)
                 for p in np.flatnonzero(np.diff(bounds)):
                     own = slice(bounds[p], bounds[p + 1])
@@ -189,33 +192,37 @@ def _asked(dealt: DataFrame, order: int, parts: int) -> DataFrame:
     return dealt.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, _BLOCK_SQL)
 
 
-def _answered(asked: DataFrame, order: int, kmax: int) -> DataFrame:
+def _answered(asked: DataFrame, levels: range, kmax: int) -> DataFrame:
     """Each block with the totals of its keys, and per part and level a block of statistics.
 
-    A total is twice the training count, plus 1 in the block that is the n-gram's own: the
-    one of the lowest batch that trained on it. Statistics (batch -1) are the number of
+    A total is four times the training count, plus 2 if any held-out document has the n-gram,
+    plus 1 in the block that is the n-gram's own: the one of the lowest batch that trained on
+    it. Statistics (batch -1) are the number of
     tokens, of types, and of types that occur 1, 2, .. kmax + 1 times.
     """
 
     def run(frames):
         for part, rows in _groups(frames):
-            for level in range(order):
+            for level in levels:
                 blocks = sorted((r for r in rows if r["level"] == level), key=lambda r: r["batch"])
                 if not blocks:
                     continue
                 keys = [unpack_keys(r["keys"]) for r in blocks]
-                counts = np.concatenate([expand(r["values"], np.int64) for r in blocks])
+                values = np.concatenate([expand(r["values"], np.int64) for r in blocks])
                 sizes = [len(k) for k in keys]
                 keys = np.concatenate(keys)
                 by = np.argsort(keys, kind="stable")
                 new = np.diff(keys[by], prepend=~keys[by][:1]) != 0
                 group = np.cumsum(new) - 1
-                total = np.bincount(group, weights=counts[by]).astype(np.int64)
+                counts = values[by] >> 1
+                total = np.bincount(group, weights=counts).astype(np.int64)
+                held = np.zeros(len(total), np.int64)
+                held[group[values[by] & 1 == 1]] = 2
                 owner = np.zeros(len(keys), bool)
-                trained = np.flatnonzero(counts[by] > 0)
+                trained = np.flatnonzero(counts > 0)
                 owner[by[trained[np.diff(group[trained], prepend=-1) != 0]]] = True
                 answer = np.empty(len(keys), np.int64)
-                answer[by] = total[group] * 2
+                answer[by] = (total * 4 + held)[group]
                 answer += owner
                 ends = np.cumsum(sizes)
                 for r, end, size in zip(blocks, ends, sizes, strict=True):
@@ -298,9 +305,9 @@ _DOC_SQL = "n_tokens long, n_known long, base_score double, score double, place
 
 def _counts_of(grams: Batch, answers: dict, order: int):
     """Per level: each token's training count, its distinct n-gram, and which of those are
-    the batch's own; and per level the counts of the contexts."""
+    the batch's own; and per level the counts of the contexts, and which held-out documents have."""
     n, tokens = len(grams.ends), len(grams.doc)
-    counts, grams_of, owned, contexts = [], [], [], [np.zeros(tokens, np.int64)]
+    counts, grams_of, owned, contexts, held = [], [], [], [np.zeros(tokens, np.int64)], [np.zeros(tokens, bool)]
     for level in range(order):
         begin = np.full(n if level + 1 < order else 0, BEGIN + np.uint64(level + 1))
         distinct, at = np.unique(np.concatenate((grams.keys[level], begin)), return_inverse=True)
@@ -308,16 +315,17 @@ def _counts_of(grams: Batch, answers: dict, order: int):
         found = np.concatenate([expand(b, np.int64) for b in blocks])
         if len(found) != len(distinct):
             raise RuntimeError("the documents of a batch have changed between two reads")
-        total = (found >> 1)[at]
-        counts.append(total[:tokens])
+        value = found[at]
+        counts.append(value[:tokens] >> 2)
         grams_of.append(at[:tokens])
         owned.append(found & 1 == 1)
         if level + 1 < order:
             before = np.empty(tokens, np.int64)
-            before[1:] = total[: tokens - 1]
-            before[grams.first] = total[tokens:]
-            contexts.append(before)
-    return counts, grams_of, owned, contexts
+            before[1:] = value[: tokens - 1]
+            before[grams.first] = value[tokens:]
+            contexts.append(before >> 2)
+            held.append(before & 2 == 2)
+    return counts, grams_of, owned, contexts, held
 
 
 def _blocks(level: int, batch: int, keys: np.ndarray, parts: int, *values: np.ndarray) -> Iterator[tuple]:
@@ -332,8 +340,10 @@ def _scored(both: DataFrame, id_type: str, order: int, parts: int, model: Model)
     """Documents' scores but for the backoff weights, and what those are made and needed of.
 
     Rows with level -1 are documents. Blocks with batch -1 are sums per context over this
-    batch's own n-grams: the probability that its seen words keep, and what they have one
-    level down. The other blocks name the documents that backed off from a context.
+    batch's own n-grams: the counts that its seen words keep, the context's own count, and
+    the probability of the words one level down. Every n-gram of a training document is
+    seen, so only contexts that held-out documents have can be backed off from, and only
+    those are summed up. The other blocks name the documents that backed off from a context.
     """
 
     def run(frames):
@@ -342,7 +352,7 @@ def _scored(both: DataFrame, id_type: str, order: int, parts: int, model: Model)
             grams = Batch(texts, order)
             n, tokens = len(texts), len(grams.doc)
             answers = {(r["level"], r["part"]): r["values"] for r in rows if r["payload"] is None}
-            counts, grams_of, owned, contexts = _counts_of(grams, answers, order)
+            counts, grams_of, owned, contexts, asked = _counts_of(grams, answers, order)
             known = counts[0] > 0
             chance = np.where(
                 known, discounted(counts[0], model.discounts[0]) / max(model.tokens, 1), model.unknown
@@ -350,13 +360,15 @@ def _scored(both: DataFrame, id_type: str, order: int, parts: int, model: Model)
             blocks = []
             for level in range(1, order):
                 seen, context = counts[level] > 0, contexts[level]
-                keeps = discounted(counts[level], model.discounts[level]) / np.maximum(context, 1)
+                left = discounted(counts[level], model.discounts[level])
+                keeps = left / np.maximum(context, 1)
                 sample = np.full(len(owned[level]), -1)
                 sample[grams_of[level]] = np.arange(tokens)
                 own = sample[owned[level] & (sample >= 0)]
-                keys, at = np.unique(grams.contexts[level][own], return_inverse=True)
-                sums = [np.bincount(at, v[own], len(keys)) for v in (keeps, chance)]
-                blocks += _blocks(level, -1, keys, parts, *(x.view(np.int64) for x in sums))
+                own = own[asked[level][own]]
+                keys, first, at = np.unique(grams.contexts[level][own], return_index=True, return_inverse=True)
+                sums = [np.bincount(at, v[own], len(keys)).view(np.int64) for v in (left, chance)]
+                blocks += _blocks(level, -1, keys, parts, sums[0], context[own][first], sums[1])
                 missed = np.flatnonzero(~seen & (context > 0))
                 missed = missed[np.argsort(grams.contexts[level][missed], kind="stable")]
                 blocks += _blocks(level, batch, grams.contexts[level][missed], parts, grams.doc[missed])
@@ -385,43 +397,64 @@ def _scored(both: DataFrame, id_type: str, order: int, parts: int, model: Model)
 
 
 def _weighed(blocks: DataFrame, order: int) -> DataFrame:
-    """(level, part, keys, weights) of all contexts, and the sums that documents are owed.
+    """(level, part, keys, weights) of contexts that may be backed off from, and per part and
+    batch the sums that documents are owed, in one row.
 
     A weight is the mass that the context's seen words leave, over the mass that they leave
     one level down; so the probabilities after a context add up to 1 exactly.
     """
-    names = ["level", "part", "keys", "weights", "batch", "place", "log_weight"]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.float64()]
+    names = ["level", "part", "keys", "weights", "batch", "places", "owed"]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
     schema = dict(zip(names, kinds, strict=True))
 
     def run(frames):
         for part, rows in _groups(frames):
+            owed: dict[int, list] = {}
             for level in range(1, order):
                 sums = [r for r in rows if r["level"] == level and r["batch"] < 0]
                 if not sums:
                     continue
                 keys, at = np.unique(np.concatenate([unpack_keys(r["keys"]) for r in sums]), return_inverse=True)
-                pairs = [expand(r["values"], np.float64).reshape(2, -1) for r in sums]
-                kept, below = (np.bincount(at, np.concatenate([p[i] for p in pairs])) for i in (0, 1))
+                values = np.concatenate([expand(r["values"], np.int64).reshape(3, -1) for r in sums], axis=1)
+                kept, below = (np.bincount(at, values[i].view(np.float64)) for i in (0, 2))
+                size = np.empty(len(keys))
+                size[at] = values[1]
+                kept /= size
                 # Rounding aside both masses are positive.
                 weights = np.maximum(1 - kept, 1e-15) / np.maximum(1 - below, 1e-15)
                 yield _frame(schema, [(level, part, pack_keys(keys), squeeze(weights), None, None, None)])
                 for r in rows:
                     if r["level"] == level and r["batch"] >= 0:
                         found = weights[np.searchsorted(keys, unpack_keys(r["keys"]))]
-                        docs = expand(r["values"], np.int64)
-                        total = np.bincount(docs, np.log10(found))
-                        places = np.unique(docs)
-                        rest = [None] * 4
-                        yield _frame(
-                            schema,
-                            [(*rest, r["batch"], int(d), float(total[d])) for d in places],
-                        )
-
-    sql = "level int, part int, keys binary, weights binary, batch int, place long, log_weight double"
+                        owed.setdefault(r["batch"], []).append((expand(r["values"], np.int64), np.log10(found)))
+            for batch, pairs in owed.items():
+                yield _frame(schema, [(None, part, None, None, batch, *map(squeeze, _by_place(pairs)))])
+
+    sql = "level int, part int, keys binary, weights binary, batch int, places binary, owed binary"
     return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, sql)
 
 
+def _by_place(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The places named, each once, and the sum of the numbers beside each."""
+    places, at = np.unique(np.concatenate([p for p, _ in pairs]), return_inverse=True)
+    return places, np.bincount(at, np.concatenate([v for _, v in pairs]), len(places))
+
+
+def _owed(weights: DataFrame) -> DataFrame:
+    """(batch, place, owed): all that each document is owed, parts added up in their order."""
+    names = ["batch", "place", "owed"]
+
+    def run(frames):
+        for batch, rows in _groups(frames):
+            places, sums = _by_place([(expand(r["places"], np.int64), expand(r["owed"], np.float64)) for r in rows])
+            columns = [np.full(len(places), batch, np.int32), places, sums]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    given = weights.where("batch IS NOT NULL").select("batch", "part", "places", "owed")
+    dealt = given.repartition("batch").sortWithinPartitions("batch", "part")
+    return dealt.mapInArrow(run, "batch int, place long, owed double")
+
+
 def katz_scores(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -448,9 +481,10 @@ def katz_scores(
     repeated rows count each; without training documents every token is unknown, with
     probability 1; an empty table gives an empty result.
 
-    Text is read twice, dealt into batches of about `batch_bytes` by a hash of its content,
+    Text is read once per round of n-gram lengths (words and pairs, then each longer length)
+    and once to score, dealt into batches of about `batch_bytes` by a hash of its content,
     which also spreads copies and sources. N-grams are counted per batch before they move,
-    so a frequent one is a number per batch. N-gram totals and backoff weights are written
+    so a frequent one is a number per batch; what a round has moved is removed before the next. N-gram totals and backoff weights are written
     as tables, by batch and by part of the key space. Keys are 64-bit hashes. The driver
     sees the counts of counts only. A batch sends a block to every part, so blocks shrink
     as the corpus grows; above a terabyte raise `batch_bytes` with the executors' memory.
@@ -461,18 +495,21 @@ def katz_scores(
     id_type = docs.select(cell(id_col).alias("row")).schema["row"].dataType.simpleString()
 
     dealt = _dealt(docs, id_col, text_col, batches, folds, fold)
-    answered = written(_answered(_asked(dealt, order, parts), order, kmax))
+    rounds = [range(0, min(order, 2)), *(range(m, m + 1) for m in range(2, order))]
+    answered = reduce(
+        DataFrame.unionByName,
+        [written(_answered(_asked(dealt, order, parts, levels), levels, kmax), tidy=True) for levels in rounds],
+    )
     model = _model(answered, order, kmax)
     both = dealt.select("batch", "payload", *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("part", "int"), ("values", "binary"))])
     both = both.unionByName(
         answered.where("batch >= 0").select("batch", F.lit(None).cast("binary").alias("payload"), "level", "part", "values")
     )
-    scored = written(_scored(both, id_type, order, parts, model))
-    weights = written(_weighed(scored.where("level >= 0").select(*_BLOCK), order))
-    owed = weights.where("place IS NOT NULL").groupBy("batch", "place").agg(F.sum("log_weight").alias("owed"))
+    scored = written(_scored(both, id_type, order, parts, model), tidy=True)
+    weights = written(_weighed(scored.where("level >= 0").select(*_BLOCK), order), tidy=True)
     return (
         scored.where("level = -1")
-        .join(owed, ["batch", "place"], "left")
+        .join(_owed(weights), ["batch", "place"], "left")
         .select(
             F.col("row").alias("id"),
             "held_out",

@@ -123,6 +123,41 @@ def test_held_out_score_beats_base(spark):
     assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
 
 
+def test_what_is_moved_and_kept(spark, monkeypatch):
+    """Sums only of contexts that held-out documents have, a row per part and batch of what
+    documents are owed, and no shuffle files once a table is written."""
+    data = [(i, t[:3000] if t else t, a, b) for i, t, a, b in corpus.rows(4)]
+    tables, plain = [], katz.written
+
+    def kept(df, **kwargs):
+        tables.append(plain(df, **kwargs))
+        return tables[-1]
+
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        sizes = {}
+        while blocks.hasNext():
+            f = blocks.next()
+            if f.getName().startswith("shuffle_"):
+                sizes[f.getName()] = f.length()
+        return sizes
+
+    left = []
+    for write in (lambda df, **_: plain(df), kept):
+        monkeypatch.setattr(katz, "written", write)
+        before = shuffled()
+        found = katz.katz_scores(corpus.frame(spark, data), order=3, batch_bytes=5000)
+        left.append(sum(n for name, n in shuffled().items() if name not in before))
+    assert left[1] < left[0] / 10
+    weights = tables[-1]
+    sums = sum(len(katz.unpack_keys(r["keys"])) for r in weights.where("batch IS NULL").collect())
+    contexts = {(m, c) for i, t, *_ in data if held(i) for m, c, _ in Slow([], 3).grams(tokens(t)) if m}
+    assert 0 < sums <= len(contexts)
+    owed = weights.where("batch IS NOT NULL")
+    assert owed.count() == owed.select("batch", "part").distinct().count() > 0
+    assert found.count() == len(data)
+
+
 def test_no_training_and_empty(spark):
     one = next(i for i in range(1000) if held(i))
     found = katz.katz_scores(corpus.frame(spark, [(one, "some words", None, None)])).collect()
