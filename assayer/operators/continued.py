@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.functions.dates import lead_days
 from assayer.functions.numbers import money
 from assayer.operators.running import order_windows
+from assayer.operators.shaping import spread
 
 WINDOWS = ["order_seq", "days_since_prev_order", "customer_running_spend"]
 
@@ -35,12 +36,14 @@ def continue_windows(
     order: Sequence[str] = ("order_date", "order_id"),
     amount: str = "order_total",
     split: bool = False,
+    rows: int = 0,
 ) -> DataFrame:
     """The batch's rows with the windows of `order_windows` over all rows, and rows that changed.
 
     Rows that come after the last one of their key go on from its state. A key with a row
     that does not is done again from its rows in `done`, which are returned as well; other
-    keys' rows in `done` are not read beyond the key. `split` as for `order_windows`.
+    keys' rows in `done` are not read beyond the key. `split` as for `order_windows`; without
+    it, `rows` in `done` and the batch together tell over how many tasks to deal.
     """
     place = F.struct(*order)
     group = F.struct(F.col(key).alias("key"))  # a missing key equals another
@@ -50,10 +53,12 @@ def continue_windows(
     before = given.join(known, "group", "left").withColumn("late", F.coalesce(late, F.lit(False)))
     goes_on = F.col("last").isNotNull() & ~F.col("late")
     again = before.where("late").select("group")
-    redone = done.select(batch.columns).withColumn("group", group).join(again, "group", "left_semi").select(batch.columns)
-    local = order_windows(batch.unionByName(redone), key, order, amount, split=split)
+    rows = 0 if split else rows
+    redone = spread(done.select(batch.columns).withColumn("group", group), ["group"], rows)
+    redone = redone.join(again, "group", "left_semi").select(batch.columns)
+    local = order_windows(spread(batch.unionByName(redone), [key], rows), key, order, amount, split=split)
     offsets = before.where(goes_on).select("group", "last", "rows", F.col("amount").alias("spent"))
-    joined = local.withColumn("group", group).join(offsets, "group", "left")
+    joined = spread(local.withColumn("group", group), ["group"], rows).join(offsets, "group", "left")
     first = F.col("rows").isNotNull() & (F.col("order_seq") == 1)
     return joined.select(
         *batch.columns,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators.continued import continue_windows, window_state
 from assayer.operators.running import order_windows
+from assayer.operators.shaping import spread
 from assayer.session import ensure_checkpoint_dir
 from assayer.sources import buckets
 from assayer.sources.commits import Conflict, commits, read_commit, write_commit
@@ -41,7 +42,8 @@ def extend_windows(
     table = f"{folder}/rows"
     given = batch.checkpoint()
     if not commits(spark, table):
-        windowed = order_windows(given, key, order, amount, split=split).checkpoint()
+        dealt = given if split else spread(given, [key], given.count())
+        windowed = order_windows(dealt, key, order, amount, split=split).checkpoint()
         buckets.create_table(windowed, table, row_keys, bucket_count)
         _new_state(spark, folder, windowed, 1, key, order, bucket_count)
         return 1
@@ -51,7 +53,8 @@ def extend_windows(
     if mark.get("rows") != base.number:
         mark = _new_state(spark, folder, done, base.number, key, order, bucket_count)
     state = buckets.read_table(spark, f"{folder}/{mark['state']}", mark["commit"])
-    changed = continue_windows(state, done, given, key, order, amount, split).checkpoint()
+    rows = given.count() + done.count()
+    changed = continue_windows(state, done, given, key, order, amount, split, rows).checkpoint()
     # Windows rely on all rows, so any commit in between is a conflict.
     change = replace(buckets.stage_upsert(changed, base), seen=frozenset(range(base.buckets)))
     number = buckets.commit(spark, change)

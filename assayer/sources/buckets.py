@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.operators.shaping import cell
+from assayer.operators.shaping import cell, spread
 from assayer.session import ensure_checkpoint_dir
 from assayer.sources.commits import Conflict, commits, read_commit, write_commit
 
@@ -79,11 +79,12 @@ def _write(df: DataFrame, at: Snapshot, name: str) -> dict[int, str]:
     """Rows by bucket, a directory each; the buckets that have any.
 
     A bucket is written by one task where it fits, and cut into files of a million rows.
+    Adaptive execution puts small buckets into one task and cuts large ones between tasks,
+    so however few the buckets are, no task holds rows that grow with the table.
     """
     folder = f"data/{uuid.uuid4().hex}-{name}"
     marked = df.withColumn("__bucket", _bucket(at.keys, at.buckets))
-    tasks = min(at.buckets, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
-    marked.repartition(tasks, "__bucket").write.option("maxRecordsPerFile", 1_000_000).partitionBy("__bucket").parquet(
+    marked.hint("rebalance", "__bucket").write.option("maxRecordsPerFile", 1_000_000).partitionBy("__bucket").parquet(
         f"{at.folder}/{folder}"
     )
     jvm = df.sparkSession._jvm.org.apache.hadoop.fs
@@ -129,17 +130,19 @@ def stage_upsert(new: DataFrame, base: Snapshot, replace_rows: bool = True) -> C
     rows = spark.read.schema(base.schema).parquet(*[f"{base.folder}/{d}" for d in staged.values()])
     hit = sorted(staged)
     old = _read(spark, base, hit)
+    count = old.count() + rows.count()  # from the files' footers
+    known = spread(old.select(*map(cell, keys)), keys, count)
     if not replace_rows:
-        added = _write(rows.join(old.select(*map(cell, keys)), keys, "left_anti").select(rows.columns), base, "added")
+        added = _write(spread(rows, keys, count).join(known, keys, "left_anti").select(rows.columns), base, "added")
         return Change(base, {b: (*base.pieces.get(b, ()), d) for b, d in added.items()}, frozenset(hit))
-    given = rows.select(*map(cell, keys)).distinct()
-    matched = old.select(*map(cell, keys)).join(given, keys, "left_semi").select(_bucket(keys, base.buckets).alias("b"))
+    given = spread(rows.select(*map(cell, keys)), keys, count).distinct()
+    matched = known.join(given, keys, "left_semi").select(_bucket(keys, base.buckets).alias("b"))
     stale = {r["b"] for r in matched.distinct().collect()}
     stale |= {b for b in hit if len(base.pieces.get(b, ())) >= MOST_PIECES}
     stale = sorted(b for b in stale if b in base.pieces)
     pieces = {b: (*base.pieces.get(b, ()), staged[b]) for b in hit if b not in stale}
     if stale:
-        kept = _read(spark, base, stale).join(given, keys, "left_anti").select(rows.columns)
+        kept = spread(_read(spark, base, stale), keys, count).join(given, keys, "left_anti").select(rows.columns)
         mine = spark.read.schema(base.schema).parquet(*[f"{base.folder}/{staged[b]}" for b in stale])
         pieces |= {b: (d,) for b, d in _write(kept.unionByName(mine), base, "merged").items()}
     return Change(base, pieces, frozenset(hit), frozenset(stale))

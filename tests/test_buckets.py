@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import maintenance
+from assayer.operators.shaping import spread
 from assayer.sources import buckets
 from assayer.sources.commits import Conflict, put_if_absent, read_text
 from assayer.sources.sinks import last_version, read_version, update_version, write_version
@@ -45,6 +46,34 @@ def test_only_the_changed_bucket_is_rewritten(spark, rows, folder):
     assert bag(buckets.read_table(spark, folder, 1)) == bag(rows)
 
 
+def test_a_large_bucket_is_written_by_many_tasks(spark, tmp_path):
+    folder, advised = str(tmp_path / "t"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advised)
+    rows = spark.range(0, 100_000, 1, 8).selectExpr("id AS k", "rand(1) AS v").checkpoint()
+    spark.conf.set(advised, "128k")
+    try:
+        buckets.create_table(rows, folder, ["k"], buckets=1)
+        buckets.upsert_table(rows.selectExpr("k * 2 AS k", "v"), folder)
+    finally:
+        spark.conf.set(advised, before)
+    for number in (1, 2):
+        at = buckets.snapshot(spark, folder, number)
+        files = [list((tmp_path / "t" / d).glob("*.parquet")) for d in at.pieces[0]]
+        assert len(at.pieces) == len(files) == 1 and len(files[0]) >= 4
+    assert bag(buckets.read_table(spark, folder, 1)) == bag(rows)
+    assert buckets.read_table(spark, folder).count() == 150_000
+
+
+def test_joins_are_dealt_by_the_number_of_rows(spark, folder, rows, monkeypatch):
+    assert spread(rows, ["k"], 1000) is rows
+    assert spread(rows, ["k"], 50_000_000).rdd.getNumPartitions() == 50
+    monkeypatch.setattr(buckets, "spread", lambda df, keys, n: spread(df, keys, n * 100_000))
+    changed = rows.where("k % 3 = 0").withColumn("v", F.lit("new"))
+    expected = bag(maintenance.upsert(rows, changed, ["k"]))
+    buckets.upsert_table(changed, folder)
+    assert bag(buckets.read_table(spark, folder)) == expected
+
+
 def test_new_keys_are_added_without_rewriting(spark, rows, folder):
     before = buckets.snapshot(spark, folder)
     more = spark.range(1000, 1010).select(F.col("id").cast("int").alias("k"), F.lit("more").alias("v"))

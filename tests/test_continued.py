@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -65,6 +66,15 @@ def test_only_late_keys_are_done_again(spark):
     assert bag(changed) == bag(whole.join(changed.select("order_id"), "order_id", "left_semi"))
 
 
+def test_many_rows_are_dealt_over_more_tasks(spark):
+    first, second, *_ = batches(spark, 5, "any order")
+    done = order_windows(first)
+    few, many = (continue_windows(window_state(done), done, second, rows=n) for n in (0, 30_000_000))
+    assert bag(few) == bag(many)
+    dealt = many._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RepartitionByExpression \[.*\], 30\b", dealt)) >= 3
+
+
 def test_a_writer_that_died_before_the_state(spark, tmp_path):
     folder, given = str(tmp_path / "w"), batches(spark, 7, "any order")
     extend_windows(given[0], folder, bucket_count=4)
