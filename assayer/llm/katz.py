@@ -79,8 +79,7 @@ class Batch:
     """Tokens of some documents, and the n-grams that end at each of them.
 
     Tokens are the words, split at ASCII white space in ASCII lower case, then one end per
-    document. `keys[m]` are the (m + 1)-grams that end at each token and `contexts[m]` what
-    stands before them; the latter reach back to one begin mark before the first word.
+    document: `word` are their keys, `doc` their documents, `first` the documents' first tokens.
     """
 
     def __init__(self, texts: pa.Array, order: int):
@@ -91,20 +90,27 @@ class Batch:
         named = [xxhash.xxh64_intdigest(w, 3) for w in words.dictionary.cast(pa.large_binary()).to_pylist()]
         hashes = np.array(named, dtype=np.uint64)[words.indices.to_numpy()]
         counts = np.bincount(doc, minlength=len(texts)) + 1
-        self.ends = np.cumsum(counts) - 1
+        ends = np.cumsum(counts) - 1
+        self.order = order
         self.doc = np.repeat(np.arange(len(texts)), counts)
-        word = np.full(len(self.doc), END_WORD)
-        inside = np.ones(len(word), bool)
-        inside[self.ends] = False
-        word[inside] = hashes
-        first = self.first = np.concatenate(([0], self.ends[:-1] + 1))
-        self.keys, self.contexts = [word], [np.zeros(len(word), np.uint64)]
-        for m in range(1, order):
-            context = np.empty(len(word), np.uint64)
-            context[1:] = self.keys[m - 1][:-1]
-            context[first] = BEGIN + np.uint64(m)
-            self.contexts.append(context)
-            self.keys.append(_mix(context, word))
+        self.word = np.full(len(self.doc), END_WORD)
+        inside = np.ones(len(self.word), bool)
+        inside[ends] = False
+        self.word[inside] = hashes
+        self.first = np.concatenate(([0], ends[:-1] + 1))
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """By length, only one of which is held: the n-grams that end at each token and, but for
+        single words, what stands before them; that reaches back to one begin mark before the
+        first word."""
+        keys = self.word
+        yield keys, None
+        for m in range(1, self.order):
+            context = np.empty(len(keys), np.uint64)
+            context[1:] = keys[:-1]
+            context[self.first] = BEGIN + np.uint64(m)
+            keys = _mix(context, self.word)
+            yield keys, context
 
 
 def _read(payloads: list[bytes]) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -114,6 +120,19 @@ def _read(payloads: list[bytes]) -> tuple[pa.Array, pa.Array, pa.Array]:
     return table["row"].combine_chunks(), table["held_out"].combine_chunks(), table["text"].combine_chunks()
 
 
+def _gathered(frames, rows: int = 10_000, size: int = 48 << 20) -> Iterator[pa.Table]:
+    """Frames put together, in one piece, up to so many rows or bytes: fewer and larger payloads."""
+    held: list[pa.RecordBatch] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(f.num_rows for f in held) >= rows or sum(f.nbytes for f in held) >= size:
+            table, held = pa.Table.from_batches(held).combine_chunks(), []
+            yield table
+    if held:
+        table, held = pa.Table.from_batches(held).combine_chunks(), []
+        yield table
+
+
 def _dealt(docs: DataFrame, id_col: str, text_col: str, batches: int, folds: int, fold: int) -> DataFrame:
     """(batch, payload): documents packed by batch."""
     text = whole_text(text_col)
@@ -127,8 +146,7 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, batches: int, folds: int
     )
 
     def pack(frames):
-        for frame in frames:
-            table = pa.Table.from_batches([frame])
+        for table in _gathered(frames):
             batch = table["batch"].to_numpy()
             by = np.argsort(batch, kind="stable")
             heads = np.flatnonzero(np.diff(batch[by], prepend=-1))
@@ -147,8 +165,21 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, batches: int, folds: int
 
 
 def _groups(frames) -> Iterator[tuple[int, list[dict]]]:
-    """Runs of rows with the same first column, across the frames of a sorted partition."""
-    rows = (row for frame in frames for row in frame.to_pylist())
+    """Runs of rows with the same first column, across the frames of a sorted partition.
+
+    Binary cells are views of the frames' memory, no copies.
+    """
+
+    def cells(column: pa.Array) -> Iterator:
+        if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+            return (cell.as_buffer() for cell in column)
+        return iter(column.to_pylist())
+
+    rows = (
+        dict(zip(frame.schema.names, row, strict=True))
+        for frame in frames
+        for row in zip(*map(cells, frame.columns), strict=True)
+    )
     for value, run in groupby(rows, key=lambda row: next(iter(row.values()))):
         yield value, list(run)
 
@@ -175,15 +206,17 @@ def _asked(dealt: DataFrame, order: int, parts: int, levels: range) -> DataFrame
         for batch, rows in _groups(frames):
             _, held, texts = _read([r["payload"] for r in rows])
             grams = Batch(texts, levels.stop)
+            del texts
             trained = ~held.to_numpy(zero_copy_only=False)
-            weight = trained[grams.doc]
-            for level in levels:
+            for level, (keys, _) in enumerate(grams.grams()):
+                if level not in levels:
+                    continue
                 begin = np.full(len(trained) if level + 1 < order else 0, BEGIN + np.uint64(level + 1))
-                keys = np.concatenate((grams.keys[level], begin))
-                weights = np.concatenate((weight, trained[: len(begin)]))
-                distinct, at = np.unique(keys, return_inverse=True)
-                counts = np.bincount(at, weights=weights, minlength=len(distinct)).astype(np.int64) * 2
+                weights = np.concatenate((trained[grams.doc], trained[: len(begin)]))
+                distinct, at = np.unique(np.concatenate((keys, begin)), return_inverse=True)
+                counts = np.bincount(at[weights], minlength=len(distinct)) * 2
                 counts[at[~weights]] |= 1
+                del at
                 bounds = _part(distinct, parts)
                 for p in np.flatnonzero(np.diff(bounds)):
                     own = slice(bounds[p], bounds[p + 1])
@@ -208,26 +241,29 @@ def _answered(asked: DataFrame, levels: range, kmax: int) -> DataFrame:
                 if not blocks:
                     continue
                 keys = [unpack_keys(r["keys"]) for r in blocks]
-                values = np.concatenate([expand(r["values"], np.int64) for r in blocks])
-                sizes = [len(k) for k in keys]
+                ends = np.cumsum([len(k) for k in keys])
                 keys = np.concatenate(keys)
                 by = np.argsort(keys, kind="stable")
-                new = np.diff(keys[by], prepend=~keys[by][:1]) != 0
-                group = np.cumsum(new) - 1
-                counts = values[by] >> 1
-                total = np.bincount(group, weights=counts).astype(np.int64)
-                held = np.zeros(len(total), np.int64)
-                held[group[values[by] & 1 == 1]] = 2
-                owner = np.zeros(len(keys), bool)
-                trained = np.flatnonzero(counts > 0)
-                owner[by[trained[np.diff(group[trained], prepend=-1) != 0]]] = True
-                answer = np.empty(len(keys), np.int64)
-                answer[by] = (total * 4 + held)[group]
-                answer += owner
-                ends = np.cumsum(sizes)
-                for r, end, size in zip(blocks, ends, sizes, strict=True):
-                    yield _frame(_BLOCK, [(part, level, r["batch"], b"", squeeze(answer[end - size : end]))])
-                real = total[(keys[by][new] != BEGIN + np.uint64(level + 1)) & (total > 0)]
+                keys = keys[by]
+                heads = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+                real = keys[heads] != BEGIN + np.uint64(level + 1)
+                del keys
+                values = np.concatenate([expand(r["values"], np.int64) for r in blocks])[by]
+                total = np.add.reduceat(values >> 1, heads)
+                held = np.bitwise_or.reduceat(values & 1, heads)
+                group = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(values)))
+                trained = np.flatnonzero(values > 1)
+                own = trained[np.diff(group[trained], prepend=-1) != 0]
+                del values, trained
+                found = (total * 4 + held * 2)[group]
+                found[own] += 1
+                del group
+                answer = np.empty_like(found)
+                answer[by] = found
+                del by, found
+                for r, low, high in zip(blocks, [0, *ends[:-1]], ends, strict=True):
+                    yield _frame(_BLOCK, [(part, level, r["batch"], b"", squeeze(answer[low:high]))])
+                real = total[real & (total > 0)]
                 stats = [int(real.sum()), len(real), *(int((real == r).sum()) for r in range(1, kmax + 2))]
                 yield _frame(_BLOCK, [(part, level, -1, b"", squeeze(np.array(stats, np.int64)))])
 
@@ -303,29 +339,22 @@ def _model(answered: DataFrame, order: int, kmax: int) -> Model:
 _DOC_SQL = "n_tokens long, n_known long, base_score double, score double, place long"
 
 
-def _counts_of(grams: Batch, answers: dict, order: int):
-    """Per level: each token's training count, its distinct n-gram, and which of those are
-    the batch's own; and per level the counts of the contexts, and which held-out documents have."""
-    n, tokens = len(grams.ends), len(grams.doc)
-    counts, grams_of, owned, contexts, held = [], [], [], [np.zeros(tokens, np.int64)], [np.zeros(tokens, bool)]
-    for level in range(order):
-        begin = np.full(n if level + 1 < order else 0, BEGIN + np.uint64(level + 1))
-        distinct, at = np.unique(np.concatenate((grams.keys[level], begin)), return_inverse=True)
-        blocks = [answers[k] for k in sorted(k for k in answers if k[0] == level)]
-        found = np.concatenate([expand(b, np.int64) for b in blocks])
-        if len(found) != len(distinct):
-            raise RuntimeError("the documents of a batch have changed between two reads")
-        value = found[at]
-        counts.append(value[:tokens] >> 2)
-        grams_of.append(at[:tokens])
-        owned.append(found & 1 == 1)
-        if level + 1 < order:
-            before = np.empty(tokens, np.int64)
-            before[1:] = value[: tokens - 1]
-            before[grams.first] = value[tokens:]
-            contexts.append(before >> 2)
-            held.append(before & 2 == 2)
-    return counts, grams_of, owned, contexts, held
+def _answers_of(grams: Batch, keys: np.ndarray, level: int, answers: dict) -> tuple[np.ndarray, ...]:
+    """The answer for each token's n-gram, that for what comes before each token one level up
+    (none at the last level), each token's distinct n-gram, and which of those are the batch's own."""
+    n = len(grams.first) if level + 1 < grams.order else 0
+    tokens, begin = len(keys), np.full(n, BEGIN + np.uint64(level + 1))
+    distinct, at = np.unique(np.concatenate((keys, begin)), return_inverse=True)
+    blocks = [answers.pop(k) for k in sorted(k for k in answers if k[0] == level)]
+    found = np.concatenate([expand(b, np.int64) for b in blocks])
+    if len(found) != len(distinct):
+        raise RuntimeError("the documents of a batch have changed between two reads")
+    value = found[at]
+    before = np.empty(tokens if n else 0, np.int64)
+    if n:
+        before[1:] = value[: tokens - 1]
+        before[grams.first] = value[tokens:]
+    return value[:tokens], before, at[:tokens], found & 1 == 1
 
 
 def _blocks(level: int, batch: int, keys: np.ndarray, parts: int, *values: np.ndarray) -> Iterator[tuple]:
@@ -350,38 +379,50 @@ def _scored(both: DataFrame, id_type: str, order: int, parts: int, model: Model)
         for batch, rows in _groups(frames):
             row, held, texts = _read([r["payload"] for r in rows if r["payload"] is not None])
             grams = Batch(texts, order)
-            n, tokens = len(texts), len(grams.doc)
+            del texts
+            n, tokens = len(row), len(grams.doc)
             answers = {(r["level"], r["part"]): r["values"] for r in rows if r["payload"] is None}
-            counts, grams_of, owned, contexts, asked = _counts_of(grams, answers, order)
-            known = counts[0] > 0
-            chance = np.where(
-                known, discounted(counts[0], model.discounts[0]) / max(model.tokens, 1), model.unknown
-            )
+            del rows
             blocks = []
-            for level in range(1, order):
-                seen, context = counts[level] > 0, contexts[level]
-                left = discounted(counts[level], model.discounts[level])
-                keeps = left / np.maximum(context, 1)
-                sample = np.full(len(owned[level]), -1)
-                sample[grams_of[level]] = np.arange(tokens)
-                own = sample[owned[level] & (sample >= 0)]
-                own = own[asked[level][own]]
-                keys, first, at = np.unique(grams.contexts[level][own], return_index=True, return_inverse=True)
+            for level, (keys, contexts) in enumerate(grams.grams()):
+                given = before if level else None
+                value, before, at, owned = _answers_of(grams, keys, level, answers)
+                del keys
+                counts = value >> 2
+                del value
+                seen = counts > 0
+                left = discounted(counts, model.discounts[level])
+                if not level:
+                    chance = np.where(seen, left / max(model.tokens, 1), model.unknown)
+                    base = np.log10((counts + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+                    base, known = (np.bincount(grams.doc, v, n) for v in (base, seen))
+                    continue
+                del counts
+                context, asked = given >> 2, given & 2 == 2
+                del given
+                sample = np.full(len(owned), -1)
+                sample[at] = np.arange(tokens)
+                own = sample[owned & (sample >= 0)]
+                own = own[asked[own]]
+                del sample, asked, at
+                keys, first, at = np.unique(contexts[own], return_index=True, return_inverse=True)
                 sums = [np.bincount(at, v[own], len(keys)).view(np.int64) for v in (left, chance)]
                 blocks += _blocks(level, -1, keys, parts, sums[0], context[own][first], sums[1])
+                del keys, at, first, own, sums
                 missed = np.flatnonzero(~seen & (context > 0))
-                missed = missed[np.argsort(grams.contexts[level][missed], kind="stable")]
-                blocks += _blocks(level, batch, grams.contexts[level][missed], parts, grams.doc[missed])
+                missed = missed[np.argsort(contexts[missed], kind="stable")]
+                blocks += _blocks(level, batch, contexts[missed], parts, grams.doc[missed])
                 # A seen n-gram ends in a seen one, so no backoff was noted for it below.
-                chance = np.where(seen, keeps, chance)
-            base = np.log10((counts[0] + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+                chance = np.where(seen, left / np.maximum(context, 1), chance)
+                del contexts, context, missed, left, seen
             per_doc = [
                 np.bincount(grams.doc, minlength=n).astype(np.int64),
-                np.bincount(grams.doc, known, n).astype(np.int64),
-                np.bincount(grams.doc, base, n),
+                known.astype(np.int64),
+                base,
                 np.bincount(grams.doc, np.log10(chance), n),
                 np.arange(n),
             ]
+            del grams, chance
             none = [pa.nulls(n, pa.binary())] * 2
             head = [pa.array(np.full(n, v, np.int32)) for v in (0, -1, batch)]
             names = [*_BLOCK, "row", "held_out", "n_tokens", "n_known", "base_score", "score", "place"]
@@ -498,15 +539,15 @@ def katz_scores(
     rounds = [range(0, min(order, 2)), *(range(m, m + 1) for m in range(2, order))]
     answered = reduce(
         DataFrame.unionByName,
-        [written(_answered(_asked(dealt, order, parts, levels), levels, kmax), tidy=True) for levels in rounds],
+        [written(_answered(_asked(dealt, order, parts, levels), levels, kmax), tidy=True, packed=True) for levels in rounds],
     )
     model = _model(answered, order, kmax)
     both = dealt.select("batch", "payload", *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("part", "int"), ("values", "binary"))])
     both = both.unionByName(
         answered.where("batch >= 0").select("batch", F.lit(None).cast("binary").alias("payload"), "level", "part", "values")
     )
-    scored = written(_scored(both, id_type, order, parts, model), tidy=True)
-    weights = written(_weighed(scored.where("level >= 0").select(*_BLOCK), order), tidy=True)
+    scored = written(_scored(both, id_type, order, parts, model), tidy=True, packed=True)
+    weights = written(_weighed(scored.where("level >= 0").select(*_BLOCK), order), tidy=True, packed=True)
     return (
         scored.where("level = -1")
         .join(_owed(weights), ["batch", "place"], "left")

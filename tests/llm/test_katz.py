@@ -2,14 +2,18 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.llm import katz, queries
-from assayer.llm.common import TIDY
+from assayer.llm.common import ARROW_BYTES, TIDY, written
 from tests.llm import corpus
 from tests.llm.test_line_dedup import lower
 
@@ -147,6 +151,72 @@ def test_what_is_moved_and_kept(spark, monkeypatch):
     assert found.count() == len(data)
 
 
+def most_held(run):
+    """Most bytes that were held at a time, of Python and numpy."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_one_length_of_a_batch_is_held_at_a_time():
+    rng = np.random.default_rng(1)
+    texts = pa.array([" ".join(f"w{i}" for i in rng.integers(0, 500, 300_000))])
+    tokens_of = 8 * 300_001
+
+    def grams(order):
+        for m, (keys, contexts) in enumerate(katz.Batch(texts, order).grams()):
+            assert len(keys) == 300_001 and (contexts is None) == (m == 0)
+
+    assert most_held(lambda: grams(9)) < most_held(lambda: grams(3)) + tokens_of
+
+
+def test_rows_of_a_group_are_no_copies():
+    blob = np.random.default_rng(2).bytes(1 << 20)
+    frames = [
+        pa.RecordBatch.from_pydict({"part": [i // 3] * 2, "keys": [blob, None]}) for i in range(6)
+    ]
+
+    def run():
+        for part, rows in katz._groups(frames):
+            assert part in (0, 1) and len(rows) == 6
+            assert [r["keys"] is None for r in rows] == [False, True] * 3
+            assert bytes(rows[0]["keys"][:9]) == blob[:9]
+
+    assert most_held(run) < 1 << 20
+
+
+def test_packed_tables_are_written_in_small_pieces(spark):
+    """Of 40 MB that a task writes no row group has over 12, and no frame that Python gets over 6."""
+
+    def sizes(frames):
+        for frame in frames:
+            for _ in range(frame.num_rows):
+                yield pa.RecordBatch.from_pydict({"n": [frame.nbytes], "blob": [np.random.bytes(100_000)]})
+
+    before = spark.conf.get(ARROW_BYTES, None)
+    rows = spark.range(0, 400, 1, 1).select(F.lit("x" * 100_000).alias("t"))
+    found = written(rows.mapInArrow(sizes, "n long, blob binary"), packed=True)
+    assert found.agg(F.max("n")).first()[0] < 6 << 20 and found.count() == 400
+    for name in found.inputFiles():
+        meta = pq.ParquetFile(name.removeprefix("file://")).metadata
+        assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 12 << 20
+        assert meta.row_group(0).column(1).compression == "UNCOMPRESSED"
+    assert spark.conf.get(ARROW_BYTES, None) == before
+
+
+def test_texts_are_dealt_in_few_payloads(spark):
+    """As many payloads from many small frames as from one."""
+    frames = [pa.RecordBatch.from_pydict({"a": [i]}) for i in range(50)]
+    assert [len(t) for t in katz._gathered(frames)] == [50]
+    assert [len(t) for t in katz._gathered(frames, rows=20)] == [20, 20, 10]
+    assert all(t["a"].num_chunks == 1 for t in katz._gathered(frames, rows=20))  # take() is slow on more
+    assert [len(t) for t in katz._gathered(frames, size=200)] == [25, 25]
+    assert list(katz._gathered([])) == []
+
+
 def test_no_training_and_empty(spark):
     one = next(i for i in range(1000) if held(i))
     found = katz.katz_scores(corpus.frame(spark, [(one, "some words", None, None)])).collect()
